@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import decontaminate, licenses
+from lumigrid.llm import chat, decontaminate, licenses, token_records, warc
+from lumigrid.llm.shared import shared_dir
+
+#: Where the tokenizer files are; on a cluster, a folder that every executor has.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write(warc.records(_table(spark, sf_dir, "pages")), shared_dir(spark, "warc"))
+    return warc.read(spark, archives, payload=False)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    files = token_records.write(documents, shared_dir(spark, "tokens"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return token_records.read(spark, files, ids=False)
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(_table(spark, sf_dir, "conversations"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(documents, _table(spark, sf_dir, "benchmark"))
@@ -23,8 +42,33 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_token_records": op3_token_records,
     "op7_decontaminate": op7_decontaminate,
+    "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    # the records that a page must come back as; url as written into the archive's headers
+    "op2_warc": """
+WITH p AS (
+    SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, url, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM q""",
+    # prefixes compared as the texts themselves, not as hashes
+    "op9_chat": """
+WITH t AS (
+    SELECT conv_id, turn, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+p AS (
+    SELECT conv_id, position, n, string_agg(shown, '') OVER (PARTITION BY conv_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS prefix FROM t),
+whole AS (
+    SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_logs, prefix AS text FROM p WHERE position = n GROUP BY n, prefix)
+SELECT conv_id, n_turns, n_logs, text FROM whole w
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.position < p.n AND p.position = w.n_turns AND p.prefix = w.text)""",
+}
