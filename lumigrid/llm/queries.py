@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import chat, decontaminate, licenses, token_records, warc
+from lumigrid.llm import chat, decontaminate, licenses, neardup, token_records, toxicity, warc
 from lumigrid.llm.shared import shared_dir
 
 #: Where the tokenizer files are; on a cluster, a folder that every executor has.
@@ -31,6 +31,17 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_table(spark, sf_dir, "conversations"))
 
 
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(_table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model).drop("text")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.scan(documents, _table(spark, sf_dir, "benchmark"))
@@ -44,7 +55,9 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_records": op3_token_records,
+    "op6_neardup": op6_neardup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
 }
