@@ -58,7 +58,7 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
     return b"\0" * 8 + b"".join(more[::-1]) + content
 
 
-def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 3, odds: float = 1.5) -> set[bytes]:
+def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 3, odds: float = 3.5) -> set[bytes]:
     """Words that follow more different words in toxic than in ordinary text, so that
     copies of one document count once: by e**odds as often, after `least` words or more."""
 
