@@ -28,7 +28,7 @@ SIMILARITY = 0.8
 #: 32 bands of 4 coordinates: a pair at 0.8 shares no bucket with probability 5e-8.
 BANDS, ROWS = 32, 4
 #: Texts of a bucket's block, on average.
-BLOCK = 192
+BLOCK = 512
 
 _FINEST = 14  # ranks below 2**-14 are one cell; each further cell doubles the rank
 _U = np.uint64
