@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import chat, decontaminate, licenses, neardup, token_records, toxicity, warc
+from lumigrid.llm import chat, decontaminate, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, warc
 from lumigrid.llm.shared import shared_dir
 
 #: Where the tokenizer files are; on a cluster, a folder that every executor has.
@@ -16,6 +16,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = sentencepiece_lattice.Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    coded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(warc.records(_table(spark, sf_dir, "pages")), shared_dir(spark, "warc"))
     return warc.read(spark, archives, payload=False)
@@ -53,8 +63,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_warc": op2_warc,
     "op3_token_records": op3_token_records,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_neardup": op6_neardup,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
