@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import chat, decontaminate, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, warc
+from lumigrid.llm import ann, chat, decontaminate, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, warc
 from lumigrid.llm.shared import shared_dir
 
 #: Where the tokenizer files are; on a cluster, a folder that every executor has.
@@ -41,6 +41,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(_table(spark, sf_dir, "conversations"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return ann.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_token_records": op3_token_records,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_ann": op5_ann,
     "op6_neardup": op6_neardup,
     "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
