@@ -179,3 +179,11 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", threshold: f
         return compute
 
     return append(docs, text, "score double, predicted int", make)
+
+
+def remove(docs: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that are not predicted to be toxic, with docs' own columns."""
+    mine = {f.name: f"_own_{i}" for i, f in enumerate(docs.schema.fields)}
+    held = docs.select(*[F.col(f"`{n}`").alias(v) for n, v in mine.items()])
+    kept = score(held, model, mine[text], threshold).where("predicted = 0")
+    return kept.select(*[F.col(v).alias(n) for n, v in mine.items()])
