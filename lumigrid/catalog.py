@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from lumigrid.queries import images, objects
+
+QUERIES: dict = {**images.Q, **objects.Q}
+SQL: dict[str, str] = {**images.SQL, **objects.SQL}
+
+#: Queries that SQL cannot express; their operators are tested against plain versions.
+ROWS_ONLY: set[str] = set(QUERIES) - set(SQL)
