@@ -9,8 +9,6 @@ benchmark is sent, in blocks of bounded size.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame

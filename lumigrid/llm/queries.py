@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,59 @@ whole AS (
 SELECT conv_id, n_turns, n_logs, text FROM whole w
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.position < p.n AND p.position = w.n_turns AND p.prefix = w.text)""",
 }
+
+# ---- longer SQL --------------------------------------------------------------------
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+#: All windows of all items joined with all n-grams of all documents; runs of windows that
+#: follow each other in both are the verbatim matches.
+SQL["op7_decontaminate"] = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+item AS (SELECT item_id, w, least({decontaminate.WINDOW}, len(w)) AS n FROM b WHERE len(w) > 0),
+pane AS (SELECT item_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM item)),
+size AS (SELECT DISTINCT n FROM item),
+gram AS (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, size)),
+hit AS (SELECT row, item_id, n, i, p FROM gram JOIN pane USING (n, g)),
+word AS (SELECT row, count(DISTINCT k) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS k FROM hit) GROUP BY row),
+own AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY row),
+run AS (SELECT row, item_id, min(i) - 1 AS place, count(*) + any_value(n) - 1 AS words
+    FROM (SELECT *, i - row_number() OVER (PARTITION BY row, item_id, i - p ORDER BY i) AS k FROM hit) GROUP BY row, item_id, i - p, k),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY words DESC, place, item_id) AS nth FROM run) WHERE nth = 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+    n_hit IS NOT NULL AS contaminated, coalesce(words, 0) AS longest_words, place AS longest_at, CAST(item_id AS VARCHAR) AS longest_item
+FROM d LEFT JOIN word USING (row) LEFT JOIN own USING (row) LEFT JOIN best USING (row)"""
+
+
+def _pattern(template: str) -> str:
+    """A template as a regular expression over words that a space follows each."""
+    out = ""
+    for part in re.findall(r"<<.*?>>|[^<]+", template):
+        if part == "<<beginOptional>>":
+            out += "(?:"
+        elif part == "<<endOptional>>":
+            out += ")?"
+        elif part.startswith("<<var"):
+            low, high = re.search(r"words=(\d+)-(\d+)", part).groups()
+            out += rf"(?:\S+ ){{{low},{high}}}"
+        else:
+            out += "".join(f"{w} " for w in part.split())
+    return " " + out
+
+
+_PLACES = {label: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(phrase.split())) for phrase, label in licenses.BASE_PHRASES}
+_FOUND = ", ".join(f"list_filter(range(1, len(w) - {phrase.count(' ') - 1}), lambda i: {_PLACES[label]}) AS p{k}" for k, (phrase, label) in enumerate(licenses.BASE_PHRASES))
+_BASE = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.BASE_PHRASES))
+_MORE = ", ".join(f"CASE WHEN regexp_matches(s, '{_pattern(t)}') THEN '{label}' END" for label, t in licenses.TEMPLATES)
+_ALL = " || ".join(f"p{k}" for k in range(len(licenses.BASE_PHRASES)))
+
+#: Templates as regular expressions over the words of a text.
+SQL["op10_licenses"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s, {_FOUND} FROM d),
+l AS (SELECT doc_id, len(w) AS n_words, {_ALL} AS places, list_filter([{_BASE}], lambda x: x IS NOT NULL) AS base, list_filter([{_MORE}], lambda x: x IS NOT NULL) AS more FROM f)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+    array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || more)), ',') AS labels,
+    CASE WHEN len(more) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM l"""
