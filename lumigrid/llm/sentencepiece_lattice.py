@@ -32,7 +32,9 @@ SPACE = "▁"
 #: Characters of a unit that goes through the lattice: its cuts are bits of a number.
 LONGEST = 60
 #: A unit in one of SHARE blocks or more is sent to all of them.
-SHARE = 8
+SHARE = 3
+#: Parts of texts whose ids a task remembers.
+RECENT = 100_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 
@@ -79,9 +81,20 @@ class Pieces:
         text = text.replace(SPACE, " ")
         return self.unit((" " if self.dummy_prefix else "") + text) if text else []
 
+    def parts(self, text: str) -> list[str] | None:
+        """The text cut at its spaces, each part to be read after one space: its units are
+        the text's. None where that is not so: at double, leading or trailing spaces."""
+        if not self.dummy_prefix or not text or text[0] in " ▁" or text[-1] in " ▁":
+            return None
+        text = text.replace(SPACE, " ")
+        return None if "  " in text else text.split(" ")
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score of what substrings can match; as many rows as the vocabulary."""
-        return spark.createDataFrame([(p, k, float(s)) for p, k, s, t in self.rows if t in (NORMAL, USER)], "piece string, id int, score double")
+        """piece, id, score, rank (0 for the best score) of what substrings can match; as many
+        rows as the vocabulary."""
+        words = [(p, k, float(s)) for p, k, s, t in self.rows if t in (NORMAL, USER)]
+        rank = {s: r for r, s in enumerate(sorted({s for *_, s in words}, reverse=True))}
+        return spark.createDataFrame([(*w, rank[w[2]]) for w in words], "piece string, id int, score double, rank int")
 
     def out(self) -> list[bytes]:
         """What each id decodes to."""
@@ -99,40 +112,85 @@ class Pieces:
 # ---- the lattice -------------------------------------------------------------------
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def _bit(k):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+@dataclass
+class Edges:
+    """How an edge is held: where it starts, its size, its piece's id, and what orders it.
+    BPE edges are one number, of rank, start, size and id from its high bits down, as
+    millions of them are sorted; unigram edges have their cost beside."""
+
+    kind: int
+
+    def make(self, e: DataFrame):
+        if self.kind == BPE:
+            field = lambda c, n: F.call_function("shiftleft", F.col(c).cast("long"), F.lit(n))
+            return field("rank", 36).bitwiseOR(field("start", 30)).bitwiseOR(field("size", 24)).bitwiseOR(F.col("id").cast("long"))
+        return F.struct((-F.col("score")).alias("cost"), "start", "size", "id")
+
+    def part(self, e, low: int, bits: int, name: str):
+        if self.kind == BPE:
+            return F.call_function("shiftright", e, F.lit(low)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+        return e[name]
+
+    def start(self, e):
+        return self.part(e, 30, 6, "start")
+
+    def size(self, e):
+        return self.part(e, 24, 6, "size")
+
+    def id(self, e):
+        return self.part(e, 0, 24, "id")
+
+    def ends(self, e):
+        """Bits of the two positions that an edge joins."""
+        return _bit(self.start(e)).bitwiseOR(_bit(self.start(e) + self.size(e)))
+
+    def inner(self, e):
+        """Bits of the positions that it passes over."""
+        return _bit(self.start(e) + self.size(e)) - _bit(self.start(e) + 1)
+
+
+def lattice(units: DataFrame, pieces: DataFrame, longest: int, held: Edges) -> DataFrame:
     """`units` (distinct `unit`, of LONGEST characters at most, other columns) with
-    `edges`: struct(score, start, size, id, ends, inner) for each substring that is a
-    piece. ends and inner are bits of the positions that the edge joins and passes over."""
+    `edges`, sorted: one for each substring that is a piece. The rows of a unit stay where
+    it is: the explode and the join with the vocabulary, which is sent, keep its
+    partitioning. Other columns travel on one row of each unit."""
     n = F.length("unit")
     start = units.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
     both = start.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))))
     both = both.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
-    one = F.lit(1).cast("long")
-    bit = lambda k: F.call_function("shiftleft", one, k)
-    stop = F.col("start") + F.col("size")
-    edge = F.struct(
-        (-F.col("score")).alias("cost"), "start", "size", "id",
-        bit(F.col("start")).bitwiseOR(bit(stop)).alias("ends"),
-        (bit(stop) - bit(F.col("start") + 1)).alias("inner"),
-    ).alias("edge")
+    first = (F.col("start") == 0) & (F.col("size") == 1)
     # the piece table is as large as the vocabulary, whatever the corpus
-    found = both.join(F.broadcast(pieces), "piece", "left").groupBy("unit").agg(
-        F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), edge))).alias("edges"),
-        *[F.first(c).alias(c) for c in units.columns if c != "unit"],
-    )
-    return found
+    found = both.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | first)
+    others = [c for c in units.columns if c != "unit"]
+    found = found.select("unit", F.when(F.col("id").isNotNull(), held.make(found)).alias("edge"), *[F.when(first, F.col(c)).alias(c) for c in others])
+    return found.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
 
 
-def merge_fold(edges, n):
+def spans(edges, held: Edges):
+    """Each edge as the bits it joins and passes over, its place and id as one number, and
+    whether it is longer than a character: what the folds and their results look at."""
+    return F.transform(edges, lambda e: F.struct(
+        held.ends(e).alias("ends"), held.inner(e).alias("inner"),
+        F.call_function("shiftleft", held.start(e).cast("long"), F.lit(24)).bitwiseOR(held.id(e).cast("long")).alias("placed"),
+        (held.size(e) > 1).alias("long"),
+    ))
+
+
+def merge_fold(spans, n):
     """Cuts that remain of a BPE unit: bits of a number. An edge can merge when both its
     ends are cuts and just one cut is between. Edges come in the order of merges, so one
     pass makes them, and a second those that only a later merge allows. Runs of spaces
     have pieces of equal score, of which the leftmost possible goes first, at each step."""
-    everything = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    everything = _bit(n + 1) - 1
     fits = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
     cut = lambda m, e: m.bitwiseAND(F.bitwise_not(e["inner"]))
-    long = F.filter(edges, lambda e: e["size"] > 1)
-    twice = F.aggregate(F.concat(long, long), everything, lambda m, e: F.when(fits(m, e), cut(m, e)).otherwise(m))
+    once = lambda m, e: F.when(fits(m, e), cut(m, e)).otherwise(m)
+    twice = F.aggregate(spans, F.aggregate(spans, everything, once), once)
+    long = F.filter(spans, lambda e: e["long"])
     by_step = F.aggregate(F.sequence(F.lit(1), n), everything, lambda m, _: F.coalesce(cut(m, F.get(F.filter(long, lambda e: fits(m, e)), F.lit(0))), m))
     return F.when(F.col("unit").startswith(SPACE * 2), by_step).otherwise(twice)
 
@@ -150,7 +208,7 @@ def viterbi_fold(edges, n, unknown_cost: float):
         ending = F.filter(all_, lambda e: e["start"] + e["size"] == stop)
         paths = F.transform(ending, lambda e: F.struct(
             (F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"),
-            F.get(best, e["start"])["cuts"].bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), stop)).alias("cuts"),
+            F.get(best, e["start"])["cuts"].bitwiseOR(_bit(stop)).alias("cuts"),
         ))
         first = F.array_min(paths)
         return F.concat(best, F.array(F.struct(first["cost"].alias("cost"), first["cuts"].alias("cuts"))))
@@ -160,28 +218,33 @@ def viterbi_fold(edges, n, unknown_cost: float):
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """`units` with `ids`. `unit` is distinct, with spaces as the model's mark."""
-    spark = units.sparkSession
-    found = lattice(units, pieces.frame(spark), pieces.longest)
+    spark, held = units.sparkSession, Edges(pieces.kind)
+    found = lattice(units, pieces.frame(spark), pieces.longest, held).withColumn("spans", spans(F.col("edges"), held))
     n = F.length("unit")
     if pieces.kind == BPE:
-        cuts = merge_fold(F.col("edges"), n)
+        cuts = merge_fold(F.col("spans"), n)
     else:
         worst = min((s for _, _, s, t in pieces.rows if t == NORMAL), default=0.0)
         cuts = viterbi_fold(F.col("edges"), n, 10.0 - worst)
     found = found.withColumn("cuts", cuts)
-    # the ids of the edges that the cuts leave, and of characters that are no piece
-    used = F.filter("edges", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0))
-    placed = F.transform(used, lambda e: F.struct(e["start"].alias("start"), F.array(e["id"]).alias("ids")))
-    held = F.transform(used, lambda e: e["start"])
-    inside = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.call_function("shiftright", F.col("cuts"), i).bitwiseAND(F.lit(1)) == 1) & ~F.array_contains(held, i))
+    # the edges that the cuts leave, in order of their place
+    used = F.filter("spans", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0))
+    found = found.withColumn("used", F.sort_array(F.transform(used, lambda e: e["placed"])))
+    id_ = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    place = lambda x: F.call_function("shiftright", x, F.lit(24)).cast("int")
+    # characters that are no piece, if the cuts have more parts than there are edges
     if pieces.bytes:
         first = min(pieces.bytes.values())
         text = lambda i: F.hex(F.encode(F.substring(F.col("unit"), i + 1, F.lit(1)), "UTF-8"))
         other = lambda i: F.transform(F.sequence(F.lit(0), (F.length(text(i)) / 2 - 1).cast("int")), lambda k: (F.conv(F.substring(text(i), k * 2 + 1, F.lit(2)), 16, 10).cast("int") + first))
     else:
         other = lambda i: F.array(F.lit(pieces.unknown))
+    held_at = F.transform("used", place)
+    inside = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.call_function("shiftright", F.col("cuts"), i).bitwiseAND(F.lit(1)) == 1) & ~F.array_contains(held_at, i))
     bare = F.transform(inside, lambda i: F.struct(i.alias("start"), other(i).alias("ids")))
-    ids = F.flatten(F.transform(F.sort_array(F.concat(placed, bare)), lambda x: x["ids"]))
+    placed = F.transform("used", lambda x: F.struct(place(x).alias("start"), F.array(id_(x)).alias("ids")))
+    mended = F.flatten(F.transform(F.sort_array(F.concat(placed, bare)), lambda x: x["ids"]))
+    ids = F.when(F.size("used") == F.bit_count("cuts") - 1, F.transform("used", id_)).otherwise(mended)
     return found.select("unit", ids.alias("ids"), *[c for c in units.columns if c != "unit"])
 
 
@@ -197,7 +260,17 @@ def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
             if block != now:
                 now, seen = block, set()
             for piece in slices([whole], "text"):
-                new = {u for t in piece.column(1).to_pylist() for u in pieces.units(t or "")} - seen
+                # most parts repeat, so they are made distinct before they are cut further
+                parts, new = set(), set()
+                for t in piece.column(1).to_pylist():
+                    cut = pieces.parts(t)
+                    if cut is None:
+                        new.update(pieces.units(t))
+                    else:
+                        parts.update(cut)
+                for p in parts:
+                    new.update(pieces.unit(" " + p))
+                new -= seen
                 seen |= new
                 out = [u.replace(" ", SPACE) for u in new if len(u) <= LONGEST]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block)), pa.array(out, pa.string())], names=["block", "unit"])
@@ -208,10 +281,12 @@ def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
 def _ids_by_unit(found: pa.Table | None) -> dict[str, bytes]:
     if found is None:
         return {}
-    units, ids = found["unit"].combine_chunks(), found["ids"].combine_chunks()
-    flat = ids.values.to_numpy().astype("<i4").tobytes()
-    ends = (ids.offsets.to_numpy() * 4).tolist()
-    return {u.replace(SPACE, " "): flat[a:b] for u, a, b in zip(units.to_pylist(), ends, ends[1:])}
+    out: dict[str, bytes] = {}
+    for batch in found.to_batches(max_chunksize=20_000):
+        ids = batch.column("ids")
+        flat, ends = ids.values.to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
+        out.update({u.replace(SPACE, " "): flat[a:b] for u, a, b in zip(batch.column("unit").to_pylist(), ends, ends[1:])})
+    return out
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -235,30 +310,61 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     out_bytes = pieces.out()
 
     def run(batches):
-        import sentencepiece
+        library = []
+
+        def long_unit(u):
+            if not library:
+                import sentencepiece
+
+                library.append(sentencepiece.SentencePieceProcessor(model_file=pieces.path))
+            return np.array(pieces.long_unit(library[0], u), "<i4").tobytes()
+
+        plain = lambda u, ids: b"".join(map(out_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist())) == u.encode()
+        known, mine, now, lossy = _ids_by_unit(read_beside(common, 0)), [], None, set()
+        lossy |= {u for u, ids in known.items() if not plain(u, ids)}
+        recent: dict[str, bytes] = {}  # ids of parts seen before
+
+        def units_ids(units):
+            out = []
+            for u in units:
+                ids = known.get(u)
+                if ids is None:
+                    if len(u) <= LONGEST:
+                        raise ValueError("a block's rows have changed between two reads")
+                    ids = long_unit(u)
+                    if not plain(u, ids):
+                        lossy.add(u)
+                out.append(ids)
+            return b"".join(out)
+
+        def ids_of(text):
+            parts = pieces.parts(text)
+            if parts is None:
+                return units_ids(pieces.units(text))
+            new = set(parts).difference(recent)
+            if len(recent) + len(new) > RECENT:
+                recent.clear()
+                new = set(parts)
+            for p in new:
+                recent[p] = units_ids(pieces.unit(" " + p))
+            return b"".join(map(recent.__getitem__, parts))
 
-        library = sentencepiece.SentencePieceProcessor(model_file=pieces.path) if pieces.path else None
-        shared, mine, now = _ids_by_unit(read_beside(common, 0)), {}, None
         for block, whole in by_block(batches):
             if block != now:
-                now, mine = block, {**shared, **_ids_by_unit(read_beside(own, block))}
-            for piece in slices([whole], "text"):
-                coded, same = [], []
-                for t in piece.column(1).to_pylist():
-                    parts = pieces.units(t)
-                    try:
-                        ids = b"".join(map(mine.__getitem__, parts))
-                    except KeyError:
-                        for u in set(parts).difference(mine):
-                            if len(u) <= LONGEST:
-                                raise ValueError("a block's rows have changed between two reads") from None
-                            mine[u] = np.array(pieces.long_unit(library, u), "<i4").tobytes()
-                        ids = b"".join(map(mine.__getitem__, parts))
-                        for u in [u for u in set(parts) if len(u) > LONGEST]:
-                            del mine[u]
-                    coded.append(ids)
-                    again = b"".join(map(out_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist()))
-                    same.append(again[1 if pieces.dummy_prefix and again else 0 :] == t.encode())
+                for u in mine:  # of the block before
+                    del known[u]
+                lossy.difference_update(mine)
+                recent.clear()
+                own_ids = _ids_by_unit(read_beside(own, block))
+                known.update(own_ids)
+                now, mine = block, list(own_ids)
+                lossy |= {u for u, ids in own_ids.items() if not plain(u, ids)}
+                del own_ids
+            for piece in slices([whole], "text", 1 << 20):
+                texts = piece.column(1).to_pylist()
+                coded = [ids_of(t) for t in texts]
+                # the units joined are the text, so it is whole if they are
+                same = [SPACE not in t and (not lossy or lossy.isdisjoint(pieces.units(t))) for t in texts]
                 ends = np.r_[0, np.cumsum([len(c) // 4 for c in coded])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(coded), "<i4"))
                 yield pa.RecordBatch.from_arrays([*piece.columns[2:], lists, pa.array(same, pa.bool_())], names=[*names, "ids", "round_trip"])
