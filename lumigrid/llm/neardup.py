@@ -75,7 +75,7 @@ class Darts:
 
     def _earliest(self, element, weight, owner, limit, n, out) -> np.ndarray:
         ids, ranks, owners = [], [], []
-        wide_most = int(np.ceil(np.log2(np.maximum(weight, 1)))).max(initial=0) if np.isscalar(weight) else int(np.ceil(np.log2(np.maximum(weight.max(initial=1), 1))))
+        wide_most = int(np.ceil(np.log2(max(weight.max(initial=1.0), 1.0))))
         reach = limit[owner]
         for wide in range(wide_most + 1):
             low, width = (0.0, 1.0) if wide == 0 else (2.0 ** (wide - 1), 2.0 ** (wide - 1))
@@ -159,12 +159,18 @@ def similar_pairs(column: pa.Array, ids: np.ndarray, n_words: int, least: float)
     key, owner = key[order], owner[order]
     edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
     run = np.diff(edge)
-    common = np.zeros((n, n), np.int32)
+    common, waiting, held = np.zeros(n * n, np.int64), [], 0
     for length in np.unique(run[run > 1]).tolist():
         members = owner[edge[:-1][run == length][:, None] + np.arange(length)]
         for block in np.array_split(members, max(1, members.size * length // (1 << 20))):
-            pairs = (block[:, :, None] * n + block[:, None, :]).reshape(-1)
-            common += np.bincount(pairs, minlength=n * n).reshape(n, n).astype(np.int32)
+            waiting.append((block[:, :, None] * n + block[:, None, :]).reshape(-1))
+            held += waiting[-1].size
+            if held >= 1 << 21:
+                common += np.bincount(np.concatenate(waiting), minlength=n * n)
+                waiting, held = [], 0
+    if waiting:
+        common += np.bincount(np.concatenate(waiting), minlength=n * n)
+    common = common.reshape(n, n)
     union = size[:, None] + size[None, :] - common
     linked = (common >= least * union - 1e-9) & (common > 0)
     root = np.arange(n)
