@@ -50,7 +50,7 @@ def watershed(px: DataFrame, maxima: str = "maxima", interior: str = "interior",
         r, c = np.nonzero(peaks)
         markers = np.zeros(top.shape, np.int64)
         if len(r):
-            markers[r, c] = _label_image(r, c, np.ones(len(r), np.int64))
+            markers[r, c] = _label_image(r, c, label=np.ones(len(r), np.int64))
         found = flood(top, markers, body > inside)
         size = np.bincount(found.reshape(-1))
         found[size[found] < least] = 0

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumigrid.operators.pixel import EPSILON, IMAGE, along
+from lumigrid.operators.pixel import EPSILON, IMAGE, PLANE, along
 
 
-def _neighbours(mask: DataFrame, value: str, by: list[str]) -> list:
-    """The values above, below, left and right of each pixel; null outside."""
-    return [step(value).over(along(axis, by)) for axis in ("r", "c") for step in (F.lag, F.lead)]
+def _neighbours(mask: DataFrame, value: str, by: list[str], axes: tuple[str, ...] = PLANE) -> list:
+    """The values before and after each pixel on every axis; null outside."""
+    return [step(value).over(along(axis, by, axes)) for axis in axes for step in (F.lag, F.lead)]
 
 
-def boundary(mask: DataFrame, by: list[str] = IMAGE) -> DataFrame:
-    """`mask` with edge: 1 for instance pixels beside another value (4 neighbours)."""
-    differs = [F.coalesce(n != F.col("label"), F.lit(False)) for n in _neighbours(mask, "label", by)]
-    any_ = differs[0] | differs[1] | differs[2] | differs[3]
+def boundary(mask: DataFrame, by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """`mask` with edge: 1 for instance pixels beside another value (4 neighbours, in a
+    stack 6)."""
+    any_ = F.lit(False)
+    for n in _neighbours(mask, "label", by, axes):
+        any_ = any_ | F.coalesce(n != F.col("label"), F.lit(False))
     return mask.withColumn("edge", F.when((F.col("label") > 0) & any_, 1).otherwise(0))
 
 
@@ -54,10 +58,10 @@ def pixelwise(mask: DataFrame, dilation: int = 0, split_edges: bool = False, by:
     return e.withColumn("background", F.when(total > 0, 0).otherwise(1)).select(*by, "r", "c", *names, "interior", "background")
 
 
-def erode_edges(mask: DataFrame, width: int, by: list[str] = IMAGE) -> DataFrame:
+def erode_edges(mask: DataFrame, width: int, by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
     """Instances without their outermost `width` pixels."""
     for _ in range(width):
-        mask = boundary(mask, by).withColumn("label", F.when(F.col("edge") == 1, 0).otherwise(F.col("label"))).drop("edge")
+        mask = boundary(mask, by, axes).withColumn("label", F.when(F.col("edge") == 1, 0).otherwise(F.col("label"))).drop("edge")
     return mask
 
 
@@ -86,34 +90,36 @@ def one_hot(mask: DataFrame, classes: int | None = None, by: list[str] = IMAGE)
 # ---- components --------------------------------------------------------------------
 
 
-def _label_image(r: np.ndarray, c: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Components of equal labels, 8 neighbours, numbered by their first pixel in row-major
-    order: each pixel takes the least number around it until nothing changes."""
-    h, w = int(r.max()) + 3, int(c.max()) + 3
-    value = np.zeros((h, w), np.int64)
-    value[r + 1, c + 1] = label
-    number = np.where(value != 0, np.arange(1, h * w + 1).reshape(h, w), 0)
+def _label_image(*coordinates: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Components of equal labels, diagonal neighbours too, numbered by their first pixel in
+    row-major order: each pixel takes the least number around it until nothing changes."""
+    shape = tuple(int(k.max()) + 3 for k in coordinates)
+    inside = tuple(k + 1 for k in coordinates)
+    value = np.zeros(shape, np.int64)
+    value[inside] = label
+    number = np.where(value != 0, np.arange(1, value.size + 1).reshape(shape), 0)
+    axes = tuple(range(len(shape)))
+    around = list(itertools.product((-1, 0, 1), repeat=len(shape)))
+    alike = [(np.roll(value, a, axes) == value) & (value != 0) for a in around]
     while True:
         best = number.copy()
-        for a in (-1, 0, 1):
-            for b in (-1, 0, 1):
-                there = np.roll(number, (a, b), (0, 1))
-                same = (np.roll(value, (a, b), (0, 1)) == value) & (value != 0)
-                best = np.where(same & (there < best), there, best)
+        for a, same in zip(around, alike, strict=True):
+            there = np.roll(number, a, axes)
+            best = np.where(same & (there < best), there, best)
         if (best == number).all():
             break
         number = best
-    found = number[r + 1, c + 1]
+    found = number[inside]
     return np.where(found > 0, np.searchsorted(np.unique(found[found > 0]), found) + 1, 0)
 
 
-def components(mask: DataFrame, by: list[str] = IMAGE) -> DataFrame:
+def components(mask: DataFrame, by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
     """`mask` with component: 1..n for touching pixels of one label, 0 for background. An
     image is a group, and images are what is spread."""
     schema = mask.schema.simpleString()[7:-1] + ",component:int"
 
     def run(image: pd.DataFrame) -> pd.DataFrame:
-        return image.assign(component=_label_image(image.r.to_numpy(), image.c.to_numpy(), image.label.to_numpy()).astype(np.int32))
+        return image.assign(component=_label_image(*[image[a].to_numpy() for a in axes], label=image.label.to_numpy()).astype(np.int32))
 
     return mask.groupBy(*by).applyInPandas(run, schema)
 
@@ -121,50 +127,60 @@ def components(mask: DataFrame, by: list[str] = IMAGE) -> DataFrame:
 # ---- distances ---------------------------------------------------------------------
 
 
-def distance(mask: DataFrame, spacing: tuple[float, float] = (1.0, 1.0), by: list[str] = IMAGE) -> DataFrame:
+def distance(mask: DataFrame, spacing: tuple[float, ...] | None = None, by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
     """`mask` with dist: the Euclidean distance of a foreground pixel to the nearest
-    background, null where the image has none, 0 on the background.
-
-    Separable: line windows give the nearest background in each column; then, within a
-    row, the least of (c - c')**2 + column distance**2. The join is by (image, row), so it
-    makes width times as many rows as there are pixels, not pixels squared."""
-    dr, dc = spacing
-    lines = along("r", by)
-    zero = F.when(F.col("label") == 0, F.col("r"))
+    background, null where the image has none, 0 on the background. `spacing` is the size
+    of a pixel on each axis.
+
+    Separable: windows give the nearest background on each line of the first axis; then,
+    axis by axis, the least of (x - x')**2 + the squared distance so far on the line. Such a
+    join makes a line's length times as many rows as there are pixels, not pixels squared.
+    """
+    spacing = spacing or (1.0,) * len(axes)
+    keys = [*by, *axes]
+    lines = along(axes[0], by, axes)
+    zero = F.when(F.col("label") == 0, F.col(axes[0]))
     before = F.last(zero, ignorenulls=True).over(lines.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(zero, ignorenulls=True).over(lines.rowsBetween(0, Window.unboundedFollowing))
-    far = F.least(F.col("r") - before, after - F.col("r"))
-    column = mask.withColumn("_g", F.pow(far * F.lit(dr), 2))
-    other = column.where("_g is not null").select(*by, "r", F.col("c").alias("_c"), F.col("_g").alias("_h"))
-    met = column.where("label <> 0").select(*by, "r", "c").join(other, [*by, "r"])
-    best = met.groupBy(*by, "r", "c").agg(F.sqrt(F.min(F.pow((F.col("c") - F.col("_c")) * F.lit(dc), 2) + F.col("_h"))).alias("dist"))
-    return mask.join(best, [*by, "r", "c"], "left").withColumn("dist", F.when(F.col("label") == 0, 0.0).otherwise(F.col("dist")))
-
-
-def outer_distance(mask: DataFrame, per: str = "component", by: list[str] = IMAGE) -> DataFrame:
+    far = F.least(F.col(axes[0]) - before, after - F.col(axes[0]))
+    out = mask.withColumn("_g", F.pow(far * F.lit(spacing[0]), 2))
+    for axis, size in zip(axes[1:], spacing[1:], strict=True):
+        line = [*by, *[a for a in axes if a != axis]]
+        other = out.where("_g is not null").select(*line, F.col(axis).alias("_x"), F.col("_g").alias("_h"))
+        met = mask.where("label <> 0").select(*keys).join(other, line)
+        best = met.groupBy(*keys).agg(F.min(F.pow((F.col(axis) - F.col("_x")) * F.lit(size), 2) + F.col("_h")).alias("_g"))
+        out = mask.join(best, keys, "left").withColumn("_g", F.when(F.col("label") == 0, 0.0).otherwise(F.col("_g")))
+    return out.withColumn("dist", F.sqrt("_g")).drop("_g")
+
+
+def outer_distance(mask: DataFrame, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None) -> DataFrame:
     """Distances to the background as shares of the largest in their component (or label:
-    per="label")."""
-    e = distance(components(mask, by) if per == "component" else mask, by=by)
+    per="label", which is what stacks take)."""
+    e = distance(components(mask, by, axes) if per == "component" else mask, spacing, by, axes)
     top = F.max("dist").over(Window.partitionBy(*by, per))
     return e.withColumn("dist", F.when(F.col("label") == 0, 0.0).otherwise(F.col("dist") / F.nullif(top, F.lit(0.0))))
 
 
-def weighted_centroids(mask: DataFrame, per: str = "label", by: list[str] = IMAGE) -> DataFrame:
-    """The distance-weighted centre and the area of each instance; needs dist."""
-    inside = mask.where("label <> 0")
+def weighted_centroids(mask: DataFrame, per: str = "label", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
+    """The distance-weighted centre (c and the axis's name) and the area of each instance;
+    needs dist."""
     total = F.sum("dist")
-    return inside.groupBy(*by, per).agg((F.sum(F.col("r") * F.col("dist")) / total).alias("cr"), (F.sum(F.col("c") * F.col("dist")) / total).alias("cc"), F.count("*").alias("area"))
+    return mask.where("label <> 0").groupBy(*by, per).agg(*[(F.sum(F.col(a) * F.col("dist")) / total).alias(f"c{a}") for a in axes], F.count("*").alias("area"))
 
 
-def inner_distance(mask: DataFrame, alpha: float | str = 0.1, beta: float = 1.0, per: str = "component", by: list[str] = IMAGE) -> DataFrame:
+def inner_distance(mask: DataFrame, alpha: float | str = 0.1, beta: float = 1.0, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None) -> DataFrame:
     """`mask` with inner: 1 / (1 + beta * alpha * d2), d2 the squared distance to the
-    instance's weighted centre; alpha "auto" is 1 / sqrt(area). 0 on the background."""
-    e = distance(components(mask, by) if per == "component" else mask, by=by)
-    centre = weighted_centroids(e, per, by)
-    a = 1 / F.sqrt(F.col("area").cast("double")) if alpha == "auto" else F.lit(float(alpha))
-    d2 = F.pow(F.col("r") - F.col("cr"), 2) + F.pow(F.col("c") - F.col("cc"), 2)
+    instance's weighted centre; alpha "auto" is 1 / sqrt(area), in a stack the inverse cube
+    root. 0 on the background."""
+    if isinstance(alpha, str) and alpha != "auto":
+        raise ValueError('alpha is a number or "auto"')
+    e = distance(components(mask, by, axes) if per == "component" else mask, spacing, by, axes)
+    centre = weighted_centroids(e, per, by, axes)
+    area = F.col("area").cast("double")
+    a = 1 / (F.sqrt(area) if len(axes) == 2 else F.cbrt(area)) if alpha == "auto" else F.lit(float(alpha))
+    d2 = sum((F.pow((F.col(x) - F.col(f"c{x}")) * F.lit(s), 2) for x, s in zip(axes, spacing or (1.0,) * len(axes), strict=True)), F.lit(0.0))
     out = e.join(centre, [*by, per], "left").withColumn("inner", F.when(F.col("label") == 0, 0.0).otherwise(1 / (1 + F.lit(beta) * a * d2)))
-    return out.drop("cr", "cc", "area")
+    return out.drop(*[f"c{x}" for x in axes], "area")
 
 
 def binned(px: DataFrame, value: str, bins: int, by: list[str] = IMAGE) -> DataFrame:

@@ -11,10 +11,13 @@ EPSILON = 1e-7
 IMAGE = ["image_id"]
 
 
-def along(axis: str, by: list[str]):
+#: The axes of an image; a stack has ("z", "r", "c").
+PLANE = ("r", "c")
+
+
+def along(axis: str, by: list[str], axes: tuple[str, ...] = PLANE):
     """The window of an image's line along `axis`, ordered."""
-    other = "c" if axis == "r" else "r"
-    return Window.partitionBy(*by, other).orderBy(axis)
+    return Window.partitionBy(*by, *[a for a in axes if a != axis]).orderBy(axis)
 
 
 def normalize(px: DataFrame, by: list[str] = IMAGE) -> DataFrame:
