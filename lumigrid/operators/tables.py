@@ -131,9 +131,38 @@ def invalid_lineages(lineage: DataFrame, cells: DataFrame) -> DataFrame:
     return wrong.union(gone).distinct()
 
 
+def random_split(df: DataFrame, key: str, test: float = 0.2, seed: int = 0) -> DataFrame:
+    """`df` with split, test for about that share of keys; a key's rows stay together, and
+    more rows do not move others."""
+    return df.withColumn("split", F.when(draw(F.col(key), seed) % 1000 < int(test * 1000), "test").otherwise("train"))
+
+
+def sequential_tracks(cells: DataFrame, lineage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells and lineage with tracks numbered 1..n in each movie; daughters follow."""
+    new = lineage.select("movie", "track").distinct().withColumn("_new", F.row_number().over(Window.partitionBy("movie").orderBy("track")))
+    child = new.select("movie", F.col("track").alias("_d"), F.col("_new").alias("_dn"))
+    kin = lineage.select("movie", "track", F.explode("daughters").alias("_d")).join(child, ["movie", "_d"]).groupBy("movie", "track").agg(F.sort_array(F.collect_list("_dn")).alias("daughters"))
+    family = lineage.drop("daughters").join(kin, ["movie", "track"], "left")
+    renumber = lambda t: t.join(new, ["movie", "track"]).withColumn("track", F.col("_new")).drop("_new")
+    return renumber(cells), renumber(family)
+
+
 # ---- aggregates --------------------------------------------------------------------
 
 
+def extents(mask: DataFrame, axes: tuple[str, ...], by: list[str] = IMAGE) -> DataFrame:
+    """Mean and median side of the instances' bounding boxes on each axis, rounded."""
+    box = mask.where("label <> 0").groupBy(*by, "label").agg(*[(F.max(a) - F.min(a) + 1).alias(a) for a in axes])
+    return box.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("mean", lambda a: F.round(F.avg(a))), ("median", lambda a: F.round(F.median(a))))])
+
+
+def track_stats(cells: DataFrame, lineage: DataFrame) -> DataFrame:
+    """By movie: frames, cells, tracks, divisions, mean frames of a track."""
+    seen = cells.groupBy("movie").agg(F.count_distinct("t").alias("frames"), F.count("*").alias("cells"))
+    kin = lineage.groupBy("movie").agg(F.count("*").alias("tracks"), F.count("daughters").alias("divisions"))
+    return seen.join(kin, "movie").withColumn("mean_frames", F.col("cells") / F.col("tracks"))
+
+
 def regionprops(mask: DataFrame, value: str | None = None, by: list[str] = IMAGE) -> DataFrame:
     """Area, centroid, half-open bounding box, eccentricity (of the ellipse of equal second
     moments, 1/12 for a pixel's own extent), and the sum of `value`."""

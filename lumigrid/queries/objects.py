@@ -151,9 +151,36 @@ def invalid_lineages(spark, d):
     return tables.invalid_lineages(late, c)
 
 
+@query(f"SELECT vec_id, CASE WHEN {draw('vec_id', 13)} % 1000 < 200 THEN 'test' ELSE 'train' END AS split FROM embeddings")
+def random_split(spark, d):
+    return tables.random_split(photos(spark, d).select("vec_id"), "vec_id", seed=13)
+
+
+@query(f"""WITH {LINEAGE}, n AS (SELECT movie, track, row_number() OVER (PARTITION BY movie ORDER BY track) AS k FROM lineage),
+x AS (SELECT e.movie, e.track, list_sort(list(n.k)) AS daughters FROM (SELECT movie, track, unnest(daughters) AS c FROM lineage) e JOIN n ON n.movie = e.movie AND n.track = e.c GROUP BY 1, 2)
+SELECT lineage.movie, k AS track, first, last, x.daughters FROM lineage JOIN n USING (movie, track) LEFT JOIN x USING (movie, track)""")
+def sequential_lineage(spark, d):
+    c = family(spark, d)
+    return tables.sequential_tracks(c, A.lineage_table(c))[1]
+
+
 # ---- aggregates --------------------------------------------------------------------
 
 
+@query(f"""WITH {PIXEL}, b AS (SELECT image_id, 1 + (r // 4) * 2 + c // 4 AS label, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w FROM pixel WHERE v > 0.05 GROUP BY 1, 2)
+SELECT round(avg(h)) AS mean_r, round(median(h)) AS median_r, round(avg(w)) AS mean_c, round(median(w)) AS median_c FROM b""")
+def cell_extents(spark, d):
+    return tables.extents(A.mask_table(spark, d), ("r", "c"))
+
+
+@query(f"""WITH {LINEAGE}, s AS (SELECT movie, count(DISTINCT t) AS frames, count(*) AS cells FROM cell GROUP BY 1), k AS (SELECT movie, count(*) AS tracks, count(daughters) AS divisions FROM lineage GROUP BY 1)
+SELECT movie, frames, cells, tracks, divisions, round(cells / tracks, 6) AS mean_frames FROM s JOIN k USING (movie)""")
+def track_stats(spark, d):
+    c = family(spark, d)
+    return rounded(tables.track_stats(c, A.lineage_table(c)), "mean_frames")
+
+
+
 @query("SELECT class, round(1.0::DOUBLE / (SELECT count(DISTINCT label) FROM embeddings) * (SELECT count(*) FROM embeddings) / (n + 1), 6) AS weight FROM (SELECT label AS class, count(*) AS n FROM embeddings GROUP BY 1)")
 def class_weights(spark, d):
     return rounded(tables.class_weights(photos(spark, d), "class"), "weight")
