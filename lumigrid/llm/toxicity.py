@@ -62,12 +62,18 @@ def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least:
     """Words that follow more different words in toxic than in ordinary text, so that
     copies of one document count once: by e**odds as often, after `least` words or more."""
 
+    number: dict[bytes, int] = {b"": 0}
+    names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t))
+    groups = [[names(t) for t in texts] for texts in (toxic, ordinary)]
+
     def after(texts):
-        pairs = {p for t in texts for p in zip([b"", *t], t)}
-        return Counter(w for _, w in pairs), max(len(pairs), 1)
+        pairs = [np.r_[0, t[:-1]] * len(number) + t for t in texts if len(t)]
+        different = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+        return np.bincount(different % len(number), minlength=len(number)), max(len(different), 1)
 
-    (bad, n), (good, m) = after(toxic), after(ordinary)
-    return {w for w, k in bad.items() if k >= least and np.log((k + 0.5) / n) - np.log((good[w] + 0.5) / m) >= odds}
+    (bad, n), (good, m) = map(after, groups)
+    told = np.log((bad + 0.5) / n) - np.log((good + 0.5) / m) >= odds
+    return {w for w, k in number.items() if told[k] and bad[k] >= least}
 
 
 @dataclass
@@ -144,9 +150,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         drawn = part if drawn is None else drawn.unionByName(part)
     found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
     got = sorted(((r._id, r._y, r._text or "") for r in found.select("_id", "_y", "_text").limit(2 * sum(sample.values())).collect()), key=str)
-    learn = [(y, tokens(t)) for k, (_, y, t) in enumerate(got) if k % 3]
-    check = [(y, t) for k, (_, y, t) in enumerate(got) if k % 3 == 0]
-    bad, good = [w for y, w in learn if y == 1], [w for y, w in learn if y == 0]
+    check = [(y, t) for _, y, t in got[::3]]
+    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands there
+    bad, good = ([[one.setdefault(w, w) for w in tokens(t)] for k, (_, y, t) in enumerate(got) if k % 3 and y == c] for c in (1, 0))
+    del got
     if not bad or not good or len({y for y, _ in check}) < 2:
         return None
     telling = telling_words(bad, good)
