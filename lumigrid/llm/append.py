@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumigrid.llm.words import SLICE_BYTES, slices
+from lumigrid.llm.words import SLICE_BYTES, slices, small_batches
 
 
 def append(df: DataFrame, text: str, ddl: str, make: Callable[[], Callable[[pa.Array], list]], limit: int = SLICE_BYTES) -> DataFrame:
     """Every row of `df` with the columns `ddl` that the function returned by `make`
     computes from `text`. `make` runs once in each task. No shuffle. An input column
     whose name, by any case, is one of the new ones is replaced."""
+    small_batches(df)
     new = T.StructType.fromDDL(ddl)
     names = {f.name.lower() for f in new}
     kept = [f for f in df.schema.fields if f.name.lower() not in names or f.name == text]

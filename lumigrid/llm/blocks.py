@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm.shared import at, publish, shared_dir, table
+from lumigrid.llm.words import small_batches
 
 
 def blocked(docs: DataFrame) -> DataFrame:
     """`docs` with `block`, a number of the input split that holds each row. Rows that come
     from no file are written to a table first: only a plain read gives a row the same
     block each time."""
+    small_batches(docs)
     named = docs.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     if docs.inputFiles() and named.where(F.input_file_name() == "").select("block").limit(1).count() == 0:
         return named

@@ -131,3 +131,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
             yield batch.slice(row, stop - row)
             row = stop
+
+
+#: Rows that go to Python at once, where rows hold whole texts.
+BATCH_ROWS = 1000
+
+
+def small_batches(df) -> None:
+    """Lets Spark send at most BATCH_ROWS rows at once to Python in df's session: its own
+    10,000 can be hundreds of megabytes of long texts, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
