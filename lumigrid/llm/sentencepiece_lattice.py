@@ -20,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -251,15 +252,21 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
 # ---- documents ---------------------------------------------------------------------
 
 
+def _hashes(units: list[str]) -> np.ndarray:
+    """Python's own hashes: they hold only within one process."""
+    return np.fromiter(map(hash, units), np.int64, len(units))
+
+
 def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """block and unit: each unit of at most LONGEST characters once for each block."""
+    """block and unit: each unit of at most LONGEST characters once for each block. A unit
+    whose 64-bit hash another one has had may be left out; encode() gives it to the library."""
 
     def run(batches):
-        now, seen = None, set()
+        now, seen = None, np.zeros(0, np.int64)
         for block, whole in by_block(batches):
             if block != now:
-                now, seen = block, set()
-            for piece in slices([whole], "text"):
+                now, seen = block, np.zeros(0, np.int64)
+            for piece in slices([whole], "text", 2 << 20):
                 # most parts repeat, so they are made distinct before they are cut further
                 parts, new = set(), set()
                 for t in piece.column(1).to_pylist():
@@ -270,23 +277,52 @@ def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
                         parts.update(cut)
                 for p in parts:
                     new.update(pieces.unit(" " + p))
-                new -= seen
-                seen |= new
-                out = [u.replace(" ", SPACE) for u in new if len(u) <= LONGEST]
+                found = [u for u in new if len(u) <= LONGEST]
+                marks = _hashes(found)
+                fresh = np.ones(len(found), bool)
+                if len(seen):
+                    fresh = seen[np.minimum(np.searchsorted(seen, marks), len(seen) - 1)] != marks
+                seen = np.union1d(seen, marks[fresh])
+                out = [found[k].replace(" ", SPACE) for k in np.flatnonzero(fresh).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block)), pa.array(out, pa.string())], names=["block", "unit"])
 
     return rows.select("block", "text").mapInArrow(run, "block long, unit string")
 
 
-def _ids_by_unit(found: pa.Table | None) -> dict[str, bytes]:
-    if found is None:
-        return {}
-    out: dict[str, bytes] = {}
-    for batch in found.to_batches(max_chunksize=20_000):
-        ids = batch.column("ids")
-        flat, ends = ids.values.to_numpy().astype("<i4").tobytes(), (ids.offsets.to_numpy() * 4).tolist()
-        out.update({u.replace(SPACE, " "): flat[a:b] for u, a, b in zip(batch.column("unit").to_pylist(), ends, ends[1:])})
-    return out
+class Known:
+    """Ids of units, found by a unit's hash and checked by the unit itself. All are arrays:
+    as a dictionary of objects they take ten times the memory."""
+
+    def __init__(self, found: pa.Table | None, out: pa.Array):
+        schema = pa.schema([("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
+        found = (found if found is not None else schema.empty_table()).combine_chunks()
+        units, ids = (found[c].chunk(0) if found.num_rows else pa.array([], t) for c, t in zip(schema.names, schema.types))
+        self.units = pc.replace_substring(units, SPACE, " ")
+        self.ids = ids.flatten().to_numpy().astype("<i4", copy=False).tobytes()
+        self.at = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())].astype(np.int32)
+        marks, lossy = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for low in range(0, len(units), 20_000):
+            u, i = self.units.slice(low, 20_000), ids.slice(low, 20_000)
+            marks.append(_hashes(u.to_pylist()))
+            ends = np.r_[0, np.cumsum(pc.list_value_length(i).to_numpy())].astype(np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(ends, out.take(i.flatten())), b"")
+            lossy.append(pc.not_equal(text, u.cast(pa.binary())).to_numpy(zero_copy_only=False))
+        marks = np.concatenate(marks)
+        self.order = np.argsort(marks).astype(np.int32)
+        self.marks, self.lossy = marks[self.order], np.concatenate(lossy)
+        del found, units, ids
+        pa.default_memory_pool().release_unused()
+
+    def find(self, units: list[str]) -> tuple[dict[str, bytes], set[str], list[str]]:
+        """Ids of those of the units that are here, which of these do not decode to
+        themselves, and the other units."""
+        if not units or not len(self.marks):
+            return {}, set(), units
+        spot = self.order[np.minimum(np.searchsorted(self.marks, _hashes(units)), len(self.marks) - 1)]
+        same = pc.equal(self.units.take(pa.array(spot)), pa.array(units, pa.string())).to_numpy(zero_copy_only=False)
+        here, there = np.flatnonzero(same), spot[same]
+        ids = {units[k]: self.ids[4 * a : 4 * b] for k, a, b in zip(here.tolist(), self.at[there].tolist(), self.at[there + 1].tolist())}
+        return ids, {units[k] for k in here[self.lossy[there]].tolist()}, [units[k] for k in np.flatnonzero(~same).tolist()]
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -310,61 +346,59 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     out_bytes = pieces.out()
 
     def run(batches):
-        library = []
+        library, out = [], pa.array(out_bytes, pa.binary())
 
-        def long_unit(u):
+        def by_library(u):
             if not library:
                 import sentencepiece
 
                 library.append(sentencepiece.SentencePieceProcessor(model_file=pieces.path))
             return np.array(pieces.long_unit(library[0], u), "<i4").tobytes()
 
-        plain = lambda u, ids: b"".join(map(out_bytes.__getitem__, np.frombuffer(ids, "<i4").tolist())) == u.encode()
-        known, mine, now, lossy = _ids_by_unit(read_beside(common, 0)), [], None, set()
-        lossy |= {u for u, ids in known.items() if not plain(u, ids)}
+        everywhere, here, now = Known(read_beside(common, 0), out), None, None
         recent: dict[str, bytes] = {}  # ids of parts seen before
-
-        def units_ids(units):
-            out = []
-            for u in units:
-                ids = known.get(u)
-                if ids is None:
-                    if len(u) <= LONGEST:
-                        raise ValueError("a block's rows have changed between two reads")
-                    ids = long_unit(u)
-                    if not plain(u, ids):
-                        lossy.add(u)
-                out.append(ids)
-            return b"".join(out)
-
-        def ids_of(text):
-            parts = pieces.parts(text)
-            if parts is None:
-                return units_ids(pieces.units(text))
-            new = set(parts).difference(recent)
+        bad: set[str] = set()  # those of them that do not decode to themselves
+
+        def learn(units):
+            """Ids of units, and which of them do not decode to themselves."""
+            ids, lossy, rest = everywhere.find(units)
+            more, also, rest = here.find(rest)
+            ids.update(more)
+            lossy |= also
+            for u in rest:  # too long for the lattice, or of a hash that another unit has
+                ids[u] = by_library(u)
+                if b"".join(map(out_bytes.__getitem__, np.frombuffer(ids[u], "<i4").tolist())) != u.encode():
+                    lossy.add(u)
+            return ids, lossy
+
+        def encoded(texts):
+            """The ids of each text, as bytes, and whether they decode to it again."""
+            cut = [pieces.parts(t) for t in texts]
+            new = set().union(*filter(None, cut)).difference(recent)
             if len(recent) + len(new) > RECENT:
                 recent.clear()
-                new = set(parts)
-            for p in new:
-                recent[p] = units_ids(pieces.unit(" " + p))
-            return b"".join(map(recent.__getitem__, parts))
+                bad.clear()
+                new = set().union(*filter(None, cut))
+            of = {p: pieces.unit(" " + p) for p in new}
+            odd = {k: pieces.units(t) for k, t in enumerate(texts) if cut[k] is None}
+            ids, lossy = learn(list(set().union(*of.values(), *odd.values())))
+            for p, units in of.items():
+                recent[p] = b"".join(map(ids.__getitem__, units))
+                if lossy and not lossy.isdisjoint(units):
+                    bad.add(p)
+            # the units joined are the text, so it is whole if they are
+            for k, t in enumerate(texts):
+                if cut[k] is None:
+                    yield b"".join(map(ids.__getitem__, odd[k])), SPACE not in t and lossy.isdisjoint(odd[k])
+                else:
+                    yield b"".join(map(recent.__getitem__, cut[k])), SPACE not in t and (not bad or bad.isdisjoint(cut[k]))
 
         for block, whole in by_block(batches):
             if block != now:
-                for u in mine:  # of the block before
-                    del known[u]
-                lossy.difference_update(mine)
-                recent.clear()
-                own_ids = _ids_by_unit(read_beside(own, block))
-                known.update(own_ids)
-                now, mine = block, list(own_ids)
-                lossy |= {u for u, ids in own_ids.items() if not plain(u, ids)}
-                del own_ids
+                here = None  # before the next one is read
+                now, here = block, Known(read_beside(own, block), out)
             for piece in slices([whole], "text", 1 << 20):
-                texts = piece.column(1).to_pylist()
-                coded = [ids_of(t) for t in texts]
-                # the units joined are the text, so it is whole if they are
-                same = [SPACE not in t and (not lossy or lossy.isdisjoint(pieces.units(t))) for t in texts]
+                coded, same = zip(*encoded(piece.column(1).to_pylist()), strict=True)
                 ends = np.r_[0, np.cumsum([len(c) // 4 for c in coded])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(coded), "<i4"))
                 yield pa.RecordBatch.from_arrays([*piece.columns[2:], lists, pa.array(same, pa.bool_())], names=[*names, "ids", "round_trip"])
