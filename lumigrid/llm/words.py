@@ -16,6 +16,8 @@ import pyarrow as pa
 
 #: Bytes of text that are expanded to NumPy arrays at once; a longer text is taken alone.
 SLICE_BYTES = 4 << 20
+#: Powers of each base that a worker keeps.
+KEPT_POWERS = 1 << 18
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -38,12 +40,16 @@ _powers = {b: np.ones(1, np.uint64) for b in (_BASE, _BASE_INVERSE)}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64, kept for the next call."""
-    if len(_powers[base]) <= n:
-        steps = np.full(max(n + 1, SLICE_BYTES + 2), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.cumprod(steps)
-    return _powers[base]
+    """base**0 .. base**n modulo 2**64. Some are kept for the next call; workers live on
+    after a task, so larger tables are made anew."""
+    if len(_powers[base]) > n:
+        return _powers[base]
+    steps = np.full(max(n, KEPT_POWERS) + 1, base, np.uint64)
+    steps[0] = 1
+    made = np.cumprod(steps)
+    if n <= KEPT_POWERS:
+        _powers[base] = made
+    return made
 
 
 @dataclass
