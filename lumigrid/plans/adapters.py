@@ -68,6 +68,17 @@ def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(F.broadcast(begin)).where(F.floor((F.col("t") - F.col("_t0")) / 10) == third).drop("_t0")
 
 
+def generation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells: thirty days of an event type are a movie, and a user is another track in
+    each ten days of it. Users 2p and 2p+1 of the next ten days are daughters of user p."""
+    c = cell_table(spark, sf_dir)
+    span = c.agg(F.min("t").alias("_t0"), (F.max("track") + 1).alias("_w"))  # one row
+    age = F.col("t") - F.col("_t0")
+    movie = F.concat(F.col("movie"), F.lit("/"), F.floor(age / 30))
+    track = F.col("track") + F.col("_w") * F.element_at(F.array(F.lit(1), F.lit(2), F.lit(4)), (F.floor(age / 10) % 3 + 1).cast("int"))
+    return c.join(F.broadcast(span)).withColumns({"movie": movie, "track": track}).drop("_t0", "_w")
+
+
 def lineage_table(cells: DataFrame) -> DataFrame:
     """Tracks with their first and last frame; tracks 2p and 2p+1 that both begin after p
     has ended are its daughters."""

@@ -13,3 +13,13 @@ def test_every_image_is_in_a_stack(spark, name):
     images = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert df.count() == df.select("stack", "z", "r", "c").distinct().count() == 64 * images
     assert df.where("z not between 0 and 11").count() == 0
+
+
+def test_every_event_is_in_a_lineage(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    days = events.groupBy("event_type", "user_id", events.ts.cast("date")).count().count()
+    assert catalog.QUERIES["track_stats_all"](spark, SF).agg({"cells": "sum"}).first()[0] == days
+    found = catalog.QUERIES["lineages_all"](spark, SF)
+    users = events.agg({"user_id": "max"}).first()[0] + 1
+    assert found.where(f"daughters is not null and track % {users} >= 64").count() > 0
+    assert catalog.QUERIES["invalid_lineages_all"](spark, SF).where("movie like 'view/%'").count() > 0
