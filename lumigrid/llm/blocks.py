@@ -3,6 +3,8 @@
 The input split that a row is read from is its block. What an earlier job has found out
 for a block is written to one file of the shared folder, and the task that reads the split
 again opens that file beside it. So only the narrow side of such a join is shuffled.
+Where a missing file would be taken for "nothing found", every block gets one, and a block
+without a file is an error: its splits are not those of the earlier job.
 """
 
 from __future__ import annotations
@@ -23,22 +25,33 @@ def blocked(docs: DataFrame) -> DataFrame:
     from no file are written to a table first: only a plain read gives a row the same
     block each time."""
     small_batches(docs)
+    fix_splits(docs)
     named = docs.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
     if docs.inputFiles() and named.where(F.input_file_name() == "").select("block").limit(1).count() == 0:
         return named
     return blocked_table(docs)
 
 
+def fix_splits(docs: DataFrame) -> None:
+    """Holds the least number of file splits in the session of `docs` from now on. Unset, it
+    is the number of cores at the time of each job, and splits change with executors."""
+    key, conf = "spark.sql.files.minPartitionNum", docs.sparkSession.conf
+    if conf.get(key, None) is None:
+        conf.set(key, conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(docs.sparkSession.sparkContext.defaultParallelism))
+
+
 def blocked_table(docs: DataFrame) -> DataFrame:
     return table(docs, "docs").withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
 
 
-def write_beside(rows: DataFrame, name: str, order: str) -> str:
+def write_beside(rows: DataFrame, name: str, order: str, every: DataFrame | None = None) -> str:
     """Writes the rows of each block, in the order of a column, to a file of its own; the
-    folder. Tasks that run again replace whole files."""
+    folder. Tasks that run again replace whole files. Blocks of `every` (block) get a file
+    even if it is empty; the column of the order is then never null in `rows`."""
     folder = shared_dir(rows.sparkSession, name)
     at(folder)[0].create_dir(at(folder)[1], recursive=True)
     columns = [c for c in rows.columns if c != "block"]
+    marked = every is not None
 
     def run(batches: Iterator[pa.RecordBatch]):
         block, out, stream, temporary = None, None, None, ""
@@ -55,6 +68,8 @@ def write_beside(rows: DataFrame, name: str, order: str) -> str:
                 if k < len(blocks) and blocks[k] == blocks[low]:
                     continue
                 piece = batch.slice(low, k - low).select(columns)
+                if marked and piece.column(order).null_count:
+                    piece = piece.filter(piece.column(order).is_valid())
                 if out is None or blocks[low] != block:
                     if out is not None:
                         close()
@@ -68,6 +83,8 @@ def write_beside(rows: DataFrame, name: str, order: str) -> str:
             close()
         yield from ()
 
+    if marked:
+        rows = rows.unionByName(every.select("block"), allowMissingColumns=True)
     rows.repartition("block").sortWithinPartitions("block", order).mapInArrow(run, "n int").count()
     return folder
 
@@ -81,6 +98,14 @@ def read_beside(folder: str, block: int) -> pa.Table | None:
         return pa.ipc.open_stream(f).read_all()
 
 
+def read_written(folder: str, block: int) -> pa.Table:
+    """What was written for a block, where every block has a file."""
+    found = read_beside(folder, block)
+    if found is None:
+        raise ValueError(f"nothing was written for block {block}: the input's splits have changed between two reads")
+    return found
+
+
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
     """The batches, cut where the block changes."""
     for batch in batches:
@@ -94,14 +119,13 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Record
 def without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
     """The rows of `docs` (blocked, with a column `key`) whose key is not among the rows
     of `rejected` (block, key) for their block."""
-    folder = write_beside(rejected.select("block", key).distinct(), "rejected", key)
+    folder = write_beside(rejected.select("block", key).distinct(), "rejected", key, docs.select("block").distinct())
 
     def run(batches):
         now, gone = None, pa.array([], pa.int64())
         for block, piece in by_block(batches):
             if block != now:
-                found = read_beside(folder, block)
-                now, gone = block, found[key].combine_chunks() if found else pa.array([], pa.int64())
+                now, gone = block, read_written(folder, block)[key].combine_chunks()
             mask = pa.compute.invert(pa.compute.is_in(piece.column(piece.schema.get_field_index(key)), gone))
             yield piece.filter(mask)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.blocks import blocked, by_block, read_beside, without, write_beside
+from lumigrid.llm.blocks import blocked, by_block, read_written, without, write_beside
 from lumigrid.llm.shared import table
 from lumigrid.llm.words import slices, utf8
 
@@ -52,16 +52,16 @@ def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     return own.withColumn("key", F.xxhash64(F.col("doc").isNull(), "doc", "text"))
 
 
-def _trusted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str) -> str:
+def _trusted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str, every: DataFrame) -> str:
     good = labels.where(F.col(label) == 1).select(F.col(doc_id).cast("long").alias("doc")).where("doc is not null").distinct()
     fold = F.crc32(F.col("doc").cast("string").cast("binary")) % 5 == 0
-    return write_beside(rows.select("block", "doc").join(good, "doc").select("block", "doc", fold.alias("calibrates")), "trusted", "doc")
+    return write_beside(rows.select("block", "doc").join(good, "doc").select("block", "doc", fold.alias("calibrates")), "trusted", "doc", every)
 
 
 def _flags(folder: str, block: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether documents are trusted, and whether they calibrate."""
-    found = read_beside(folder, block)
-    if found is None or not found.num_rows:
+    found = read_written(folder, block)
+    if not found.num_rows:
         return np.zeros(len(docs), bool), np.zeros(len(docs), bool)
     ids, fold = found["doc"].to_numpy(), found["calibrates"].to_numpy(zero_copy_only=False)
     spot = np.minimum(np.searchsorted(ids, docs), len(ids) - 1)
@@ -148,8 +148,8 @@ def block_scores(rows: DataFrame, trusted: str, model: str, n: int) -> DataFrame
         now, known, cost = None, None, None
         for block, whole in by_block(batches):
             if block != now:
-                found = read_beside(model, block)
-                known, cost = (found["gram"].to_numpy(), found["cost"].to_numpy()) if found else (np.zeros(0, np.int64), np.zeros(0, np.float32))
+                found = read_written(model, block)
+                known, cost = found["gram"].to_numpy(), found["cost"].to_numpy()
                 now = block
             for piece in slices([whole], "text"):
                 column = lambda c, piece=piece: piece.column(piece.schema.get_field_index(c))
@@ -180,11 +180,12 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     all bytes of each text are scored.
     """
     rows = _rows(docs, doc_id, text, lang)
-    trusted = _trusted(rows, labels, doc_id, label)
+    every = table(rows.select("block").distinct(), "blocks")
+    trusted = _trusted(rows, labels, doc_id, label, every)
     needs = table(block_grams(rows, trusted, order), "grams")
     corpus = table(needs.groupBy("gram").agg(F.sum("n").alias("n")), "corpus")
     costs = probabilities(corpus, order).select("gram", (-F.ln("p")).cast("float").alias("cost"))
-    model = write_beside(needs.select("block", "gram").join(costs, "gram").select("block", "gram", "cost"), "model", "gram")
+    model = write_beside(needs.select("block", "gram").join(costs, "gram").select("block", "gram", "cost"), "model", "gram", every)
     scored = table(block_scores(rows, trusted, model, order), "scored")
     scored = scored.withColumn("perplexity", F.exp(F.col("loss") / F.nullif("n_bytes", F.lit(0))))
     sample = scored.where("calibrates and perplexity is not null")
