@@ -24,9 +24,9 @@ from lumigrid.llm.words import slices, utf8
 
 ORDER = 5
 #: The quantile of trusted documents, and how far above it a perplexity may be.
-QUANTILE, ROOM = 0.99, 1.25
+QUANTILE, ROOM = 0.99, 1.0
 #: Nats of loss that are no evidence: a few bytes can be unlikely by chance.
-MARGIN = 12.0
+MARGIN = 6.0
 #: A language with fewer trusted documents to calibrate on takes the quantile of all.
 LEAST = 20
 ALPHABET = 256
