@@ -10,13 +10,14 @@ begins, and how many ids of the file stand before it; so any record can be read
 from __future__ import annotations
 
 import json
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm.shared import at, publish
-from lumigrid.llm.words import slices
+from lumigrid.llm.units import Memo, Units
+from lumigrid.llm.words import slices, utf8
 
 HEAD = 10  # bytes of a payload before its ids
 ROW = 256  # bytes of a checksum's row
@@ -56,9 +58,8 @@ def masked_crc32c(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
     first = np.r_[0, np.cumsum(rows)]
     grid = np.zeros((int(first[-1]), ROW), np.uint8)
     flat = grid.reshape(-1)
-    to = np.repeat(first[1:] * ROW - end, size)
-    source = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
-    flat[source + to] = data[source]
+    for low, high, to in zip(begin.tolist(), end.tolist(), (first[1:] * ROW).tolist(), strict=True):
+        flat[to - (high - low) : to] = data[low:high]
     for k in range(4):  # the usual start of all ones, as a change of the first bytes
         flat[first[1:] * ROW - size + k] ^= 255
     crc = np.zeros(len(grid), np.uint32)
@@ -78,19 +79,33 @@ def masked_crc32c(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nd
 # ---- tokens ------------------------------------------------------------------------
 
 
+#: The split pattern of byte-level BPE, and the bytes that it shows as themselves: fixed
+#: values of that tokenizer. Other bytes are shown as the characters from 256 on.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+
+# classes of bytes: 0 any other, 1 letter, 2 digit, 3 mark, 4 apostrophe, 5 space
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[33:127] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[39], _CLASS[32] = 4, 5
+# no piece goes on from a letter or digit to another class, nor from a mark to a letter or digit
+_PARTS = np.zeros(64, bool)
+_PARTS[[8 * a + b for a, b in ((1, 2), (1, 3), (1, 4), (2, 1), (2, 3), (2, 4), (3, 1), (3, 2), (4, 2))]] = True
+
+
 class Encoder:
     """Ids of whole texts, as the tokenizers library gives them without special tokens.
 
-    A byte-level BPE takes each piece of its split pattern alone, and no piece reaches over
-    a space that follows a non-space. So texts are cut there, and the ids of parts seen
-    before are taken from memory, of bounded size. A tokenizer of another kind, and a text
-    with the string of an added token, goes to the library whole.
+    The split pattern of a byte-level BPE never reaches over a space that follows a
+    non-space, or from a letter to a digit, and so on. Texts are cut there, and the library
+    encodes the pieces of each new part once. A tokenizer of another kind, and a text with
+    the string of an added token, goes to it whole.
     """
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-    def __init__(self, path: str, kept: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
@@ -98,69 +113,128 @@ class Encoder:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.added = [t["content"] for t in spec["added_tokens"]]
         self.byte_level = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-        self.split = regex.compile(self.PATTERN).findall
-        self.cut = re.compile(r"(?<=\S)(?= )")
-        self.space_after_space = re.compile(r"\s ").search
-        self.model = self.tokenizer.model
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
-        rest = [b for b in range(256) if b not in shown]
-        self.letters = {**{b: chr(b) for b in shown}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
-        self.kept, self.plain, self.spaced, self.pieces = kept, {}, {}, {}
-
-    def _part(self, part: str) -> bytes:
-        out = []
-        for piece in self.split(part):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                tokens = self.model.tokenize(piece.encode().decode("latin1").translate(self.letters))
-                if len(self.pieces) >= self.kept:
-                    self.pieces.clear()
-                self.pieces[piece] = ids = np.array([t.id for t in tokens], self.kind).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
-    def _learn(self, memory: dict, parts: list[str], before: str) -> None:
-        new = set(parts).difference(memory)
-        if len(memory) + len(new) > self.kept:
-            memory.clear()
-            new = set(parts)
-        for p in new:
-            memory[p] = self._part(before + p)
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian numbers of `kind`."""
-        if not self.byte_level or any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-        if self.space_after_space(text):
-            parts = self.cut.split(text)
-            first = self._part(parts[0])
-            rest = [p[1:] for p in parts[1:]]
-        else:
-            head, *rest = text.split(" ")
-            self._learn(self.plain, [head], "")
-            first = self.plain[head]
-        self._learn(self.spaced, rest, " ")
-        return first + b"".join(map(self.spaced.__getitem__, rest))
+        if self.byte_level:
+            # each piece comes once, so the library's own memory of pieces only costs
+            how = {k: v for k, v in spec["model"].items() if v is not None and k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")}
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
+            self.model = models.BPE(vocab=spec["model"]["vocab"], merges=merges, cache_capacity=0, **how)
+        self.split = regex.compile(PATTERN).findall
+        rest = [b for b in range(256) if b not in SHOWN]
+        self.letters = {**{b: chr(b) for b in SHOWN}, **{b: chr(256 + k) for k, b in enumerate(rest)}}
+        self.memo = Memo()
+
+    def _whole(self, column: pa.Array) -> np.ndarray:
+        """Texts that the library must see whole."""
+        whole = np.full(len(column), not self.byte_level)
+        for a in self.added:
+            whole |= pc.match_substring(column, a).to_numpy(zero_copy_only=False).astype(bool)
+        return whole
+
+    def _single(self, kind: np.ndarray, units: Units) -> np.ndarray:
+        """Whether a unit is letters, digits or marks of ASCII, maybe after a space."""
+        kind, spaced = kind.copy(), units.start[(kind[units.start] == 5) & (units.end - units.start > 1)]
+        kind[spaced] = kind[spaced + 1]
+        low, high = np.minimum.reduceat(kind, units.start), np.maximum.reduceat(kind, units.start)
+        return (low == high) & (low >= 1) & (low <= 3)
+
+    def _shown(self, parts: list[bytes]) -> list[str]:
+        """Parts without line ends, with their bytes as the model's letters."""
+        return b"\n".join(parts).decode("latin1").translate(self.letters).split(self.letters[10]) if parts else []
+
+    def _ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _library(self, parts: list[bytes], single: np.ndarray, whole: np.ndarray) -> list[list[int]]:
+        """The ids of each part. single: whether it is one piece; whole: whether the
+        library must see it as it is."""
+        out: list = [None] * len(parts)
+        which = np.flatnonzero(single).tolist()
+        for k, piece in zip(which, self._shown([parts[k] for k in which]), strict=True):
+            out[k] = self._ids(piece)
+        of: dict[str, list[int]] = {}
+        for k in np.flatnonzero(~single).tolist():
+            text = parts[k].decode()
+            if whole[k]:
+                out[k] = self.tokenizer.encode(text, add_special_tokens=False).ids
+                continue
+            pieces = self.split(text)
+            for p in pieces:
+                if p not in of:
+                    of[p] = self._ids(p.encode().decode("latin1").translate(self.letters))
+            out[k] = [i for p in pieces for i in of[p]]
+        return out
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null is empty), and the n+1 offsets of the texts in them."""
+        column = pc.fill_null(column.cast(pa.string()), "")
+        data, at = utf8(column)
+        kind = _CLASS[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = _PARTS[kind[:-1] * np.uint8(8) + kind[1:]]
+        spaces = np.flatnonzero(kind == 5)
+        cut[spaces] = ~_maybe_space(data, spaces)
+        whole = self._whole(column)
+        for k in np.flatnonzero(whole).tolist():
+            cut[at[k] : at[k + 1]] = False
+        units = Units(data, at, cut)
+        new = self.memo.missing(units.key)
+        if self.memo.full(4 * len(new)):
+            self.memo.clear()
+            new = self.memo.missing(units.key)
+        if len(new):
+            owner = np.searchsorted(units.first, new, side="right") - 1
+            lists = self._library(units.texts(new), self._single(kind, units)[new] & ~whole[owner], whole[owner])
+            self.memo.add(units.key[new], np.fromiter((i for x in lists for i in x), np.int32), np.array([len(x) for x in lists], np.int32))
+        ids, size = self.memo.ids(units.key)
+        return ids.astype(self.kind), np.r_[0, np.cumsum(size, dtype=np.int64)][units.first]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """A worker's encoder; it remembers parts from task to task."""
+    return Encoder(path)
+
+
+def _maybe_space(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character before each position can be white space or a control. Bytes
+    outside ASCII are looked at with the two before them: the last bytes of the white
+    space of Unicode, which are fixed values."""
+    one, two, three = (data[at - k] if len(at) else data[:0] for k in (1, 2, 3))
+    return (
+        (one <= 32) | (one == 127)
+        | (two == 0xC2) & ((one == 0x85) | (one == 0xA0))
+        | (three == 0xE1) & (two == 0x9A) & (one == 0x80)
+        | (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
+        | (three == 0xE2) & (two == 0x81) & (one == 0x9F)
+        | (three == 0xE3) & (two == 0x80) & (one == 0x80)
+    )
 
 
 # ---- files -------------------------------------------------------------------------
 
 
-def frames(ids: list[int | None], payloads: list[bytes], width: int) -> tuple[bytes, np.ndarray]:
-    """Frames of some sequences in one piece, and the length of each."""
-    heads = [(i or 0).to_bytes(8, "little", signed=True) + bytes((i is None, width)) for i in ids]
-    body = np.array([HEAD + len(p) for p in payloads], np.int64)
+def frames(ids: pa.Array, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Frames of some sequences data[ends[i]:ends[i+1]] in one piece, and the length of each."""
+    n, width = len(ids), data.itemsize
+    held = np.diff(ends) * width
+    body = HEAD + held
     begin = np.cumsum(body + 16) - body - 4
-    lengths = np.ascontiguousarray(body.astype("<u8")).view(np.uint8)
-    at8 = np.arange(len(body)) * 8
-    length_crc = masked_crc32c(lengths, at8, at8 + 8).astype("<u4")
-    blank = b"\0" * 4
-    joined = bytearray(b"".join(x for k in range(len(ids)) for x in (lengths[8 * k : 8 * k + 8].tobytes(), length_crc[k].tobytes(), heads[k], payloads[k], blank)))
-    data = np.frombuffer(joined, np.uint8)
-    crc = masked_crc32c(data, begin, begin + body).astype("<u4").view(np.uint8).reshape(-1, 4)
-    for k in range(4):
-        data[begin + body + k] = crc[:, k]
-    return bytes(joined), body + 16
+    out = np.zeros(int((body + 16).sum()), np.uint8)
+
+    def put(where, values):
+        for k in range(values.dtype.itemsize):
+            out[where + k] = values.view(np.uint8).reshape(n, -1)[:, k]
+
+    put(begin - 12, body.astype("<u8"))
+    put(begin - 4, masked_crc32c(out, begin - 12, begin - 4).astype("<u4"))
+    put(begin, ids.fill_null(0).to_numpy().astype("<i8"))
+    put(begin + 8, np.asarray(ids.is_null()).astype(np.uint8))
+    put(begin + 9, np.full(n, width, np.uint8))
+    raw = data.view(np.uint8)
+    for to, low, size in zip((begin + HEAD).tolist(), (ends[:-1] * width).tolist(), held.tolist(), strict=True):
+        out[to : to + size] = raw[low : low + size]
+    put(begin + body, masked_crc32c(out, begin, begin + body).astype("<u4"))
+    return out, body + 16
 
 
 MANIFEST = "part long, path string, n_docs long, n_tokens long, n_bytes long"
@@ -177,20 +251,19 @@ def write(df: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", te
     order = ["doc_id", F.xxhash64("text")]
 
     def run(batches):
-        part, encoder = TaskContext.get().partitionId(), Encoder(tokenizer)
-        end = np.array([end_id], encoder.kind).tobytes()
+        part, coder = TaskContext.get().partitionId(), encoder(tokenizer)
         docs = tokens = size = 0
         temporary, data, index = f"{folder}/.{uuid.uuid4().hex}", None, None
-        for piece in slices(batches, "text"):
+        for piece in slices(batches, "text", 2 << 20):
             if data is None:
                 files, path = at(temporary)
                 data, index = files.open_output_stream(path), files.open_output_stream(f"{path}.index")
-            coded = [encoder.encode(t) + end for t in piece.column(1).to_pylist()]
-            framed, lengths = frames(piece.column(0).to_pylist(), coded, encoder.kind.itemsize)
-            n = np.array([len(c) // encoder.kind.itemsize for c in coded])
-            index.write(np.stack([size + np.cumsum(lengths) - lengths, tokens + np.cumsum(n) - n], axis=1).astype("<u8").tobytes())
-            data.write(framed)
-            docs, tokens, size = docs + len(coded), tokens + int(n.sum()), size + len(framed)
+            ids, ends = coder.encode(piece.column(1))
+            ids, ends = np.insert(ids, ends[1:], end_id), ends + np.arange(len(ends))
+            framed, lengths = frames(piece.column(0), ids, ends)
+            index.write(np.stack([size + np.cumsum(lengths) - lengths, tokens + ends[:-1]], axis=1).astype("<u8").tobytes())
+            data.write(framed.tobytes())
+            docs, tokens, size = docs + len(lengths), tokens + len(ids), size + len(framed)
         if data is not None:
             data.close()
             index.close()

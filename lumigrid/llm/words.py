@@ -81,6 +81,26 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return text, at - at[0]
 
 
+#: Bytes that are hashed at once: the numbers for them stay in a core's cache.
+CHUNK = 1 << 15
+
+
+def rolling_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of data[start[i]:end[i]] for all i; start and end rise."""
+    out = np.empty(len(start), np.uint64)
+    k = 0
+    while k < len(start):
+        low = int(start[k])
+        stop = max(k + 1, int(np.searchsorted(end, low + CHUNK, side="right")))
+        high = int(end[stop - 1])
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_CODE[data[low:high]] * _power(_BASE, high - low)[: high - low], out=sums[1:])
+        begin = start[k:stop] - low
+        out[k:stop] = (sums[end[k:stop] - low] - sums[begin]) * _power(_BASE_INVERSE, high - low)[begin]
+        k = stop
+    return mix(out)
+
+
 def words(column: pa.Array) -> Words:
     """All words of a string array. Equal words have equal hashes; unequal ones differ
     but for 2**-64. A null or empty text has none."""
@@ -97,9 +117,7 @@ def words(column: pa.Array) -> Words:
     starts[edge] = inside[edge]
     ends[edge - 1] = inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODE[data] * _power(_BASE, len(data))[: len(data)], out=sums[1:])
-    key = mix((sums[end] - sums[start]) * _power(_BASE_INVERSE, len(data))[start])
+    key = rolling_keys(data, start, end)
     first = np.searchsorted(start, at)
     return Words(key, first, np.repeat(np.arange(len(at) - 1), np.diff(first)))
 
@@ -144,9 +162,9 @@ BATCH_ROWS = 1000
 
 
 def small_batches(df) -> None:
-    """Lets Spark send at most BATCH_ROWS rows at once to Python in df's session: its own
-    10,000 can be hundreds of megabytes of long texts, in the JVM and in Python."""
+    """Lets Spark send at most BATCH_ROWS rows at once to Python in df's session, unless
+    the session says how many: its own 10,000 can be hundreds of megabytes of long texts,
+    in the JVM and in Python."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
+    if key not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
