@@ -1,109 +1,61 @@
 """Joins of long texts with what belongs to them, without moving the texts.
 
-The input split that a row is read from is its block. What an earlier job has found out
-for a block is written to one file of the shared folder, and the task that reads the split
-again opens that file beside it. So only the narrow side of such a join is shuffled.
-Where a missing file would be taken for "nothing found", every block gets one, and a block
-without a file is an error: its splits are not those of the earlier job.
+A block is a fixed range of rows of one file, so a row's block is the same however a job
+splits its input. What an earlier job has found out for a block is written by Spark as one
+partition of a table in the shared folder, and a task that reads rows of the block again
+opens that partition beside them. So only the narrow side of such a join is shuffled.
+Where nothing at all would be taken for "nothing found", every block gets a partition, and
+a block without one is an error.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.shared import at, publish, shared_dir, table
-from lumigrid.llm.words import small_batches
+from lumigrid.llm.shared import at, shared_dir, table
 
+#: Rows of a block.
+ROWS = 16_384
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """`docs` with `block`, a number of the input split that holds each row. Rows that come
-    from no file are written to a table first: only a plain read gives a row the same
-    block each time."""
-    small_batches(docs)
-    fix_splits(docs)
-    named = docs.withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    if docs.inputFiles() and named.where(F.input_file_name() == "").select("block").limit(1).count() == 0:
-        return named
-    return blocked_table(docs)
 
-
-def fix_splits(docs: DataFrame) -> None:
-    """Holds the least number of file splits in the session of `docs` from now on. Unset, it
-    is the number of cores at the time of each job, and splits change with executors."""
-    key, conf = "spark.sql.files.minPartitionNum", docs.sparkSession.conf
-    if conf.get(key, None) is None:
-        conf.set(key, conf.get("spark.sql.leafNodeDefaultParallelism", None) or str(docs.sparkSession.sparkContext.defaultParallelism))
-
-
-def blocked_table(docs: DataFrame) -> DataFrame:
-    return table(docs, "docs").withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
+def blocked(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """`docs` with `block`, a number of the file and range of rows that holds each row.
+    Rows whose file is not known (they come from a shuffle, or from no file) are written to
+    a table first."""
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.withColumn("block", F.xxhash64(place["file_path"], F.floor(place["row_index"] / rows)))
+    except AnalysisException:  # no such column
+        return blocked(table(docs, "docs"), rows)
 
 
 def write_beside(rows: DataFrame, name: str, order: str, every: DataFrame | None = None) -> str:
-    """Writes the rows of each block, in the order of a column, to a file of its own; the
-    folder. Tasks that run again replace whole files. Blocks of `every` (block) get a file
-    even if it is empty; the column of the order is then never null in `rows`."""
+    """Writes the rows of each block, in the order of a column, to a partition of its own;
+    the folder. Blocks of `every` (block) get one even if it is empty; the column of the
+    order is then never null in `rows`."""
     folder = shared_dir(rows.sparkSession, name)
-    at(folder)[0].create_dir(at(folder)[1], recursive=True)
-    columns = [c for c in rows.columns if c != "block"]
-    marked = every is not None
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        block, out, stream, temporary = None, None, None, ""
-
-        def close():
-            out.close()
-            stream.close()
-            publish(f"{folder}/{block}", temporary)
-
-        for batch in batches:
-            blocks = batch.column(batch.schema.get_field_index("block")).to_pylist()
-            low = 0
-            for k in range(1, len(blocks) + 1):
-                if k < len(blocks) and blocks[k] == blocks[low]:
-                    continue
-                piece = batch.slice(low, k - low).select(columns)
-                if marked and piece.column(order).null_count:
-                    piece = piece.filter(piece.column(order).is_valid())
-                if out is None or blocks[low] != block:
-                    if out is not None:
-                        close()
-                    block, temporary = blocks[low], f"{folder}/.{uuid.uuid4().hex}"
-                    store, path = at(temporary)
-                    stream = store.open_output_stream(path)
-                    out = pa.ipc.new_stream(stream, piece.schema)
-                out.write_batch(piece)
-                low = k
-        if out is not None:
-            close()
-        yield from ()
-
-    if marked:
-        rows = rows.unionByName(every.select("block"), allowMissingColumns=True)
-    rows.repartition("block").sortWithinPartitions("block", order).mapInArrow(run, "n int").count()
+    if every is not None:
+        rows = rows.where(F.col(order).isNotNull()).unionByName(every.select("block"), allowMissingColumns=True)
+    rows.repartition("block").sortWithinPartitions("block", order).write.partitionBy("block").parquet(folder)
     return folder
 
 
-def read_beside(folder: str, block: int) -> pa.Table | None:
-    """What was written for a block; None if nothing was."""
-    store, path = at(f"{folder}/{block}")
-    if store.get_file_info(path).type.name != "File":
+def read_beside(folder: str, block: int, order: str, must: bool = True) -> pa.Table | None:
+    """What was written for a block. Where nothing was, an error, or None if it need not be."""
+    store, path = at(f"{folder}/block={block}")
+    if store.get_file_info(path).type.name != "Directory":
+        if must:
+            raise ValueError(f"nothing was written for block {block}: the input has changed between two reads")
         return None
-    with store.open_input_stream(path) as f:
-        return pa.ipc.open_stream(f).read_all()
-
-
-def read_written(folder: str, block: int) -> pa.Table:
-    """What was written for a block, where every block has a file."""
-    found = read_beside(folder, block)
-    if found is None:
-        raise ValueError(f"nothing was written for block {block}: the input's splits have changed between two reads")
-    return found
+    found = pq.read_table(path, filesystem=store, partitioning=None)
+    return found.filter(pc.is_valid(found[order])).combine_chunks()
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -125,10 +77,7 @@ def without(docs: DataFrame, rejected: DataFrame, key: str) -> DataFrame:
         now, gone = None, pa.array([], pa.int64())
         for block, piece in by_block(batches):
             if block != now:
-                now, gone = block, read_written(folder, block)[key].combine_chunks()
-            mask = pa.compute.invert(pa.compute.is_in(piece.column(piece.schema.get_field_index(key)), gone))
-            yield piece.filter(mask)
-
-    import pyarrow.compute  # noqa: F401  (loads pa.compute)
+                now, gone = block, read_beside(folder, block, key)[key].combine_chunks()
+            yield piece.filter(pc.invert(pc.is_in(piece.column(piece.schema.get_field_index(key)), gone)))
 
     return docs.mapInArrow(run, docs.schema)

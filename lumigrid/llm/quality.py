@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.llm.blocks import blocked, by_block, read_written, without, write_beside
+from lumigrid.llm.blocks import blocked, by_block, read_beside, without, write_beside
 from lumigrid.llm.shared import table
-from lumigrid.llm.words import slices, utf8
+from lumigrid.llm.words import slices, small_batches, utf8
 
 ORDER = 5
 #: The quantile of trusted documents, and how far above it a perplexity may be.
@@ -49,7 +49,12 @@ def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """block, doc, text, lang and key, which tells rows apart."""
     words = F.coalesce(F.col(text).cast("string"), F.lit(""))
     own = docs.select("block", F.col(doc_id).cast("long").alias("doc"), words.alias("text"), F.col(lang).cast("string").alias("lang"))
-    return own.withColumn("key", F.xxhash64(F.col("doc").isNull(), "doc", "text"))
+    return own.withColumn("key", row_key(F.col("doc"), F.col("text")))
+
+
+def row_key(doc, text):
+    """What tells rows apart; rows with one key have one id and text."""
+    return F.xxhash64(doc.isNull(), doc, text)
 
 
 def _trusted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str, every: DataFrame) -> str:
@@ -60,7 +65,7 @@ def _trusted(rows: DataFrame, labels: DataFrame, doc_id: str, label: str, every:
 
 def _flags(folder: str, block: int, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether documents are trusted, and whether they calibrate."""
-    found = read_written(folder, block)
+    found = read_beside(folder, block, "doc")
     if not found.num_rows:
         return np.zeros(len(docs), bool), np.zeros(len(docs), bool)
     ids, fold = found["doc"].to_numpy(), found["calibrates"].to_numpy(zero_copy_only=False)
@@ -148,7 +153,7 @@ def block_scores(rows: DataFrame, trusted: str, model: str, n: int) -> DataFrame
         now, known, cost = None, None, None
         for block, whole in by_block(batches):
             if block != now:
-                found = read_written(model, block)
+                found = read_beside(model, block, "gram")
                 known, cost = found["gram"].to_numpy(), found["cost"].to_numpy()
                 now = block
             for piece in slices([whole], "text"):
@@ -168,7 +173,7 @@ def block_scores(rows: DataFrame, trusted: str, model: str, n: int) -> DataFrame
     return rows.mapInArrow(run, "block long, key long, doc long, lang string, n_bytes long, loss double, trusted boolean, calibrates boolean")
 
 
-def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", order: int = ORDER, quantile: float = QUANTILE, room: float = ROOM, margin: float = MARGIN) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "quality", label_id: str = "doc_id", order: int = ORDER, quantile: float = QUANTILE, room: float = ROOM, margin: float = MARGIN) -> DataFrame:
     """A row for each of the blocked `docs`: block, key, doc_id, lang, n_bytes,
     perplexity (of a byte), threshold, keep.
 
@@ -181,7 +186,7 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """
     rows = _rows(docs, doc_id, text, lang)
     every = table(rows.select("block").distinct(), "blocks")
-    trusted = _trusted(rows, labels, doc_id, label, every)
+    trusted = _trusted(rows, labels, label_id, label, every)
     needs = table(block_grams(rows, trusted, order), "grams")
     corpus = table(needs.groupBy("gram").agg(F.sum("n").alias("n")), "corpus")
     costs = probabilities(corpus, order).select("gram", (-F.ln("p")).cast("float").alias("cost"))
@@ -199,18 +204,19 @@ def judge(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return out.select("block", "key", F.col("doc").alias("doc_id"), "lang", "n_bytes", "perplexity", threshold.alias("threshold"), keep.alias("keep"))
 
 
-def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """judge() of any documents, without its columns of blocks and keys."""
-    return judge(blocked(docs), labels, **options).drop("block", "key")
+    small_batches(docs)
+    own = docs.select(*[F.col(c).alias(f"_{k}") for k, c in enumerate((doc_id, text, lang))])
+    return judge(blocked(own), labels, "_0", "_1", "_2", label_id=doc_id, **options).drop("block", "key")
 
 
-def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
     """The documents that judge() keeps, with their own columns. Decisions go back to the
     blocks, texts stay where they are."""
+    small_batches(docs)
     mine = {f.name: f"_own_{i}" for i, f in enumerate(docs.schema.fields)}
-    held = blocked(docs)
-    names = {v: k for k, v in mine.items()}
-    key = F.xxhash64(F.col(doc_id).cast("long").isNull(), F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    rejected = judge(held, labels, doc_id, text, **options).where("not keep").select("block", F.col("key").alias("_key"))
-    own = held.select(*[F.col(f"`{k}`").alias(v) for k, v in mine.items()], "block", key.alias("_key"))
-    return without(own, rejected, "_key").select(*[F.col(v).alias(k) for v, k in names.items()])
+    held = blocked(docs.select(*[F.col(f"`{k}`").alias(v) for k, v in mine.items()]))
+    rejected = judge(held, labels, mine[doc_id], mine[text], mine[lang], label_id=doc_id, **options).where("not keep").select("block", F.col("key").alias("_key"))
+    own = held.withColumn("_key", row_key(F.col(mine[doc_id]).cast("long"), F.coalesce(F.col(mine[text]).cast("string"), F.lit(""))))
+    return without(own, rejected, "_key").select(*[F.col(v).alias(k) for k, v in mine.items()])

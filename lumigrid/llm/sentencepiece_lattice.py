@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding as relations.
 
-Texts are cut into units over which no piece reaches. The distinct units of the corpus are
-exploded into substrings of bounded length and equi-joined with the piece table: the
-lattice. The edges of each unit, grouped, are folded by Spark's higher-order ``aggregate``:
-
-* unigram models: Viterbi, the best score at each position;
-* BPE models: merges in the order of their scores. (A Viterbi fold over BPE scores, which
-  are ranks of merges and not log-probabilities, does not give the library's pieces.)
-
-The ids of units that many blocks of documents have are sent to every task; there are at
-most SHARE times as many of them as units in the largest block, whatever the corpus. Those
-of other units are written beside the blocks that have them (see blocks.py).
+Texts are cut where no piece of the model reaches over: between two characters that stand
+side by side in no piece. The distinct units of the corpus are exploded into substrings of
+bounded length and equi-joined with the piece table: the lattice. The edges of each unit,
+grouped, are folded over its positions by Spark's higher-order ``aggregate``, Viterbi's way:
+each position keeps the best path to it, which ends with one edge and goes on from the best
+path to where that edge starts.
+
+* Unigram models: the best path has the highest sum of scores.
+* BPE models: the pieces of a text's beginning are a path too, and it is the only one of
+  which no two neighbours would have been merged otherwise. So a step goes over an edge if
+  the edge's piece stands beside the path's last piece as the merges would leave both; the
+  ids are those of the library.
+
+Ids of units that many blocks of documents have are read by every task; there are at most
+SHARE times as many of them as units in the largest block, whatever the corpus. Those of
+other units are written beside the blocks that have them (see blocks.py).
 """
 
 from __future__ import annotations
@@ -21,23 +26,29 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumigrid.llm.blocks import blocked, by_block, read_beside, write_beside
-from lumigrid.llm.shared import table
-from lumigrid.llm.words import slices
+from lumigrid.llm.shared import at, shared_dir, table
+from lumigrid.llm.units import Memo, Units
+from lumigrid.llm.words import rolling_keys, slices, small_batches, utf8
 
 SPACE = "▁"
-#: Characters of a unit that goes through the lattice: its cuts are bits of a number.
-LONGEST = 60
-#: A unit in one of SHARE blocks or more is sent to all of them.
+#: Characters of a unit that goes through the lattice. The fold's work grows with their
+#: square; a longer unit is encoded by the library.
+LONGEST = 256
+#: A unit in one of SHARE blocks or more is read by all tasks.
 SHARE = 3
-#: Parts of texts whose ids a task remembers.
-RECENT = 100_000
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
+#: Bits of a rank in a number that holds two, and the rank of what never happens.
+RANK = 20
+NEVER = (1 << RANK) - 1
 
 
 @dataclass
@@ -61,45 +72,60 @@ class Pieces:
         return cls([(p.piece, k, p.score, p.type) for k, p in enumerate(model.pieces)], model.trainer_spec.model_type, how.add_dummy_prefix, path)
 
     def __post_init__(self):
-        words = [p for p, _, _, t in self.rows if t in (NORMAL, USER)]
-        if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in words):
+        words = [p.replace(SPACE, " ") for p, _, _, t in self.rows if t in (NORMAL, USER)]
+        if any(re.search("[^ ] ", w) for w in words):
             raise ValueError("a piece holds a space after another character")
-        letter = re.compile(r"[^\W\d_]")
-        mixed = [p for p in (w.lstrip(SPACE) for w in words) if p and not all(map(letter.match, p)) and any(map(letter.match, p))]
-        outside = {c for p in mixed for c in p if letter.match(c) and not c.isalpha()}
-        if any(letter.match(c) and c not in outside for p in mixed for c in p):
-            # letters and others share pieces: only spaces part units
-            self.unit = re.compile(r" *[^ ]+| +").findall
-        else:
-            more = "".join(map(re.escape, sorted(outside)))
-            self.unit = re.compile(rf" *[^\W\d_{more}]+| *(?:[^\w ]|[\d_{more}])+| +").findall
-        self.longest = max((len(w) for w in words), default=1)
+        self.longest = max(map(len, words), default=1)
         self.bytes = {int(p[3:5], 16): k for p, k, _, t in self.rows if t == BYTE}
         self.unknown = next((k for _, k, _, t in self.rows if t == UNKNOWN), 0)
-
-    def units(self, text: str) -> list[str]:
-        """A text's units, with spaces as spaces. They joined are the normalized text."""
-        text = text.replace(SPACE, " ")
-        return self.unit((" " if self.dummy_prefix else "") + text) if text else []
-
-    def parts(self, text: str) -> list[str] | None:
-        """The text cut at its spaces, each part to be read after one space: its units are
-        the text's. None where that is not so: at double, leading or trailing spaces."""
-        if not self.dummy_prefix or not text or text[0] in " ▁" or text[-1] in " ▁":
-            return None
-        text = text.replace(SPACE, " ")
-        return None if "  " in text else text.split(" ")
+        pairs = {(ord(a), ord(b)) for w in words for a, b in zip(w, w[1:])}
+        self.plain = np.zeros((128, 128), bool)  # pairs of characters that stand in a piece
+        for a, b in pairs:
+            if a < 128 and b < 128:
+                self.plain[a, b] = True
+        self.pairs = np.array(sorted((a << 21) | b for a, b in pairs) or [-1], np.int64)
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Whether a unit begins at each byte: a character that stands in no piece after
+        the character before it."""
+        cut = np.zeros(len(data), bool)
+        if data.max(initial=0) < 128:
+            cut[1:] = ~self.plain[data[:-1], data[1:]]
+            return cut
+        where = np.flatnonzero((data & 0xC0) != 0x80)
+        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+        a, b = code[:-1], code[1:]
+        inside = np.zeros(len(a), bool)
+        plain = (a < 128) & (b < 128)
+        inside[plain] = self.plain[a[plain], b[plain]]
+        key = (a[~plain].astype(np.int64) << 21) | b[~plain]
+        inside[~plain] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
+        cut[where[1:][~inside]] = True
+        return cut
+
+    def units(self, column: pa.Array) -> Units:
+        """The units of texts, with spaces as spaces. They joined are the normalized texts."""
+        data, at_ = utf8(pc.replace_substring(column, SPACE, " "))
+        if self.dummy_prefix:
+            full = at_[:-1] < at_[1:]
+            data, at_ = np.insert(data, at_[:-1][full], 32), at_ + np.r_[0, np.cumsum(full)]
+        return Units(data, at_, self.cuts(data))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score, rank (0 for the best score) of what substrings can match; as many
-        rows as the vocabulary."""
+        """piece, id, and of unigram models cost, of BPE models rank (1 for the best score)
+        and right and left, the spines() of its end and start; as many rows as the
+        vocabulary."""
         words = [(p, k, float(s)) for p, k, s, t in self.rows if t in (NORMAL, USER)]
-        rank = {s: r for r, s in enumerate(sorted({s for *_, s in words}, reverse=True))}
-        return spark.createDataFrame([(*w, rank[w[2]]) for w in words], "piece string, id int, score double, rank int")
+        rank = {s: r for r, s in enumerate(sorted({s for *_, s in words}, reverse=True), 1)}
+        ranks = {p: rank[s] for p, _, s in words}
+        if self.kind == UNIGRAM:
+            return spark.createDataFrame([(p, k, -s) for p, k, s in words], "piece string, id int, cost double")
+        return spark.createDataFrame([(p, k, rank[s], *spines(p, ranks)) for p, k, s in words], "piece string, id int, rank int, right array<long>, left array<long>")
 
-    def out(self) -> list[bytes]:
-        """What each id decodes to."""
-        return [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else " ⁇ ".encode() if t == UNKNOWN else b"" for p, _, _, t in self.rows]
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids decode to, joined, and the n+1 offsets of the ids in them."""
+        out = [bytes([int(p[3:5], 16)]) if t == BYTE else p.replace(SPACE, " ").encode() if t in (NORMAL, USER) else " ⁇ ".encode() if t == UNKNOWN else b"" for p, _, _, t in self.rows]
+        return np.frombuffer(b"".join(out), np.uint8), np.r_[0, np.cumsum([len(x) for x in out])]
 
     def long_unit(self, library, unit: str) -> list[int]:
         """Ids of a unit that is too long for the lattice, by the library."""
@@ -110,314 +136,254 @@ class Pieces:
         return library.encode("\n" + unit)[len(library.encode("\n")) :]
 
 
-# ---- the lattice -------------------------------------------------------------------
-
-
-def _bit(k):
-    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
-
-
-@dataclass
-class Edges:
-    """How an edge is held: where it starts, its size, its piece's id, and what orders it.
-    BPE edges are one number, of rank, start, size and id from its high bits down, as
-    millions of them are sorted; unigram edges have their cost beside."""
-
-    kind: int
-
-    def make(self, e: DataFrame):
-        if self.kind == BPE:
-            field = lambda c, n: F.call_function("shiftleft", F.col(c).cast("long"), F.lit(n))
-            return field("rank", 36).bitwiseOR(field("start", 30)).bitwiseOR(field("size", 24)).bitwiseOR(F.col("id").cast("long"))
-        return F.struct((-F.col("score")).alias("cost"), "start", "size", "id")
-
-    def part(self, e, low: int, bits: int, name: str):
-        if self.kind == BPE:
-            return F.call_function("shiftright", e, F.lit(low)).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
-        return e[name]
-
-    def start(self, e):
-        return self.part(e, 30, 6, "start")
-
-    def size(self, e):
-        return self.part(e, 24, 6, "size")
-
-    def id(self, e):
-        return self.part(e, 0, 24, "id")
+def spines(piece: str, ranks: dict[str, int]) -> tuple[list[int], list[int]]:
+    """When BPE, while it makes a piece, has a piece of each size at its end, and at its
+    start: the rank of the merge that makes that piece above the rank of the next one there,
+    which takes it in; -1 for sizes that it never has."""
+    parts, last = list(piece), 0
+    sides = [(1, 0)], [(1, 0)]
+    while len(parts) > 1:
+        rank, k = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=(0, 0))
+        if rank == 0 or rank < last:
+            raise ValueError(f"the merges of {piece} do not make it, or not in the order of their ranks")
+        last = rank
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        for side, there in zip(sides, (k == len(parts) - 1, k == 0)):
+            if there:
+                side.append((len(parts[k]), rank))
+    out = [-1] * len(piece), [-1] * len(piece)
+    for times, side in zip(out, sides):
+        for (size, made), (_, taken) in zip(side, [*side[1:], (0, NEVER)]):
+            times[size - 1] = made << RANK | taken
+    return out
 
-    def ends(self, e):
-        """Bits of the two positions that an edge joins."""
-        return _bit(self.start(e)).bitwiseOR(_bit(self.start(e) + self.size(e)))
 
-    def inner(self, e):
-        """Bits of the positions that it passes over."""
-        return _bit(self.start(e) + self.size(e)) - _bit(self.start(e) + 1)
+# ---- the lattice -------------------------------------------------------------------
 
 
-def lattice(units: DataFrame, pieces: DataFrame, longest: int, held: Edges) -> DataFrame:
-    """`units` (distinct `unit`, of LONGEST characters at most, other columns) with
-    `edges`, sorted: one for each substring that is a piece. The rows of a unit stay where
-    it is: the explode and the join with the vocabulary, which is sent, keep its
-    partitioning. Other columns travel on one row of each unit."""
+def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """`units` (distinct `unit`, of LONGEST characters at most, other columns) with `edges`,
+    sorted by end, then start: one for each substring that is a piece, and for each
+    character that is none. The rows of a unit stay where it is: the explode and the join
+    with the vocabulary, which is sent, keep its partitioning. Other columns travel on one
+    row of each unit."""
     n = F.length("unit")
-    start = units.withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
-    both = start.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))))
+    # a number that rises keeps the rows of a unit together: they are in its order already
+    start = units.withColumn("nth", F.monotonically_increasing_id()).withColumn("start", F.explode(F.sequence(F.lit(0), n - 1)))
+    both = start.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("start")))))
     both = both.withColumn("piece", F.substring("unit", F.col("start") + 1, F.col("size")))
-    first = (F.col("start") == 0) & (F.col("size") == 1)
     # the piece table is as large as the vocabulary, whatever the corpus
-    found = both.join(F.broadcast(pieces), "piece", "left").where(F.col("id").isNotNull() | first)
+    found = both.join(F.broadcast(pieces.frame(units.sparkSession)), "piece", "left").where(F.col("id").isNotNull() | (F.col("size") == 1))
+    if pieces.bytes:
+        text, first = F.hex(F.encode("piece", "UTF-8")), min(pieces.bytes.values())
+        bare = F.transform(F.sequence(F.lit(0), (F.length(text) / 2 - 1).cast("int")), lambda k: F.conv(F.substring(text, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + first)
+    else:
+        bare = F.array(F.lit(pieces.unknown))
+    if pieces.kind == UNIGRAM:
+        worst = min((s for _, _, s, t in pieces.rows if t == NORMAL), default=0.0)
+        more = [F.coalesce("cost", F.lit(10.0 - worst)).alias("cost")]
+    else:
+        alone = F.array(F.lit(NEVER).cast("long"))
+        more = [F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("right", alone).alias("right"), F.coalesce("left", alone).alias("left")]
+    edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", "id", F.when(F.col("id").isNull(), bare).alias("bare"), *more)
     others = [c for c in units.columns if c != "unit"]
-    found = found.select("unit", F.when(F.col("id").isNotNull(), held.make(found)).alias("edge"), *[F.when(first, F.col(c)).alias(c) for c in others])
-    return found.groupBy("unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
-
-
-def spans(edges, held: Edges):
-    """Each edge as the bits it joins and passes over, its place and id as one number, and
-    whether it is longer than a character: what the folds and their results look at."""
-    return F.transform(edges, lambda e: F.struct(
-        held.ends(e).alias("ends"), held.inner(e).alias("inner"),
-        F.call_function("shiftleft", held.start(e).cast("long"), F.lit(24)).bitwiseOR(held.id(e).cast("long")).alias("placed"),
-        (held.size(e) > 1).alias("long"),
-    ))
-
-
-def merge_fold(spans, n):
-    """Cuts that remain of a BPE unit: bits of a number. An edge can merge when both its
-    ends are cuts and just one cut is between. Edges come in the order of merges, so one
-    pass makes them, and a second those that only a later merge allows. Runs of spaces
-    have pieces of equal score, of which the leftmost possible goes first, at each step."""
-    everything = _bit(n + 1) - 1
-    fits = lambda m, e: (m.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(m.bitwiseAND(e["inner"])) == 1)
-    cut = lambda m, e: m.bitwiseAND(F.bitwise_not(e["inner"]))
-    once = lambda m, e: F.when(fits(m, e), cut(m, e)).otherwise(m)
-    twice = F.aggregate(spans, F.aggregate(spans, everything, once), once)
-    long = F.filter(spans, lambda e: e["long"])
-    by_step = F.aggregate(F.sequence(F.lit(1), n), everything, lambda m, _: F.coalesce(cut(m, F.get(F.filter(long, lambda e: fits(m, e)), F.lit(0))), m))
-    return F.when(F.col("unit").startswith(SPACE * 2), by_step).otherwise(twice)
-
-
-def viterbi_fold(edges, n, unknown_cost: float):
-    """Cuts of the best path through a unigram unit: least cost, of equal ones that whose
-    last piece begins first. A character that is no piece costs `unknown_cost`."""
-    single = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.lit(unknown_cost).alias("cost"), i.alias("start"), F.lit(1).alias("size")))
-    known = F.transform(edges, lambda e: F.struct(e["cost"].alias("cost"), e["start"].alias("start"), e["size"].alias("size")))
-    covered = F.transform(F.filter(edges, lambda e: e["size"] == 1), lambda e: e["start"])
-    all_ = F.concat(known, F.filter(single, lambda s: ~F.array_contains(covered, s["start"])))
-    nothing = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).cast("long").alias("cuts")))
-
-    def step(best, stop):
-        ending = F.filter(all_, lambda e: e["start"] + e["size"] == stop)
-        paths = F.transform(ending, lambda e: F.struct(
-            (F.get(best, e["start"])["cost"] + e["cost"]).alias("cost"), e["start"].alias("start"),
-            F.get(best, e["start"])["cuts"].bitwiseOR(_bit(stop)).alias("cuts"),
-        ))
-        first = F.array_min(paths)
-        return F.concat(best, F.array(F.struct(first["cost"].alias("cost"), first["cuts"].alias("cuts"))))
-
-    return F.aggregate(F.sequence(F.lit(1), n), nothing, step, lambda best: F.get(best, n)["cuts"])
+    once = (F.col("start") == 0) & (F.col("size") == 1)
+    found = found.select("nth", "unit", edge.alias("edge"), *[F.when(once, F.col(c)).alias(c) for c in others])
+    grouped = found.groupBy("nth", "unit").agg(F.sort_array(F.collect_list("edge")).alias("edges"), *[F.first(c, ignorenulls=True).alias(c) for c in others])
+    return grouped.drop("nth")
+
+
+def _never_merged(last, edge, crossing):
+    """Whether BPE leaves the pieces `last` and `edge` side by side: no piece that crosses
+    the place between them could be merged while both its halves stand there. A half stands
+    from its own merge to the next one at its side; of merges of one rank the leftmost goes
+    first, so a tie with the left half's side is lost and one with the right half's is won."""
+    made = lambda x: F.call_function("shiftright", x, F.lit(RANK))
+    taken = lambda x: x.bitwiseAND(F.lit(NEVER))
+
+    def merges(c):
+        left, right = F.get(last["right"], edge["start"] - c["start"] - 1), F.get(edge["left"], c["end"] - edge["start"] - 1)
+        return (c["rank"] < taken(left)) & (c["rank"] <= taken(right)) & (made(right) < taken(left)) & (made(left) <= taken(right)) & (left >= 0) & (right >= 0)
+
+    # edges inside the two pieces that reach over the place between them
+    between = lambda c: (c["end"] > edge["start"]) & (c["start"] >= last["start"]) & (c["start"] < edge["start"]) & (c["end"] <= edge["end"])
+    return ~F.exists(crossing, lambda c: between(c) & merges(c))
+
+
+def viterbi(edges, crossing, kind: int):
+    """The ids of the best path through a unit. Edges come by their end, then start; the
+    state has for each position the last edge of the best path to it, the path's ids and,
+    for unigram models, its cost. Of equal costs that path stays whose last piece begins
+    first; of BPE pieces that end at a position just one can follow the path before it."""
+    none = F.array().cast("array<int>")
+    held = ("cost", F.lit(0.0)) if kind == UNIGRAM else ("right", F.array().cast("array<long>"))
+    state = lambda start, ids, value: F.array(F.struct(start.alias("start"), ids.alias("ids"), value.alias(held[0])))
+
+    def step(best, e):
+        before = F.get(best, e["start"])
+        ids = F.concat(before["ids"], F.coalesce(e["bare"], F.array(e["id"])))
+        if kind == BPE:
+            # an array of one binds a name to what would be found anew at each use
+            fits = (e["start"] == 0) | F.exists(F.array(before), lambda last: _never_merged(last, e, crossing))
+            return F.when((F.size(best) == e["end"]) & fits, F.concat(best, state(e["start"], ids, e["right"]))).otherwise(best)
+        cost = before["cost"] + e["cost"]
+        return (
+            F.when(F.size(best) == e["end"], F.concat(best, state(e["start"], ids, cost)))
+            .when(cost < F.get(best, e["end"])["cost"], F.concat(F.slice(best, F.lit(1), e["end"]), state(e["start"], ids, cost)))
+            .otherwise(best)
+        )
+
+    return F.aggregate(edges, state(F.lit(0), none, held[1]), step, lambda best: F.element_at(best, -1)["ids"])
 
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """`units` with `ids`. `unit` is distinct, with spaces as the model's mark."""
-    spark, held = units.sparkSession, Edges(pieces.kind)
-    found = lattice(units, pieces.frame(spark), pieces.longest, held).withColumn("spans", spans(F.col("edges"), held))
-    n = F.length("unit")
+    # an array of one binds a name to a value; a column used once would be put where it is
+    # used, inside the fold, and be found anew for each edge
+    bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     if pieces.kind == BPE:
-        cuts = merge_fold(F.col("spans"), n)
-    else:
-        worst = min((s for _, _, s, t in pieces.rows if t == NORMAL), default=0.0)
-        cuts = viterbi_fold(F.col("edges"), n, 10.0 - worst)
-    found = found.withColumn("cuts", cuts)
-    # the edges that the cuts leave, in order of their place
-    used = F.filter("spans", lambda e: (F.col("cuts").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("cuts").bitwiseAND(e["inner"]) == 0))
-    found = found.withColumn("used", F.sort_array(F.transform(used, lambda e: e["placed"])))
-    id_ = lambda x: x.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
-    place = lambda x: F.call_function("shiftright", x, F.lit(24)).cast("int")
-    # characters that are no piece, if the cuts have more parts than there are edges
-    if pieces.bytes:
-        first = min(pieces.bytes.values())
-        text = lambda i: F.hex(F.encode(F.substring(F.col("unit"), i + 1, F.lit(1)), "UTF-8"))
-        other = lambda i: F.transform(F.sequence(F.lit(0), (F.length(text(i)) / 2 - 1).cast("int")), lambda k: (F.conv(F.substring(text(i), k * 2 + 1, F.lit(2)), 16, 10).cast("int") + first))
+        ids = bind(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda crossing: viterbi(F.col("edges"), crossing, BPE))
     else:
-        other = lambda i: F.array(F.lit(pieces.unknown))
-    held_at = F.transform("used", place)
-    inside = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.call_function("shiftright", F.col("cuts"), i).bitwiseAND(F.lit(1)) == 1) & ~F.array_contains(held_at, i))
-    bare = F.transform(inside, lambda i: F.struct(i.alias("start"), other(i).alias("ids")))
-    placed = F.transform("used", lambda x: F.struct(place(x).alias("start"), F.array(id_(x)).alias("ids")))
-    mended = F.flatten(F.transform(F.sort_array(F.concat(placed, bare)), lambda x: x["ids"]))
-    ids = F.when(F.size("used") == F.bit_count("cuts") - 1, F.transform("used", id_)).otherwise(mended)
-    return found.select("unit", ids.alias("ids"), *[c for c in units.columns if c != "unit"])
+        ids = viterbi(F.col("edges"), None, UNIGRAM)
+    return lattice(units, pieces).select("unit", ids.alias("ids"), *[c for c in units.columns if c != "unit"])
 
 
 # ---- documents ---------------------------------------------------------------------
 
 
-def _hashes(units: list[str]) -> np.ndarray:
-    """Python's own hashes: they hold only within one process."""
-    return np.fromiter(map(hash, units), np.int64, len(units))
-
-
 def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """block and unit: each unit of at most LONGEST characters once for each block. A unit
-    whose 64-bit hash another one has had may be left out; encode() gives it to the library."""
+    """block and unit: each unit of at most LONGEST characters, once in each run of rows of
+    a block. A unit whose 64-bit key another of the run has may be left out; encode() then
+    gives it to the library."""
 
     def run(batches):
-        now, seen = None, np.zeros(0, np.int64)
+        now, seen = None, np.zeros(0, np.uint64)
         for block, whole in by_block(batches):
             if block != now:
-                now, seen = block, np.zeros(0, np.int64)
-            for piece in slices([whole], "text", 2 << 20):
-                # most parts repeat, so they are made distinct before they are cut further
-                parts, new = set(), set()
-                for t in piece.column(1).to_pylist():
-                    cut = pieces.parts(t)
-                    if cut is None:
-                        new.update(pieces.units(t))
-                    else:
-                        parts.update(cut)
-                for p in parts:
-                    new.update(pieces.unit(" " + p))
-                found = [u for u in new if len(u) <= LONGEST]
-                marks = _hashes(found)
-                fresh = np.ones(len(found), bool)
+                now, seen = block, np.zeros(0, np.uint64)
+            for piece in slices([whole], "text", SLICE):
+                units = pieces.units(piece.column(piece.schema.get_field_index("text")))
+                keys, first = np.unique(units.key, return_index=True)
                 if len(seen):
-                    fresh = seen[np.minimum(np.searchsorted(seen, marks), len(seen) - 1)] != marks
-                seen = np.union1d(seen, marks[fresh])
-                out = [found[k].replace(" ", SPACE) for k in np.flatnonzero(fresh).tolist()]
+                    fresh = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
+                    keys, first = keys[fresh], first[fresh]
+                seen = np.union1d(seen, keys)
+                first = first[units.end[first] - units.start[first] <= 4 * LONGEST]
+                texts = [u.decode().replace(" ", SPACE) for u in units.texts(first)]
+                out = [u for u in texts if len(u) <= LONGEST]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), block)), pa.array(out, pa.string())], names=["block", "unit"])
 
     return rows.select("block", "text").mapInArrow(run, "block long, unit string")
 
 
-class Known:
-    """Ids of units, found by a unit's hash and checked by the unit itself. All are arrays:
-    as a dictionary of objects they take ten times the memory."""
-
-    def __init__(self, found: pa.Table | None, out: pa.Array):
-        schema = pa.schema([("unit", pa.string()), ("ids", pa.list_(pa.int32()))])
-        found = (found if found is not None else schema.empty_table()).combine_chunks()
-        units, ids = (found[c].chunk(0) if found.num_rows else pa.array([], t) for c, t in zip(schema.names, schema.types))
-        self.units = pc.replace_substring(units, SPACE, " ")
-        self.ids = ids.flatten().to_numpy().astype("<i4", copy=False).tobytes()
-        self.at = np.r_[0, np.cumsum(pc.list_value_length(ids).to_numpy())].astype(np.int32)
-        marks, lossy = [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for low in range(0, len(units), 20_000):
-            u, i = self.units.slice(low, 20_000), ids.slice(low, 20_000)
-            marks.append(_hashes(u.to_pylist()))
-            ends = np.r_[0, np.cumsum(pc.list_value_length(i).to_numpy())].astype(np.int32)
-            text = pc.binary_join(pa.ListArray.from_arrays(ends, out.take(i.flatten())), b"")
-            lossy.append(pc.not_equal(text, u.cast(pa.binary())).to_numpy(zero_copy_only=False))
-        marks = np.concatenate(marks)
-        self.order = np.argsort(marks).astype(np.int32)
-        self.marks, self.lossy = marks[self.order], np.concatenate(lossy)
-        del found, units, ids
-        pa.default_memory_pool().release_unused()
-
-    def find(self, units: list[str]) -> tuple[dict[str, bytes], set[str], list[str]]:
-        """Ids of those of the units that are here, which of these do not decode to
-        themselves, and the other units."""
-        if not units or not len(self.marks):
-            return {}, set(), units
-        spot = self.order[np.minimum(np.searchsorted(self.marks, _hashes(units)), len(self.marks) - 1)]
-        same = pc.equal(self.units.take(pa.array(spot)), pa.array(units, pa.string())).to_numpy(zero_copy_only=False)
-        here, there = np.flatnonzero(same), spot[same]
-        ids = {units[k]: self.ids[4 * a : 4 * b] for k, a, b in zip(here.tolist(), self.at[there].tolist(), self.at[there + 1].tolist())}
-        return ids, {units[k] for k in here[self.lossy[there]].tolist()}, [units[k] for k in np.flatnonzero(~same).tolist()]
+def _learn(memo: Memo, found: pa.Table | None) -> None:
+    if found is None or not found.num_rows:
+        return
+    unit, ids = (pa.concat_arrays(found[c].chunks) for c in ("unit", "ids"))
+    data, ends = utf8(pc.replace_substring(unit, SPACE, " "))
+    keys, first = np.unique(rolling_keys(data, ends[:-1], ends[1:]), return_index=True)
+    ids = ids.take(pa.array(first))
+    memo.add(keys, ids.flatten().to_numpy(), pc.list_value_length(ids).to_numpy())
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """`docs` with ids (array<int>) and round_trip, whether they decode to the text again.
 
-    Ids equal those of the sentencepiece library. A null text is empty and has no ids.
-    Texts of any length are encoded whole; a unit of more than LONGEST characters is
-    encoded by the library. Repeated rows get equal ids; columns named as a result are
-    replaced. Texts do not move; only distinct units and their ids are shuffled.
+    Ids equal those of the sentencepiece library. A null text is empty and has no ids; an
+    empty table gives no rows. Texts of any length are encoded whole; a unit of more than
+    LONGEST characters is encoded by the library. Repeated rows get equal ids; columns named
+    as a result are replaced. Texts do not move; only distinct units and their ids are
+    shuffled.
     """
+    small_batches(docs)
     names = {f.name: f"_own_{i}" for i, f in enumerate(docs.schema.fields) if f.name.lower() not in ("ids", "round_trip")}
-    held = blocked(docs)
-    rows = held.select("block", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(v) for k, v in names.items()])
-    n_blocks = rows.select("block").distinct().count()
-    spread = max(2, -(-n_blocks // SHARE))
-    units = block_units(rows, pieces).groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    units = units.withColumn("blocks", F.when(F.size("blocks") < spread, F.col("blocks")))
-    coded = table(encode_units(units, pieces), "units")
-    common = write_beside(coded.where("blocks is null").select(F.lit(0).cast("long").alias("block"), "unit", "ids"), "common", "unit")
-    own = write_beside(coded.select(F.explode("blocks").alias("block"), "unit", "ids"), "own", "unit")
-    out_bytes = pieces.out()
+    schema = docs.select(*[f"`{n}`" for n in names]).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+    rows = blocked(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(v) for k, v in names.items()]))
+    units = table(block_units(rows, pieces), "units")
+    spread = max(2, -(-units.select("block").distinct().count() // SHARE))
+    coded = table(encode_units(units.groupBy("unit").agg(F.count("*").alias("n")), pieces), "coded")
+    common = shared_dir(docs.sparkSession, "common")
+    coded.where(F.col("n") >= spread).select("unit", "ids").write.parquet(common)
+    rare = coded.where(F.col("n") < spread).select("unit", "ids")
+    own = write_beside(units.join(rare.hint("shuffle_hash"), "unit").select("block", "unit", "ids"), "own", "unit")
+    spelled = pieces.spelled()
 
     def run(batches):
-        library, out = [], pa.array(out_bytes, pa.binary())
+        library = []
 
-        def by_library(u):
+        def by_library(unit: bytes) -> list[int]:
             if not library:
                 import sentencepiece
 
                 library.append(sentencepiece.SentencePieceProcessor(model_file=pieces.path))
-            return np.array(pieces.long_unit(library[0], u), "<i4").tobytes()
-
-        everywhere, here, now = Known(read_beside(common, 0), out), None, None
-        recent: dict[str, bytes] = {}  # ids of parts seen before
-        bad: set[str] = set()  # those of them that do not decode to themselves
-
-        def learn(units):
-            """Ids of units, and which of them do not decode to themselves."""
-            ids, lossy, rest = everywhere.find(units)
-            more, also, rest = here.find(rest)
-            ids.update(more)
-            lossy |= also
-            for u in rest:  # too long for the lattice, or of a hash that another unit has
-                ids[u] = by_library(u)
-                if b"".join(map(out_bytes.__getitem__, np.frombuffer(ids[u], "<i4").tolist())) != u.encode():
-                    lossy.add(u)
-            return ids, lossy
-
-        def encoded(texts):
-            """The ids of each text, as bytes, and whether they decode to it again."""
-            cut = [pieces.parts(t) for t in texts]
-            new = set().union(*filter(None, cut)).difference(recent)
-            if len(recent) + len(new) > RECENT:
-                recent.clear()
-                bad.clear()
-                new = set().union(*filter(None, cut))
-            of = {p: pieces.unit(" " + p) for p in new}
-            odd = {k: pieces.units(t) for k, t in enumerate(texts) if cut[k] is None}
-            ids, lossy = learn(list(set().union(*of.values(), *odd.values())))
-            for p, units in of.items():
-                recent[p] = b"".join(map(ids.__getitem__, units))
-                if lossy and not lossy.isdisjoint(units):
-                    bad.add(p)
-            # the units joined are the text, so it is whole if they are
-            for k, t in enumerate(texts):
-                if cut[k] is None:
-                    yield b"".join(map(ids.__getitem__, odd[k])), SPACE not in t and lossy.isdisjoint(odd[k])
-                else:
-                    yield b"".join(map(recent.__getitem__, cut[k])), SPACE not in t and (not bad or bad.isdisjoint(cut[k]))
+            return pieces.long_unit(library[0], unit.decode())
 
+        now, memo = None, Memo(most=1 << 31)  # holds the units of all and of one block
+        everywhere = None
         for block, whole in by_block(batches):
+            if everywhere is None:
+                store, path = at(common)
+                everywhere = pq.read_table(path, filesystem=store)
             if block != now:
-                here = None  # before the next one is read
-                now, here = block, Known(read_beside(own, block), out)
-            for piece in slices([whole], "text", 1 << 20):
-                coded, same = zip(*encoded(piece.column(1).to_pylist()), strict=True)
-                ends = np.r_[0, np.cumsum([len(c) // 4 for c in coded])].astype(np.int32)
-                lists = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(coded), "<i4"))
-                yield pa.RecordBatch.from_arrays([*piece.columns[2:], lists, pa.array(same, pa.bool_())], names=[*names, "ids", "round_trip"])
-
-    schema = held.select(*[f"`{n}`" for n in names]).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
+                now = block
+                memo.clear()
+                own_ = read_beside(own, block, "unit", must=False)
+                _learn(memo, pa.concat_tables([everywhere, own_.select(["unit", "ids"]).cast(everywhere.schema)]) if own_ is not None else everywhere)
+                del own_
+            for piece in slices([whole], "text", SLICE):
+                column = piece.column(piece.schema.get_field_index("text"))
+                units = pieces.units(column)
+                new = memo.missing(units.key)  # too long for the lattice, or of another's key
+                if len(new):
+                    lists = [by_library(u) for u in units.texts(new)]
+                    memo.add(units.key[new], np.concatenate(lists), np.array([len(x) for x in lists]))
+                ids, size = memo.ids(units.key)
+                ends = np.r_[0, np.cumsum(size)][units.first]
+                same = round_trips(ids, ends, units, spelled) & ~pc.match_substring(column, SPACE).to_numpy(zero_copy_only=False)
+                own_columns = [piece.column(piece.schema.get_field_index(n)) for n in names.values()]
+                yield pa.RecordBatch.from_arrays([*own_columns, pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(same)], names=schema.names)
+
     return rows.mapInArrow(run, schema)
 
 
+def spell(ids: np.ndarray, spelled: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of ids, one after another, and the n+1 offsets of the ids in them."""
+    data, begin = spelled
+    size = (begin[1:] - begin[:-1])[ids]
+    ends = np.r_[0, np.cumsum(size)]
+    return data[np.repeat(begin[ids] - ends[:-1], size) + np.arange(ends[-1])], ends
+
+
+def round_trips(ids: np.ndarray, ends: np.ndarray, units: Units, spelled) -> np.ndarray:
+    """Whether the ids ids[ends[i]:ends[i+1]] decode to the normalized text i again."""
+    out, at_ = spell(ids, spelled)
+    was, now = np.r_[units.start, len(units.data)][units.first], at_[ends]
+    same = np.diff(was) == np.diff(now)
+    if same.all():
+        wrong = np.r_[0, np.cumsum(out != units.data)]
+        return wrong[now[1:]] == wrong[now[:-1]]
+    for k in np.flatnonzero(same).tolist():
+        same[k] = (out[now[k] : now[k + 1]] == units.data[was[k] : was[k + 1]]).all()
+    return same
+
+
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """`df` with the text of its ids; null where they are null. Bytes that are not UTF-8
-    become replacement characters, as do ids outside the table nothing."""
-    held = pieces.out()
+    become replacement characters, ids that are null or outside the table nothing. An empty
+    table gives no rows; a column named as the result is replaced."""
+    spelled = pieces.spelled()
     cut = 1 if pieces.dummy_prefix else 0
 
     def run(batches):
         for batch in batches:
-            found = batch.column(batch.schema.get_field_index(ids)).to_pylist()
-            joined = [None if x is None else b"".join(held[i] for i in x if i is not None and 0 <= i < len(held)) for x in found]
-            texts = [None if b is None else (b[cut:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in joined]
+            lists = batch.column(batch.schema.get_field_index(ids)).cast(pa.list_(pa.int64()))
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+            flat = lists.flatten().fill_null(-1).to_numpy()
+            known = (flat >= 0) & (flat < len(spelled[1]) - 1)
+            out, at_ = spell(flat[known], spelled)
+            ends = at_[np.r_[0, np.cumsum(known)][np.r_[0, np.cumsum(size)]]].tolist()
+            raw = [None if not there else out[a:b].tobytes() for a, b, there in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
+            texts = [None if b is None else (b[cut:] if b[:1] == b" " else b).decode("utf-8", "replace") for b in raw]
             kept = [k for k, n in enumerate(batch.schema.names) if n != text]
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(texts, pa.string())], names=[*[batch.schema.names[k] for k in kept], text])
 

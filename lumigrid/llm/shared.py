@@ -5,18 +5,25 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from functools import cache
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lumigrid-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``. Only where that is unset, as in local
-    tests, a temporary folder of this machine takes its place."""
+    """A new path below ``spark.checkpoint.dir``. Only where that is unset and the master
+    is local, as in tests, a temporary folder of this machine takes its place."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="lumigrid-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _local()
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 
