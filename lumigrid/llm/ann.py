@@ -4,31 +4,43 @@ A bounded sample gives a neighbour graph, which is cut into parts of equal size
 edges between them. A small classifier learns a vector's part from the parts of its
 neighbours; it sends every vector of the table to one part and every query to several, the
 most probable. How many is set so that sample vectors find nearly all of their neighbours.
+A table of more parts than one classifier tells apart has two levels: each part of the
+first is cut and learnt again, from its own sample, in the task that holds it.
 Queries and candidates of a part meet in blocks of bounded size and are ranked by their
 exact cosine.
 """
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.llm.shared import table
 
-#: Vectors that the graph and the classifier are fitted to, at most.
+#: Vectors that a graph and its classifier are fitted to, at most.
 SAMPLE = 8192
 #: Vectors of a part, on average, and of a block of it.
 PART, BLOCK = 2048, 4096
-MOST_PARTS = 1024
+#: Parts that one classifier tells apart. Two levels make their square, for 134 million
+#: vectors; of a larger table parts grow and are compared in more blocks.
+MOST_PARTS = 256
 NEIGHBOURS = 10
 #: The share of sample neighbours that must be within reach.
 REACH = 0.97
 
 
+def parts_of(n: int, part: int) -> int:
+    """Parts for n vectors, a power of two: of `part` vectors at most on average, and eight
+    at least where that leaves eight vectors to each."""
+    return 2 ** max(1 if n < 64 else 3, int(np.ceil(np.log2(max(n / part, 1)))))
+
+
 def vectors(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id and v (doubles) of the vectors that take part: a row's id is not null, its vector
     is not null or zero, has no null or non-finite component and the most frequent length.
@@ -97,6 +109,8 @@ class Router:
 
     def order(self, x: np.ndarray) -> np.ndarray:
         """Parts of unit vectors, most probable first."""
+        if self.parts == 1:
+            return np.zeros((len(x), 1), np.int64)
         a, b, c, d = self.weights
         return np.argsort(-(np.maximum(x @ a + b, 0) @ c + d), axis=1, kind="stable")
 
@@ -106,7 +120,8 @@ def fit(sample: np.ndarray, parts: int, seed: int = 0, hidden: int = 128, epochs
     of its neighbours. A tenth of the sample only sets the number of probes."""
     x = unit(sample)
     rng = np.random.default_rng(seed)
-    if len(x) < 4 * parts or parts == 1:
+    parts = min(parts, 2 ** int(np.log2(max(len(x), 1))))  # a vector for each part at least
+    if parts == 1:
         return Router([np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)], 1, 1)
     near = neighbour_graph(x, min(NEIGHBOURS, len(x) - 1))
     part = balanced_parts(x, near, parts)
@@ -135,7 +150,7 @@ def fit(sample: np.ndarray, parts: int, seed: int = 0, hidden: int = 128, epochs
     place = np.argsort(router.order(x[check]), axis=1)  # when each part is probed
     when = np.take_along_axis(place, home[near[check, :5]], axis=1)
     for probes in range(1, parts + 1):
-        if (when < probes).mean() >= REACH:
+        if when.size and (when < probes).mean() >= REACH:
             router.probes = probes
             break
     return router
@@ -146,7 +161,56 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / (norm(a) * norm(b))
 
 
-def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE) -> DataFrame:
+def fit_parts(rows: DataFrame, router: Router, parts: int, n: int, sample: int) -> dict[int, Router]:
+    """A router of `parts` parts for each part of `router`, each from about `sample` of the
+    part's vectors; MOST_PARTS routers at most come to the driver, of a few hundred KB."""
+    drawn = rows.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1_000_000)) < int(min(1.0, sample * router.parts / n) * 1_000_000))
+    held = drawn.mapInArrow(routed(router, 1), ROUTED)
+
+    def learn(key, group):
+        found = fit(np.stack(group["v"].to_numpy()[:sample]), parts)
+        made = pickle.dumps(Router([w.astype(np.float32) for w in found.weights], found.parts, found.probes))
+        return pd.DataFrame({"part": [int(key[0])], "router": [made]})
+
+    return {r.part: pickle.loads(r.router) for r in held.groupBy("part").applyInPandas(learn, "part int, router binary").collect()}
+
+
+ROUTED = "id long, v array<double>, part int"
+
+
+def matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def routed(router: Router, probes: int, within=None):
+    """A function that sends vectors of Arrow batches to their most probable parts. within:
+    a broadcast of routers for each part's own parts; probes = 0 stands for each router's
+    own number."""
+
+    def run(batches):
+        below = within.value if within else {}
+        wide = max((r.parts for r in below.values()), default=1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = unit(matrix(b.column(1)))
+            to = router.order(x)[:, : probes or router.probes]
+            rows, parts = np.repeat(np.arange(len(x)), to.shape[1]), to.reshape(-1)
+            if below:
+                chosen = []
+                for p in np.unique(parts).tolist():
+                    mine = rows[parts == p]
+                    own = below.get(p)  # a part that the sample had nothing of is one part
+                    inner = own.order(x[mine])[:, : probes or own.probes] if own else np.zeros((len(mine), 1), np.int64)
+                    chosen.append((np.repeat(mine, inner.shape[1]), p * wide + inner.reshape(-1)))
+                rows, parts = (np.concatenate(c) for c in zip(*chosen))
+            again = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(parts.astype(np.int32))], names=["id", "v", "part"])
+
+    return run
+
+
+def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", sample: int = SAMPLE, part: int = PART, most: int = MOST_PARTS) -> DataFrame:
     """The k nearest rows of `df` found for each row of `queries`: query_id, rank (from 1),
     vec_id, score, the cosine in double precision, largest first, ties to the smaller id.
     A row of the query's id is no candidate. With k candidates or fewer, all are found.
@@ -155,8 +219,9 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     rows without an id or with a vector of another length than most. Of equal vectors only
     the k + 1 of least id can be among the nearest, so others are left out before anything
     is compared; that also splits a vector that fills a third of the table. Every other row
-    is indexed. Empty tables give no rows.
+    is indexed. Empty tables give no rows; repeated rows are one, other columns are not read.
     """
+    spark = df.sparkSession
     rows = vectors(df, vec_id, embedding)
     same = Window.partitionBy("v").orderBy("id")
     rows = table(rows.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth"), "vectors")
@@ -164,32 +229,15 @@ def search(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id"
     asked = queries.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"))
     asked = vectors(asked, "id", "v")
     drawn = rows.orderBy(F.xxhash64("id", "v")).limit(sample).collect()  # bounded by `sample`
-    parts = 1
-    while parts < MOST_PARTS and n > parts * PART * 1.5:
-        parts *= 2
-    router = fit(np.array([r.v for r in drawn]), parts) if drawn else Router([], 1, 1)
-
-    def matrix(column) -> np.ndarray:
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        return flat.reshape(len(column), -1)
-
-    def route(probes):
-        def run(batches):
-            for b in batches:
-                if b.num_rows:
-                    x = matrix(b.column(1))
-                    to = router.order(unit(x))[:, :probes] if router.parts > 1 else np.zeros((len(x), 1), np.int64)
-                    again = pa.array(np.repeat(np.arange(len(x)), to.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(again), b.column(1).take(again), pa.array(to.reshape(-1).astype(np.int32))], names=["id", "v", "part"])
-
-        return run
-
-    schema = "id long, v array<double>, part int"
-    held = rows.mapInArrow(route(1), schema)
+    parts = parts_of(n, part)
+    router = fit(np.array([r.v for r in drawn]), min(parts, most)) if drawn else Router([], 1, 1)
+    within = spark.sparkContext.broadcast(fit_parts(rows, router, min(parts // most, most), n, sample)) if parts > most else None
+
+    held = rows.mapInArrow(routed(router, 1, within), ROUTED)
     blocks = held.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    held = held.join(F.broadcast(blocks), "part")  # a row for each of MOST_PARTS parts at most
+    held = held.join(F.broadcast(blocks), "part")  # a row for each of most * most parts at most
     held = held.select("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "id", "v")
-    sent = asked.mapInArrow(route(router.probes), schema).join(F.broadcast(blocks), "part")
+    sent = asked.mapInArrow(routed(router, 0, within), ROUTED).join(F.broadcast(blocks), "part")
     sent = sent.select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "id", "v")
 
     def rank(batches):

@@ -4,6 +4,8 @@ import numpy as np
 
 from lumigrid.llm import ann, queries
 
+SF = "/root/testdata/sf0.1"
+
 
 def brute(ids, x, asked, k=5):
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -29,15 +31,42 @@ def collected(df):
 
 
 def test_recall_on_the_table(spark):
-    for sf in ("sf0.1", "check_s"):
-        rows = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toPandas()
-        ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
-        got = collected(queries.op5_ann(spark, f"/root/testdata/{sf}"))
-        asked = ids[ids % 50 == 0]
-        assert set(got) == set(asked) and all(len(v) == 5 for v in got.values())
-        found = recall(got, brute(ids, x, asked))
-        print(sf, "recall", found)
-        assert found >= 0.9
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding).astype(float)
+    got = collected(queries.op5_ann(spark, SF))
+    asked = ids[ids % 50 == 0]
+    assert set(got) == set(asked) and all(len(v) == 5 for v in got.values())
+    found = recall(got, brute(ids, x, asked))
+    print("table recall", found, "parts", ann.parts_of(len(ids), ann.PART))
+    assert found >= 0.9 and ann.parts_of(len(ids), ann.PART) >= 8
+
+
+def probed(x, router):
+    return router.probes / router.parts
+
+
+def test_many_parts_on_clusters(spark):
+    """Routing over 64 parts: a few of them hold nearly all neighbours of clustered data."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(400, 24))
+    x = (np.repeat(centres, 50, axis=0) + 0.35 * rng.normal(size=(20_000, 24))).astype(float)
+    rng.shuffle(x)
+    router = ann.fit(x[:8192], 64)
+    got = collected(ann.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 20_000, 50)], "vec_id long, embedding array<double>"), part=320))
+    found = recall(got, brute(np.arange(20_000), x, range(0, 20_000, 50)))
+    print("clusters: share probed", probed(x, router), "recall", found)
+    assert probed(x, router) <= 1 / 3 and found >= 0.9
+
+
+def test_two_levels(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(300, 12)), 30, axis=0) + 0.3 * rng.normal(size=(9000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collected(ann.search(df, df.where("vec_id % 50 = 0"), part=80, most=16))
+    assert ann.parts_of(9000, 80) > 16
+    found = recall(got, brute(np.arange(9000), x, range(0, 9000, 50)))
+    print("two levels: recall", found)
+    assert found >= 0.9
 
 
 def test_clustered_copies_and_edges(spark):
