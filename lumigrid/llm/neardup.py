@@ -184,25 +184,26 @@ def similar_pairs(column: pa.Array, ids: np.ndarray, n_words: int, least: float)
 
 
 def links(docs: DataFrame, buckets: DataFrame, n_words: int, least: float, block: int) -> DataFrame:
-    """Links (a, b) between texts of one bucket. buckets: key, id. docs: id, text."""
-    mark = F.xxhash64("id")
+    """Links (a, b) between texts of one bucket. buckets: key, id, t1, t2. docs: id, t1, t2,
+    text. A text is told by t1 and t2, and stands for its id in the links."""
+    mark = F.xxhash64("t1", "t2")
     sizes = buckets.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(1))).alias("y")).where("n > 1")
     # buckets of other bands with the very same texts need no second look
     chosen = sizes.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     held = buckets.join(chosen, "key").withColumn("own", F.pmod(mark, F.col("blocks")).cast("int"))
-    held = held.select("key", "id", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    held = held.select("id", F.col("key").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    texts = docs.join(held, "id").select("unit", "i", "j", "id", "text")
-    order = ["unit", "i", "j", "id"]
+    held = held.select("key", "id", "t1", "t2", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    held = held.select("id", "t1", "t2", F.col("key").alias("unit"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    texts = docs.join(held, ["id", "t1", "t2"]).select("unit", "i", "j", "id", "t1", "t2", "text")
+    order = ["unit", "i", "j", "id", "t1", "t2"]
 
     def run(batches):
         waiting, at = [], None
 
         def close():
             t = pa.Table.from_batches(waiting).combine_chunks()
-            ids = t["id"].to_numpy()
-            first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            made = similar_pairs(t["text"].combine_chunks().take(pa.array(first)), ids[first], n_words, least)
+            who = np.stack([t[c].to_numpy() for c in ("id", "t1", "t2")], axis=1)
+            first = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]).any(axis=1)])
+            made = similar_pairs(t["text"].combine_chunks().take(pa.array(first)), who[first, 0], n_words, least)
             return pa.RecordBatch.from_arrays([pa.array([a for a, _ in made], pa.int64()), pa.array([b for _, b in made], pa.int64())], names=["a", "b"])
 
         for piece in slices(batches, "text"):
@@ -220,22 +221,34 @@ def links(docs: DataFrame, buckets: DataFrame, n_words: int, least: float, block
     return texts.repartition("unit", "i", "j").sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
 
 
+def _with_least(edges: DataFrame, least: DataFrame, many: int) -> DataFrame:
+    """`edges` (u, v) with m of `least` (u, m, n). A vertex of more than `many` edges does
+    not bring them into one task: such vertices, few as they need so many edges each, are
+    sent to all."""
+    hot = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+    cold = least.where(F.col("n") <= many).select("u", "m")
+    return edges.join(hot, "u").unionByName(edges.join(F.broadcast(hot.select("u")), "u", "left_anti").join(cold, "u"))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """The component of each vertex of `edges` (a, b): id, class_id (the least vertex).
 
     Large-star and small-star steps in turn until nothing changes. Each step takes the
     least neighbour by an aggregate that is combined before its shuffle, and is written to
-    the shared folder, so that a lost executor costs one step.
+    the shared folder, so that a lost executor costs one step. Vertices of more than
+    1,000 edges, and of more than a hundred thousandth of all, are joined by sending them:
+    200,000 of them at most, as each edge has two ends.
     """
     now = table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     mark = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(now)
     while True:
+        many = max(1000, seen[0] // 100_000)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_least(both, least, many).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small_least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        joined = _with_least(large, small_least, many)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_least.select("u", F.col("m").alias("v")))
         now = table(small.where("u <> v").distinct(), name)
         found = mark(now)
@@ -253,20 +266,25 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words:
     connect. Equal texts are one text before anything is compared, and buckets are cut
     into block pairs, so that no task gathers a group, however large. A text of fewer than
     five words is one shingle; one without words (null is empty) only equals itself. Rows
-    of one doc_id are one document. Rows with a null doc_id have a null class.
+    of one doc_id are one document, so all their texts are in its class. Rows with a null
+    doc_id have a null class. An empty table gives no rows; other columns are not read.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    named = docs.where("id is not null")
     same = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-    signed = sign(named.select("id", *same, "text"), "text", n_words, bands, rows).drop("text")
+    named = docs.where("id is not null").select("id", *same, "text")
+    signed = sign(named, "text", n_words, bands, rows).drop("text")
+    # a text stands for the least id that has it
     texts = table(signed.groupBy("t1", "t2").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
-    buckets = texts.select("id", F.explode("keys").alias("key"))
+    buckets = texts.select("id", "t1", "t2", F.explode("keys").alias("key"))
     shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = table(buckets.join(shared, "key"), "buckets")
-    found = components(links(named, buckets, n_words, similarity, block))
-    # one id can have several texts: they and their classes are one
-    mapped = texts.select("t1", "t2", "id").join(found, "id", "left").select("t1", "t2", F.coalesce("class_id", "id").alias("class_id"))
-    out = named.select("id", *same).join(mapped, ["t1", "t2"]).select(F.col("id").alias("doc_id"), "class_id")
+    # ids with several texts join what these stand for
+    pair = F.struct("t1", "t2")
+    several = named.groupBy("id").agg(F.min(pair).alias("low"), F.max(pair).alias("high")).where("low <> high").select(F.col("id").alias("own"))
+    theirs = named.select(F.col("id").alias("own"), "t1", "t2").join(several, "own").join(texts.select("t1", "t2", "id"), ["t1", "t2"])
+    found = components(links(named, buckets, n_words, similarity, block).unionByName(theirs.select(F.col("own").alias("a"), F.col("id").alias("b"))))
+    mapped = texts.join(found, "id", "left").select("t1", "t2", F.coalesce("class_id", "id").alias("class_id"))
+    out = named.select("id", "t1", "t2").join(mapped, ["t1", "t2"]).select(F.col("id").alias("doc_id"), "class_id")
     return out.unionByName(docs.where("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id")))
 
 

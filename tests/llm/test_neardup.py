@@ -76,6 +76,19 @@ def test_classes_equal_brute_force(spark):
     assert all((r.doc_id, r.text) in docs for r in kept)
 
 
+def test_ids_with_several_texts(spark):
+    """Rows of one id are one document, whatever the order of its rows."""
+    words = lambda seed: [f"{seed}{k}" for k in range(60)]
+    near = lambda w: " ".join([*w[:59], "other"])
+    a, b = words("a"), words("b")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, "alone"), (5, "x y"), (5, "alone"), (0, "x y"), (7, "z")]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, r.class_id) for r in neardup.classes(df).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (0, 0), (4, 0), (5, 0), (7, 7)}
+        assert sorted(r.doc_id for r in neardup.deduplicate(df).collect()) == [0, 1, 7]
+
+
 def test_empty_and_long(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.classes(df).count() == 0 and neardup.deduplicate(df).count() == 0
@@ -105,6 +118,14 @@ def test_components_of_a_path_and_stars(spark):
     assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_vertices_with_many_edges(spark):
+    """Hubs of more edges than one task should take are joined by sending them."""
+    edges = [(0, i) for i in range(1, 2500)] + [(5000, i) for i in range(5001, 7500)] + [(7, 5001), (9000, 9001)]
+    random.Random(3).shuffle(edges)
+    got = {r.id: r.class_id for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(got) == 2500 + 2500 + 2 and all(c == (9000 if i >= 9000 else 0) for i, c in got.items())
+
+
 def test_shingles_of_short_texts():
     key, text = shingles(words(pa.array(["a b c d e f", "a b", None, "A, b"])), 5)
     assert text.tolist() == [0, 0, 1, 3] and key[2] == key[3]
