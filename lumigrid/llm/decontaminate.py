@@ -2,9 +2,11 @@
 
 Each task sorts the word suffixes of its share of the documents (a shard of bounded
 size) and binary-searches every suffix of every benchmark item in that order: the
-interval that shares n words with an item's suffix holds all places of those n words, and
-carrying each place on gives the longest verbatim match. Documents never move, only the
-benchmark is sent, in blocks of bounded size.
+interval that shares n words with an item's suffix holds all places of those n words.
+Suffixes with the same first n words share an interval, which is looked at once, and
+intervals are disjoint; so work grows with the text, not with the product of repetitions.
+The longest verbatim match of a document lies within a run of such places. Documents never
+move, only the benchmark is sent, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm.append import append
-from lumigrid.llm.words import Words, words
+from lumigrid.llm.words import Words, mix, words
 
 #: Consecutive words that count as a verbatim passage.
 WINDOW = 10
+_MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 #: Bytes of benchmark text broadcast at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
 
@@ -56,7 +59,7 @@ class Suffixes:
 
     def __init__(self, ids: list, texts: pa.Array, window: int):
         found = words(texts)
-        self.ids, self.hash = ids, found.hash
+        self.ids, self.hash, self.first = ids, found.hash, found.first
         self.item = found.text
         self.start = np.arange(len(found))
         self.left = found.first[1:][found.text] - self.start  # words from here to the item's end
@@ -64,13 +67,13 @@ class Suffixes:
         self.need = np.minimum(window, size)  # words of a window that starts here
         self.depth = int(np.diff(found.first).max(initial=1))
 
-    def search(self, found: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All places of windows, as pairs (position in the documents, suffix)."""
+    def search(self, found: Words) -> Places:
+        """All places of windows in the documents."""
         order, end = suffix_order(found, self.depth)
         n, m = len(order), len(self.hash)
         low, high = np.zeros(m, np.int64), np.full(m, n, np.int64)
         active = np.arange(m)
-        places, suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        full = [np.zeros(0, np.int64)]
         for k in range(int(self.need.max(initial=0))):
             active = active[self.left[active] > k]
             want = self.hash[self.start[active] + k]
@@ -87,33 +90,117 @@ class Suffixes:
             hi = seek(lambda word, want=want: word <= want, lo, high[active])
             active = active[lo < hi]
             low[active], high[active] = lo[lo < hi], hi[lo < hi]
-            full = active[(self.need[active] == k + 1) & (self.left[active] >= k + 1)]
-            count = high[full] - low[full]
-            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            places.append(order[np.repeat(low[full], count) + within])
-            suffixes.append(np.repeat(full, count))
-        return np.concatenate(places), np.concatenate(suffixes)
-
-    def extend(self, found: Words, at: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        """Words for which the document and the item agree from each place on."""
-        room = np.minimum(found.first[1:][found.text[at]] - at, self.left[suffix])
-        length = self.need[suffix].copy()
-        going = np.flatnonzero(length < room)
-        while len(going):
-            k = length[going]
-            going = going[found.hash[at[going] + k] == self.hash[self.start[suffix[going]] + k]]
-            length[going] += 1
-            going = going[length[going] < room[going]]
-        return length
+            full.append(active[self.need[active] == k + 1])
+        return Places(found, order, self, np.concatenate(full), low, high)
+
+
+class Places:
+    """Where the documents have windows of the items: intervals of the suffix order, each
+    with the suffixes that begin with its window."""
+
+    def __init__(self, found: Words, order: np.ndarray, suffixes: Suffixes, hits: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.found, self.suffixes = found, suffixes
+        key, first, window = np.unique(low[hits] * (1 << 20) + suffixes.need[hits], return_index=True, return_inverse=True)
+        one = hits[first]  # a suffix for each different window
+        self.need, size = suffixes.need[one], high[one] - low[one]
+        self.at = order[np.repeat(low[one] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self.of = np.repeat(np.arange(len(key)), size)  # the window that stands there
+        pairs = np.unique(window * len(suffixes.ids) + suffixes.item[hits])
+        self.first = np.searchsorted(pairs, np.arange(len(key) + 1) * len(suffixes.ids))
+        self.item = pairs % len(suffixes.ids)  # items of window w: item[first[w]:first[w + 1]]
+
+    def hit(self) -> np.ndarray:
+        """Whether each word of the documents is inside a place."""
+        edge = np.bincount(self.at, minlength=len(self.found) + 1) - np.bincount(self.at + self.need[self.of], minlength=len(self.found) + 1)
+        return np.cumsum(edge)[:-1] > 0
+
+    def items(self) -> dict[int, np.ndarray]:
+        """The items (numbers) with a window in each document that has one."""
+        both = np.unique(self.found.text[self.at] * len(self.need) + self.of)
+        out: dict[int, np.ndarray] = {}
+        for doc, low, high in _runs(both // max(len(self.need), 1)):
+            seen = np.zeros(0, np.int64)
+            for some in np.array_split(both[low:high] % len(self.need), -(-(high - low) // 1000)):
+                size = self.first[some + 1] - self.first[some]
+                seen = np.union1d(seen, self.item[np.repeat(self.first[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())])
+            out[doc] = seen
+        return out
+
+    def longest(self, items: dict[int, np.ndarray]) -> dict[int, tuple[int, int, int]]:
+        """The longest verbatim match of each document: words, first word, item."""
+        order = np.argsort(self.at, kind="stable")
+        out = {}
+        for doc, low, high in _runs(self.found.text[self.at[order]]):
+            mine = order[low:high]
+            at, need = self.at[mine] - self.found.first[doc], self.need[self.of[mine]]
+            words_ = self.found.hash[self.found.first[doc] : self.found.first[doc + 1]]
+            begin, stop = self.suffixes.first[items[doc]], self.suffixes.first[items[doc] + 1]
+            text = np.concatenate([self.suffixes.hash[a:b] for a, b in zip(begin.tolist(), stop.tolist())])
+            owner = np.repeat(items[doc], stop - begin)
+            begins = np.unique(at)
+            run = max(b - a for _, a, b in _runs(begins - np.arange(len(begins))))
+            # a match of n words has a window at each of its n - need + 1 first words
+            least, most = int(need.max()), int(min(run + need.max() - 1, len(words_), (stop - begin).max()))
+            best, length = None, most
+            while True:
+                got = _common(words_, text, owner, length)
+                if got:
+                    best, least = (length, *got), length
+                else:
+                    most = length - 1
+                if best and least >= most:
+                    break
+                length = (least + most + 1) // 2 if best else max((least + most) // 2, least)
+            out[doc] = best
+        return out
+
+
+def _runs(groups: np.ndarray):
+    """(value, low, high) of each run of equal values."""
+    edges = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(groups) else np.zeros(1, np.int64)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(groups[low]), low, high
+
+
+def _common(words_: np.ndarray, text: np.ndarray, owner: np.ndarray, n: int) -> tuple[int, int] | None:
+    """The first place in `words_` of n words that stand together in an item, and the least
+    such item; items lie side by side in `text`."""
+
+    def grams(x):
+        total, power, base, k = np.zeros(max(len(x) - n + 1, 0), np.uint64), x, np.array([_MULTIPLIER]), n
+        offset, step = 0, 1
+        while k:  # n words by parts of 1, 2, 4, ... words, as the bits of n say
+            if k & 1 and len(total):
+                total = total * base + power[offset : offset + len(total)]
+                offset += step
+            k >>= 1
+            if k:
+                power = power[: len(power) - step] * base + power[step:] if len(power) > step else power[:0]
+                base, step = base * base, step * 2
+        return mix(total)
+
+    there = grams(text)
+    whole = owner[: len(there)] == owner[n - 1 :][: len(there)]
+    there, whose = there[whole], owner[: len(whole)][whole]
+    here = grams(words_)
+    places = np.flatnonzero(np.isin(here, there))
+    return (int(places[0]), int(whose[there == here[places[0]]].min())) if len(places) else None
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, limit: int) -> list[tuple[list, list]]:
     """The benchmark's items in blocks of about `limit` bytes, fetched one at a time."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null")
+    items = benchmark.select(F.col(item_id).alias("id"), F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(total // limit) + 1
+    part = lambda: F.pmod(F.xxhash64("item", "text"), F.lit(parts))
+    while True:  # until no block is larger than it should be by more than its largest item
+        sizes = items.groupBy(part().alias("part")).agg(F.sum(F.octet_length("text")).alias("n"), F.max(F.octet_length("text")).alias("one"))
+        worst = sizes.agg(F.max(F.col("n") - F.col("one"))).first()[0] or 0
+        if worst <= 2 * limit:
+            break
+        parts *= 2
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()
+        rows = items.where(part() == k).orderBy("id", "text").collect()
         yield [r.item for r in rows], [r.text for r in rows]
 
 
@@ -146,21 +233,16 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
 
             def compute(column):
                 found, n = words(column), len(column)
-                hit = np.zeros(len(found) + 1, np.int64)
+                inside = np.zeros(len(found), bool)
                 items: dict[int, set] = {}
                 best: list = [None] * n
                 if len(found) and len(suffixes.hash):
-                    at, suffix = suffixes.search(found)
-                    np.add.at(hit, at, 1)
-                    np.add.at(hit, at + suffixes.need[suffix], -1)
-                    length, doc = suffixes.extend(found, at, suffix), found.text[at]
-                    for p in np.unique(doc * len(suffixes.ids) + suffixes.item[suffix]).tolist():
-                        d, i = divmod(p, len(suffixes.ids))
-                        items.setdefault(d, set()).add(suffixes.ids[i])
-                    by = np.lexsort((suffixes.item[suffix], at, -length, doc))
-                    for j in by[np.r_[True, doc[by][1:] != doc[by][:-1]][: len(by)]].tolist():
-                        best[doc[j]] = {"words": int(length[j]), "before": -int(at[j] - found.first[doc[j]]), "item": suffixes.ids[suffixes.item[suffix[j]]]}
-                inside = np.cumsum(hit)[:-1] > 0
+                    places = suffixes.search(found)
+                    inside = places.hit()
+                    numbers = places.items()
+                    items = {d: {suffixes.ids[i] for i in some.tolist()} for d, some in numbers.items()}
+                    for d, (length, place, item) in places.longest(numbers).items():
+                        best[d] = {"words": length, "before": -place, "item": suffixes.ids[item]}
                 edges = np.flatnonzero(np.diff(np.r_[0, inside, 0]))
                 starts, ends = edges[::2], edges[1::2]
                 # runs may touch across texts: cut at each text's first word

@@ -3,8 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
+
+import pyarrow as pa
 
 from lumigrid.llm import decontaminate, licenses
+from lumigrid.llm.words import words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -68,6 +72,45 @@ def test_long_text(spark):
     assert (row.n_words, row.n_hit) == by_hand(text, items)[:2]
 
 
+def plain_longest(text, items):
+    """(words, first word, least item) of the longest verbatim match, by trying all."""
+    doc, best = tokens(text), None
+    for item, passage in items:
+        w = tokens(passage)
+        n = min(10, len(w))
+        for p in range(len(w) - n + 1 if n else 0):
+            for at in range(len(doc) - n + 1):
+                k = 0
+                while p + k < len(w) and at + k < len(doc) and w[p + k] == doc[at + k]:
+                    k += 1
+                if k >= n and item is not None and (best is None or (-k, at, item) < best):
+                    best = (-k, at, item)
+    return (0, None, None) if best is None else (-best[0], best[1], str(best[2]))
+
+
+def test_longest_match_equals_brute_force(spark):
+    docs, items = case(5)
+    items = [(i, t) for i, t in items if i is not None]
+    docs = [(k, d) for k, (_, d) in enumerate(docs) if len(d or "") < 900]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.longest_words, r.longest_at, r.longest_item) for r in decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert got == {i: plain_longest(d, items) for i, d in docs}
+
+
+def test_repetitive_text_takes_little_memory(spark):
+    """20,000 equal words against 4,000: pairs of places and suffixes would be eighty million."""
+    texts, items = ["a " * 20_000, "a b " * 10_000, "b"], ["a " * 4_000, "a " * 4_000, "a b " * 2_000]
+    tracemalloc.start()
+    places = decontaminate.Suffixes([5, 5, 6], pa.array(items), decontaminate.WINDOW).search(words(pa.array(texts)))
+    assert places.longest(places.items()) == {0: (4_000, 0, 0), 1: (4_000, 0, 2)} and places.hit().sum() == 40_000
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.scan(df, spark.createDataFrame(list(zip([5, 5, 6], items)), "item_id long, text string"))
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.longest_words, r.longest_at, r.longest_item) for r in found.collect()}
+    assert got == {0: (20_000, 20_000, 1, 4_000, 0, "5"), 1: (20_000, 20_000, 1, 4_000, 0, "6"), 2: (1, 0, 0, 0, None, None)}
+
+
 def test_license_base_equals_brute_force(spark):
     rng = random.Random(3)
     bits = ["under the MIT License", "apache license, version 2.0", "CC BY-NC 4.0", "cc by nc", "under", "the", "mit", "ünder the mit license", "licensed under cc by nc", "the MIT"]
