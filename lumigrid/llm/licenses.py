@@ -29,17 +29,66 @@ BASE_PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-#: Wording of license texts, of their usual notices, and of short statements.
+_DAMAGES = (
+    "be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods"
+    " or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability"
+    " or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+
+#: Whole license texts and whole notices, and below them short statements. The words are
+#: fixed values: those of the licenses.
 TEMPLATES = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the"
+        " <<var;name=software;words=1-3>> to deal in the <<var;name=software;words=1-3>> without restriction including without limitation the rights to use copy"
+        " modify merge publish distribute sublicense and or sell copies of the <<var;name=software;words=1-3>> and to permit persons to whom the"
+        " <<var;name=software;words=1-3>> is furnished to do so subject to the following conditions the above copyright notice and this permission notice"
+        " <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the"
+        " <<var;name=software;words=1-3>> the <<var;name=software;words=1-3>> is provided as is without warranty of any kind express or implied including but not"
+        " limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var;name=holders;words=1-10>>"
+        " be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the"
+        " <<var;name=software;words=1-3>> or the use or other dealings in the <<var;name=software;words=1-3>>",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following"
+        " disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the"
+        " following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>><<beginOptional>>3<<endOptional>>"
+        " neither the name of <<var;name=organization;words=1-12>> nor the names of its contributors may be used to endorse or promote products derived from this"
+        " software without specific prior written permission<<endOptional>> this software is provided by <<var;name=holders;words=1-12>> as is and any express or"
+        " implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no"
+        " event shall <<var;name=liable;words=1-12>> " + _DAMAGES,
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright"
+        " notice and this permission notice appear in all copies the software is provided as is and <<var;name=author;words=1-8>> disclaims all warranties with"
+        " regard to this software including all implied warranties of merchantability and fitness in no event shall <<var;name=author;words=1-8>> be liable for"
+        " any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of"
+        " contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the"
+        " license at <<var;name=address;words=4-9>> unless required by applicable law or agreed to in writing software distributed under the license is distributed"
+        " on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions"
+        " and limitations under the license",
+    ),
+    (
+        "gpl-3",
+        "is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"
+        " either version 3 of the license or <<beginOptional>>at your option<<endOptional>> any later version <<var;name=program;words=1-6>> is distributed in the"
+        " hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
+        " general public license for more details you should have received a copy of the gnu general public license along with <<var;name=program;words=1-6>>"
+        " if not see",
+    ),
     ("mit", "<<beginOptional>>released<<endOptional>> under the <<beginOptional>>terms of the<<endOptional>> mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var;name=name;words=1-2>> to deal in the <<var;name=name;words=1-2>> without restriction"),
     ("apache-2", "licensed under the apache license <<beginOptional>>version<<endOptional>> 2<<beginOptional>> 0<<endOptional>>"),
-    ("apache-2", "you may not use this file except in compliance with the license <<beginOptional>>you may obtain a copy of the license at<<endOptional>>"),
     ("cc-by-nc-4", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc <<beginOptional>>version<<endOptional>> 4<<beginOptional>> 0<<endOptional>>"),
     ("cc-by-nc-4", "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> creative commons attribution noncommercial 4 0 <<beginOptional>>international<<endOptional>> <<beginOptional>>public<<endOptional>> license"),
     ("gpl-3", "licensed under <<beginOptional>>the terms of<<endOptional>> the gnu general public license <<beginOptional>>as published by <<var;name=publisher;words=1-5>><<endOptional>> <<beginOptional>>either<<endOptional>> version 3"),
-    ("gpl-3", "redistribute it and or modify it under the terms of the gnu general public license as published by <<var;name=publisher;words=1-5>> either version 3"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
 )
 
 
