@@ -244,7 +244,8 @@ def write(df: DataFrame, folder: str, tokenizer: str, doc_id: str = "doc_id", te
     """Encodes every text, appends `end_id`, and writes records in ascending doc_id order
     (nulls first; rows of one id in the order of their text's hash). Returns for each file
     its part, path, documents, ids, bytes: file k's ids follow those of file k-1. Null
-    text is empty and gives the end id alone. Files are written under another name and
+    text is empty and gives the end id alone. An empty table gives no files; other columns
+    are not read. Files are written under another name and
     then renamed, so a task that runs again replaces them whole."""
     at(folder)[0].create_dir(at(folder)[1], recursive=True)
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -293,8 +294,9 @@ def _decode(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 def read(spark: SparkSession, manifest: list[tuple], ids: bool = True, piece: int = 4 << 20) -> DataFrame:
     """All records of the files: doc_id, start (ids of all records before it), n_tokens,
-    ids_crc32 (of all ids as little-endian u32), and the ids. Each file is read through
-    its index in pieces of about `piece` bytes; wrong checksums are an error."""
+    ids_crc32 (of all ids as little-endian u32), and the ids. A task reads one file through
+    its index in pieces of about `piece` bytes; wrong checksums are an error. No files give
+    no rows."""
     schema = T.StructType.fromDDL("doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
     base, files = 0, []
     for _, path, _, n_tokens, n_bytes in sorted(manifest):
@@ -303,12 +305,14 @@ def read(spark: SparkSession, manifest: list[tuple], ids: bool = True, piece: in
     if not files:
         return spark.createDataFrame([], schema)
 
+    sent = spark.sparkContext.broadcast(files)  # a line for each file
+
     def run(batches: Iterator[pa.RecordBatch]):
-        for row in (r for b in batches for r in b.to_pylist()):
-            store, path = at(row["path"])
+        for name, base, n_bytes in (sent.value[k] for b in batches for k in b.column(0).to_pylist()):
+            store, path = at(name)
             with store.open_input_stream(f"{path}.index") as f:
                 index = np.frombuffer(f.read(), "<u8").reshape(-1, 2).astype(np.int64)
-            edges, k = np.r_[index[:, 0], row["n_bytes"]], 0
+            edges, k = np.r_[index[:, 0], n_bytes], 0
             with store.open_input_stream(path) as f:
                 while k < len(index):
                     stop = max(k + 1, int(np.searchsorted(edges, edges[k] + piece, side="right")) - 1)
@@ -317,7 +321,7 @@ def read(spark: SparkSession, manifest: list[tuple], ids: bool = True, piece: in
                     found = [_decode(raw[a:b]) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                     out = [
                         pa.array([d for d, _ in found], pa.int64()),
-                        pa.array(row["base"] + index[k:stop, 1]),
+                        pa.array(base + index[k:stop, 1]),
                         pa.array([len(x) for _, x in found], pa.int64()),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for _, x in found], pa.int64()),
                     ]
@@ -327,7 +331,7 @@ def read(spark: SparkSession, manifest: list[tuple], ids: bool = True, piece: in
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
                     k = stop
 
-    return spark.createDataFrame(files, "path string, base long, n_bytes long").mapInArrow(run, schema)
+    return spark.range(0, len(files), 1, len(files)).mapInArrow(run, schema)
 
 
 def fetch(path: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 
@@ -32,7 +33,8 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """A row for each page: page_id, url, html (null in revisits), payload_bytes,
     payload_digest, record_type, refers_to. Of equal payloads of at least `least` bytes
     the page of smallest id (nulls last, then by url) is the response; of repeated rows of
-    that page one is. Payloads go through one aggregate by digest, combined before the
+    that page one is. A null html is empty, a null url stays null. An empty table gives no
+    rows; other columns are not read. Payloads go through one aggregate by digest, combined before the
     shuffle, so a payload that fills a third of the table is moved once for each task."""
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     p = p.withColumns({"payload_bytes": F.octet_length("html").cast("long"), "payload_digest": F.sha2("html", 256)})
@@ -53,13 +55,16 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
 def _record(row: dict, date: str) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n".encode()
+    url = row["url"]
+    target = None if url is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in url)
     block = http + (row["html"].encode() if row["record_type"] == "response" else b"")
     urn = lambda page: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page}')}>"
     head = {
         "WARC-Type": row["record_type"],
         "WARC-Record-ID": urn(row["page_id"]),
         "WARC-Date": date,
-        "WARC-Target-URI": None if row["url"] is None else "".join(c if c > " " else f"%{ord(c):02X}" for c in row["url"]),
+        "WARC-Target-URI": target,
+        "X-Page-URL": None if url is None or target == url == url.strip() else json.dumps(url),
         "WARC-Payload-Digest": f"sha256:{row['payload_digest']}",
         "Content-Type": "application/http; msgtype=response",
         "Content-Length": len(block),
@@ -73,7 +78,8 @@ def _record(row: dict, date: str) -> bytes:
 
 def write(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", archive: int = ARCHIVE) -> list[tuple[str, int]]:
     """Writes records() rows as gzip archives, a member for each record, and returns path
-    and size of each. A file gets its name when it is whole, so a task can run again."""
+    and size of each. A file gets its name when it is whole, so a task can run again. No
+    rows give no archives; a url that a header cannot hold as it is stands beside it too."""
     at(folder)[0].create_dir(at(folder)[1], recursive=True)
 
     def run(batches):
@@ -108,10 +114,11 @@ def write(rows: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z", arch
 
 
 class _Tail:
-    """A growing view of a file from `begin`, with what was passed given back."""
+    """A growing view of a file from `begin`, with what was passed given back. Bytes are
+    read in order, each once."""
 
     def __init__(self, file, begin: int, size: int):
-        self.file, self.begin, self.size, self.data = file, begin, size, b""
+        self.file, self.begin, self.size, self.data = file, begin, size, bytearray()
 
     def to(self, end: int) -> bool:
         """Whether bytes up to `end` are held now."""
@@ -120,17 +127,22 @@ class _Tail:
             self.data += self.file.read_at(min(max(READ, end - at_), self.size - at_), at_)
         return self.begin + len(self.data) >= end
 
+    def get(self, start: int, n: int) -> bytes:
+        self.to(start + n)
+        return bytes(self.data[start - self.begin : start - self.begin + n])
+
     def free(self, upto: int) -> None:
-        self.data = self.data[upto - self.begin :]
-        self.begin = upto
+        if upto - self.begin >= READ:
+            del self.data[: upto - self.begin]
+            self.begin = upto
 
 
-def _member(file, start: int, size: int) -> tuple[bytes, int] | None:
+def _member(tail: _Tail, start: int) -> tuple[bytes, int] | None:
     """The gzip member at `start` and where it ends; None if there is none."""
     gz, out, pos = zlib.decompressobj(31), [], start
     try:
-        while not gz.eof and pos < size:
-            chunk = file.read_at(min(READ if out else 1 << 14, size - pos), pos)
+        while not gz.eof and pos < tail.size:
+            chunk = tail.get(pos, READ >> 2 if out else 1 << 14)
             out.append(gz.decompress(chunk))
             pos += len(chunk)
             if len(out) == 1 and not out[0].startswith(b"WARC/1."):
@@ -151,28 +163,28 @@ def _owned(file, size: int, start: int, end: int):
     end. From there on each member ends where the next begins."""
     tail, pos = _Tail(file, start, size), start
     while pos < end:
+        tail.free(pos)
         tail.to(pos + READ)
         found = tail.data.find(MAGIC, pos - tail.begin)
         if found < 0:
             if tail.begin + len(tail.data) >= min(size, end + len(MAGIC)):
                 return
             pos = tail.begin + len(tail.data) - len(MAGIC) + 1
-            tail.free(pos)
             continue
         pos = tail.begin + found
         if pos >= end:
             return
-        member = _member(file, pos, size)
-        if member and (member[1] == size or file.read_at(3, member[1]) == MAGIC):
+        member = _member(tail, pos)
+        if member and (member[1] == size or tail.get(member[1], len(MAGIC)) == MAGIC):
             while member:
                 yield member[0]
                 pos = member[1]
                 if pos >= min(end, size):
                     return
-                member = _member(file, pos, size)
-            if file.read_at(3, pos) == MAGIC:
+                tail.free(pos)
+                member = _member(tail, pos)
+            if tail.get(pos, len(MAGIC)) == MAGIC:
                 raise ValueError(f"the archive is damaged at byte {pos}")
-            tail = _Tail(file, pos, size)
         else:
             pos += 1
 
@@ -181,18 +193,21 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
     """The records of archives of known sizes: page_id, url, payload_bytes,
     payload_digest, record_type, refers_to, payload (null in revisits). Digests of
     responses are computed again from the bytes; one that differs from the record's header
-    is an error. A task reads one byte range of one archive."""
+    is an error. A task reads one byte range of one archive, in order, each byte once but
+    for what a record that begins in it has beyond its end. No archives give no rows."""
     ranges = [(path, size, a, min(a + split, size)) for path, size in archives for a in range(0, size, split)]
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payload
     if not ranges:
         return spark.createDataFrame([], schema)
 
+    sent = spark.sparkContext.broadcast(ranges)  # a line for each 64 MB of archives
+
     def run(batches):
-        for r in (r for b in batches for r in b.to_pylist()):
-            store, path = at(r["path"])
+        for name, size, low, high in (sent.value[k] for b in batches for k in b.column(0).to_pylist()):
+            store, path = at(name)
             rows, held = [], 0
             with store.open_input_file(path) as file:
-                for data in _owned(file, r["size"], r["low"], r["high"]):
+                for data in _owned(file, size, low, high):
                     head, block = _headers(data)
                     if head["warc-type"] not in ("response", "revisit"):
                         continue
@@ -202,7 +217,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
                     if whole and hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"the payload of page {head.get('x-page-id')} does not have its digest")
                     number = lambda k, head=head: int(head[k]) if k in head else None
-                    row = {"page_id": number("x-page-id"), "url": head.get("warc-target-uri"), "payload_bytes": len(body) if whole else int(http["content-length"]), "payload_digest": digest, "record_type": head["warc-type"], "refers_to": number("x-refers-to-page-id")}
+                    row = {"page_id": number("x-page-id"), "url": json.loads(head["x-page-url"]) if "x-page-url" in head else head.get("warc-target-uri"), "payload_bytes": len(body) if whole else int(http["content-length"]), "payload_digest": digest, "record_type": head["warc-type"], "refers_to": number("x-refers-to-page-id")}
                     rows.append(row | ({"payload": body if whole else None} if payload else {}))
                     held += len(data)
                     if held >= 8 << 20 or len(rows) >= 10_000:
@@ -212,7 +227,7 @@ def read(spark: SparkSession, archives: list[tuple[str, int]], split: int = SPLI
                 yield pa.RecordBatch.from_pylist(rows, schema=types)
 
     types = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * payload])
-    return spark.createDataFrame(ranges, "path string, size long, low long, high long").mapInArrow(run, schema)
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, schema)
 
 
 def archives_in(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
