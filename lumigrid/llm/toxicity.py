@@ -143,13 +143,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     train the dictionaries, the others the curve. Labels are the only thing learnt from
     them; language, source and id are not inputs.
     """
-    rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & ~held_out("_id"))
+    rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & ~held_out("_id")).distinct()
     drawn = None
     for c, n in sample.items():
         part = rows.where(F.col("_y") == c).orderBy(F.xxhash64("_id"), "_id").limit(n)
         drawn = part if drawn is None else drawn.unionByName(part)
     found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
-    got = sorted(((r._id, r._y, r._text or "") for r in found.select("_id", "_y", "_text").limit(2 * sum(sample.values())).collect()), key=str)
+    found = found.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_text").alias("_text"))  # a document of each id
+    got = sorted(((r._id, r._y, r._text or "") for r in found.collect()), key=str)
     check = [(y, t) for _, y, t in got[::3]]
     one: dict[bytes, bytes] = {}  # a word is held once, however often it stands there
     bad, good = ([[one.setdefault(w, w) for w in tokens(t)] for k, (_, y, t) in enumerate(got) if k % 3 and y == c] for c in (1, 0))
@@ -159,7 +160,6 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     telling = telling_words(bad, good)
     around = [b" " + w + b" " for t in bad for w in windows(t, window) if telling.intersection(w.split(b" "))]
     plain = [b" ".join(t[k : k + 4]) for t in good for k in range(0, len(t), 4)]
-    plain = plain[:: max(1, len(plain) // 40_000)]
     toxic = around * 4 or [b" ".join(t) for t in bad]
     model = Model(train_dictionary(plain, size), train_dictionary(toxic, size), np.zeros(2 * STEPS + 2), window)
     measure = model.scorer().features
