@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import re
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.llm import ann, chat, decontaminate, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, warc
 from lumigrid.llm.shared import shared_dir
 
-#: Where the tokenizer files are; on a cluster, a folder that every executor has.
-TOKENIZERS = "/opt/tokenizers"
+#: Tokenizer files by name; on a cluster, every executor has the package that holds them.
+TOKENIZER = public_tokenizers.path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = sentencepiece_lattice.Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = sentencepiece_lattice.Pieces.load(TOKENIZER("piece_bpe_32k.model"))
     coded = sentencepiece_lattice.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), pieces)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 
@@ -35,7 +36,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
-    files = token_records.write(documents, shared_dir(spark, "tokens"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    files = token_records.write(documents, shared_dir(spark, "tokens"), TOKENIZER("byte_bpe_50k.json"))
     return token_records.read(spark, files, ids=False)
 
 
@@ -93,17 +94,20 @@ SELECT page_id, url, payload_bytes, payload_digest,
     CASE WHEN payload_bytes < 100 OR page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN payload_bytes < 100 OR page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM q""",
-    # prefixes compared as the texts themselves, not as hashes
+    # prefixes compared as the turns themselves, nulls apart from empty text, not as hashes
     "op9_chat": """
 WITH t AS (
     SELECT conv_id, turn, '<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS shown,
-        row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS position, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+        coalesce(length(role) || ':' || role, '-') || coalesce(length(text) || ':' || text, '-') AS content,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS position,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 p AS (
-    SELECT conv_id, position, n, string_agg(shown, '') OVER (PARTITION BY conv_id ORDER BY position ROWS UNBOUNDED PRECEDING) AS prefix FROM t),
+    SELECT conv_id, position, n, string_agg(content, '') OVER w AS prefix, string_agg(shown, '') OVER w AS text
+    FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY position ROWS UNBOUNDED PRECEDING)),
 whole AS (
-    SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_logs, prefix AS text FROM p WHERE position = n GROUP BY n, prefix)
+    SELECT min(conv_id) AS conv_id, n AS n_turns, count(*) AS n_logs, prefix, any_value(text) AS text FROM p WHERE position = n GROUP BY n, prefix)
 SELECT conv_id, n_turns, n_logs, text FROM whole w
-WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.position < p.n AND p.position = w.n_turns AND p.prefix = w.text)""",
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.position < p.n AND p.position = w.n_turns AND p.prefix = w.prefix)""",
 }
 
 # ---- longer SQL --------------------------------------------------------------------

@@ -42,6 +42,8 @@ SPACE = "▁"
 LONGEST = 256
 #: A unit in one of SHARE blocks or more is read by all tasks.
 SHARE = 3
+#: Units of blocks, of which many are alike, in a task of the lattice.
+UNITS = 30_000
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -79,28 +81,23 @@ class Pieces:
         self.bytes = {int(p[3:5], 16): k for p, k, _, t in self.rows if t == BYTE}
         self.unknown = next((k for _, k, _, t in self.rows if t == UNKNOWN), 0)
         pairs = {(ord(a), ord(b)) for w in words for a, b in zip(w, w[1:])}
-        self.plain = np.zeros((128, 128), bool)  # pairs of characters that stand in a piece
+        self.plain = np.zeros(1 << 16, bool)  # pairs of ASCII characters that stand in a piece
         for a, b in pairs:
             if a < 128 and b < 128:
-                self.plain[a, b] = True
+                self.plain[a << 8 | b] = True
         self.pairs = np.array(sorted((a << 21) | b for a, b in pairs) or [-1], np.int64)
 
     def cuts(self, data: np.ndarray) -> np.ndarray:
         """Whether a unit begins at each byte: a character that stands in no piece after
         the character before it."""
         cut = np.zeros(len(data), bool)
-        if data.max(initial=0) < 128:
-            cut[1:] = ~self.plain[data[:-1], data[1:]]
-            return cut
-        where = np.flatnonzero((data & 0xC0) != 0x80)
-        code = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-        a, b = code[:-1], code[1:]
-        inside = np.zeros(len(a), bool)
-        plain = (a < 128) & (b < 128)
-        inside[plain] = self.plain[a[plain], b[plain]]
-        key = (a[~plain].astype(np.int64) << 21) | b[~plain]
-        inside[~plain] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] == key
-        cut[where[1:][~inside]] = True
+        cut[1:] = ~self.plain[data[:-1].astype(np.uint16) << 8 | data[1:]]
+        wide = data >= 128
+        if wide.any():
+            cut[(data & 0xC0) == 0x80] = False
+            near = np.flatnonzero(cut[1:] & (wide[1:] | wide[:-1])) + 1  # characters beside one outside ASCII
+            key = _code(data, _begin(data, near - 1)) << 21 | _code(data, near)
+            cut[near] = self.pairs[np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)] != key
         return cut
 
     def units(self, column: pa.Array) -> Units:
@@ -120,7 +117,7 @@ class Pieces:
         ranks = {p: rank[s] for p, _, s in words}
         if self.kind == UNIGRAM:
             return spark.createDataFrame([(p, k, -s) for p, k, s in words], "piece string, id int, cost double")
-        return spark.createDataFrame([(p, k, rank[s], *spines(p, ranks)) for p, k, s in words], "piece string, id int, rank int, right array<long>, left array<long>")
+        return spark.createDataFrame([(p, k, rank[s], *(spines(p, ranks) if len(p) > 1 else (None, None))) for p, k, s in words], "piece string, id int, rank int, right array<long>, left array<long>")
 
     def spelled(self) -> tuple[np.ndarray, np.ndarray]:
         """The bytes that ids decode to, joined, and the n+1 offsets of the ids in them."""
@@ -136,6 +133,22 @@ class Pieces:
         return library.encode("\n" + unit)[len(library.encode("\n")) :]
 
 
+def _begin(data: np.ndarray, at_: np.ndarray) -> np.ndarray:
+    """Where the characters begin that hold these bytes."""
+    for _ in range(3):
+        at_ = np.where((data[at_] & 0xC0) == 0x80, at_ - 1, at_)
+    return at_
+
+
+def _code(data: np.ndarray, at_: np.ndarray) -> np.ndarray:
+    """The code points of the characters that begin at these bytes of UTF-8."""
+    b = [data[np.minimum(at_ + k, len(data) - 1)].astype(np.int64) for k in range(4)]
+    two = (b[0] & 0x1F) << 6 | (b[1] & 0x3F)
+    three = (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | (b[2] & 0x3F)
+    four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | (b[3] & 0x3F)
+    return np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)))
+
+
 def spines(piece: str, ranks: dict[str, int]) -> tuple[list[int], list[int]]:
     """When BPE, while it makes a piece, has a piece of each size at its end, and at its
     start: the rank of the merge that makes that piece above the rank of the next one there,
@@ -183,8 +196,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
         worst = min((s for _, _, s, t in pieces.rows if t == NORMAL), default=0.0)
         more = [F.coalesce("cost", F.lit(10.0 - worst)).alias("cost")]
     else:
-        alone = F.array(F.lit(NEVER).cast("long"))
-        more = [F.coalesce("rank", F.lit(NEVER)).alias("rank"), F.coalesce("right", alone).alias("right"), F.coalesce("left", alone).alias("left")]
+        more = [F.coalesce("rank", F.lit(NEVER)).alias("rank"), "right", "left"]
     edge = F.struct((F.col("start") + F.col("size")).alias("end"), "start", "id", F.when(F.col("id").isNull(), bare).alias("bare"), *more)
     others = [c for c in units.columns if c != "unit"]
     once = (F.col("start") == 0) & (F.col("size") == 1)
@@ -202,7 +214,8 @@ def _never_merged(last, edge, crossing):
     taken = lambda x: x.bitwiseAND(F.lit(NEVER))
 
     def merges(c):
-        left, right = F.get(last["right"], edge["start"] - c["start"] - 1), F.get(edge["left"], c["end"] - edge["start"] - 1)
+        at_ = lambda times, size: F.coalesce(F.get(times, size - 1), F.lit(NEVER).cast("long"))
+        left, right = at_(last["right"], edge["start"] - c["start"]), at_(edge["left"], c["end"] - edge["start"])
         return (c["rank"] < taken(left)) & (c["rank"] <= taken(right)) & (made(right) < taken(left)) & (made(left) <= taken(right)) & (left >= 0) & (right >= 0)
 
     # edges inside the two pieces that reach over the place between them
@@ -257,17 +270,15 @@ def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
     gives it to the library."""
 
     def run(batches):
-        now, seen = None, np.zeros(0, np.uint64)
+        now, seen = None, Memo()
         for block, whole in by_block(batches):
             if block != now:
-                now, seen = block, np.zeros(0, np.uint64)
+                now = block
+                seen.clear()
             for piece in slices([whole], "text", SLICE):
                 units = pieces.units(piece.column(piece.schema.get_field_index("text")))
-                keys, first = np.unique(units.key, return_index=True)
-                if len(seen):
-                    fresh = seen[np.minimum(np.searchsorted(seen, keys), len(seen) - 1)] != keys
-                    keys, first = keys[fresh], first[fresh]
-                seen = np.union1d(seen, keys)
+                first = seen.missing(units.key)
+                seen.add(units.key[first], np.zeros(0, np.int32), np.zeros(len(first), np.int32))
                 first = first[units.end[first] - units.start[first] <= 4 * LONGEST]
                 texts = [u.decode().replace(" ", SPACE) for u in units.texts(first)]
                 out = [u for u in texts if len(u) <= LONGEST]
@@ -300,8 +311,11 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     schema = docs.select(*[f"`{n}`" for n in names]).schema.add("ids", T.ArrayType(T.IntegerType())).add("round_trip", T.BooleanType())
     rows = blocked(docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *[F.col(f"`{k}`").alias(v) for k, v in names.items()]))
     units = table(block_units(rows, pieces), "units")
-    spread = max(2, -(-units.select("block").distinct().count() // SHARE))
-    coded = table(encode_units(units.groupBy("unit").agg(F.count("*").alias("n")), pieces), "coded")
+    n_units, n_blocks = units.agg(F.count("*"), F.count_distinct("block")).first()
+    spread = max(2, -(-n_blocks // SHARE))
+    # few units a task, as each of them has many edges there
+    dealt = units.select("unit").repartition(n_units // UNITS + 1, "unit")
+    coded = table(encode_units(dealt.groupBy("unit").agg(F.count("*").alias("n")), pieces), "coded")
     common = shared_dir(docs.sparkSession, "common")
     coded.where(F.col("n") >= spread).select("unit", "ids").write.parquet(common)
     rare = coded.where(F.col("n") < spread).select("unit", "ids")

@@ -1,4 +1,4 @@
-"""Blocks stay the same between jobs, and a block that is not known is an error."""
+"""Blocks are the same however a job splits its input, and one that is not known is an error."""
 
 import random
 
@@ -7,53 +7,64 @@ import pytest
 from lumigrid.llm import quality
 from lumigrid.llm.blocks import blocked, write_beside, without
 
-SPLITS = {
-    "spark.sql.files.openCostInBytes": "1",
-    "spark.sql.leafNodeDefaultParallelism": "4",
-    "spark.sql.files.minPartitionNum": None,
-    "spark.sql.files.maxPartitionBytes": "128m",
-}
+SPLITS = [
+    {"spark.sql.leafNodeDefaultParallelism": "4", "spark.sql.files.maxPartitionBytes": "128m"},
+    {"spark.sql.leafNodeDefaultParallelism": "13", "spark.sql.files.maxPartitionBytes": "100k"},
+]
 
 
 @pytest.fixture
 def docs(spark, tmp_path):
-    """A file of many row groups, read in splits by the number of cores."""
-    before = {k: spark.conf.get(k, None) for k in SPLITS}
-
-    def put(values):
-        for k, v in values.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-    put(SPLITS)
+    """A file of many row groups, with columns that clash with those of blocks."""
+    keys = ["spark.sql.files.openCostInBytes", *SPLITS[0]]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
     rng = random.Random(5)
-    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(400)), "en") for i in range(4000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    rows = [(i, "".join(rng.choice("abcdefgh ") for _ in range(400)), "en", 7) for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, block int")
     df.coalesce(1).write.option("parquet.block.size", 50_000).parquet(str(tmp_path / "docs"))
     yield spark.read.parquet(str(tmp_path / "docs"))
-    put(before)
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def blocks(df):
-    return {r.block for r in df.select("block").distinct().collect()}
+def put(spark, values):
+    for k, v in values.items():
+        spark.conf.set(k, v)
 
 
-def test_splits_do_not_change_with_cores(spark, docs):
-    held = blocked(docs)
-    first = blocks(held)
-    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "13")  # as if executors had come
-    assert len(first) > 1 and blocks(held.where("doc_id >= 0")) == first
+def test_blocks_do_not_depend_on_splits(spark, docs):
+    seen, splits = [], []
+    for how in SPLITS:
+        put(spark, how)
+        held = blocked(docs.drop("block").where("doc_id >= 0"), rows=500)
+        splits.append(held.rdd.getNumPartitions())
+        seen.append({(r.block, r.doc_id) for r in held.select("block", "doc_id").collect()})
+    assert splits[0] != splits[1] and seen[0] == seen[1] and len({b for b, _ in seen[0]}) == 8
 
 
-def test_unknown_blocks_are_an_error(spark, docs):
-    held = blocked(docs).select("block", "doc_id", "text", "lang")
+def test_decisions_hold_under_other_splits(spark, docs):
+    put(spark, SPLITS[0])
+    held = blocked(docs.drop("block"), rows=500)
     rest = without(held, held.where("doc_id % 2 = 0").select("block", "doc_id"), "doc_id")
     none = without(held, held.where("doc_id < 0").select("block", "doc_id"), "doc_id")
     assert rest.count() == 2000 and none.count() == 4000
+    put(spark, SPLITS[1])
+    late = rest.where("doc_id >= 0")
+    assert late.count() == 2000 and late.where("doc_id % 2 = 0").count() == 0 and none.where("doc_id >= 0").count() == 4000
+
+
+def test_unknown_blocks_are_an_error(spark, docs):
+    held = blocked(docs.drop("block"), rows=500)
     rows = quality._rows(held, "doc_id", "text", "lang")
-    every = held.select("block").distinct()
-    folder = write_beside(rows.where("doc < 0").selectExpr("block", "doc", "true as calibrates"), "trusted", "doc", every)
-    assert quality.block_grams(rows, folder, 2).where("n > 0").count() == 0
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
-    for late in (rest.where("doc_id >= 0"), none.where("doc_id >= 0"), quality.block_grams(rows, folder, 2)):
-        with pytest.raises(Exception, match="splits have changed"):
-            late.count()
+    folder = write_beside(rows.where("doc < 500").selectExpr("block", "doc", "true as calibrates"), "trusted", "doc")
+    with pytest.raises(Exception, match="nothing was written"):
+        quality.block_grams(rows, folder, 2).count()
+
+
+def test_rows_of_no_file_and_clashing_names(spark, docs):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 4000, 3)], "doc_id long, quality int, toxic int")
+    for df in (docs, docs.repartition(3), docs.union(docs.limit(5))):
+        kept = quality.keep(df, labels, order=2)
+        assert kept.columns == df.columns and kept.where("block <> 7").count() == 0
+        assert kept.count() >= 0.9 * df.count()
