@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumigrid.llm import decontaminate, neardup, quality, sentencepiece_lattice, toxicity
-from lumigrid.llm.queries import TOKENIZERS
+from lumigrid.llm.queries import TOKENIZER
 from lumigrid.llm.shared import table
 
 
@@ -33,7 +33,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether they decode to it again."""
-    pieces = sentencepiece_lattice.Pieces.load(f"{TOKENIZERS}/piece_bpe_32k.model")
+    pieces = sentencepiece_lattice.Pieces.load(TOKENIZER("piece_bpe_32k.model"))
     coded = sentencepiece_lattice.encode(docs.select("doc_id", "lang", "source", "text"), pieces)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", "round_trip")
 

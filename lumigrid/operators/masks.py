@@ -6,6 +6,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,24 +94,32 @@ def one_hot(mask: DataFrame, classes: int | None = None, by: list[str] = IMAGE)
 
 def _label_image(*coordinates: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Components of equal labels, diagonal neighbours too, numbered by their first pixel in
-    row-major order: each pixel takes the least number around it until nothing changes."""
+    row-major order. Neighbours hook the larger of their roots to the smaller, and pointers
+    jump to their roots, so a winding component takes a few rounds as a round one does."""
     shape = tuple(int(k.max()) + 3 for k in coordinates)
     inside = tuple(k + 1 for k in coordinates)
     value = np.zeros(shape, np.int64)
     value[inside] = label
-    number = np.where(value != 0, np.arange(1, value.size + 1).reshape(shape), 0)
-    axes = tuple(range(len(shape)))
-    around = list(itertools.product((-1, 0, 1), repeat=len(shape)))
-    alike = [(np.roll(value, a, axes) == value) & (value != 0) for a in around]
+    flat = value.reshape(-1)
+    place = np.flatnonzero(flat)
+    root = np.arange(flat.size)
+    pairs = []
+    for a in itertools.product((-1, 0, 1), repeat=len(shape)):
+        step = int(np.ravel_multi_index(tuple(k + 1 for k in a), shape) - np.ravel_multi_index((1,) * len(shape), shape))
+        if step > 0:
+            same = place[flat[place] == flat[place - step]]
+            pairs.append(np.stack([same - step, same]))
+    one, two = np.concatenate(pairs, axis=1)
     while True:
-        best = number.copy()
-        for a, same in zip(around, alike, strict=True):
-            there = np.roll(number, a, axes)
-            best = np.where(same & (there < best), there, best)
-        if (best == number).all():
+        a, b = root[one], root[two]
+        apart = a != b
+        if not apart.any():
             break
-        number = best
-    found = number[inside]
+        one, two, a, b = one[apart], two[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root[place]] != root[place]).any():
+            root[place] = root[root[place]]
+    found = np.where(value != 0, root.reshape(shape) + 1, 0)[inside]
     return np.where(found > 0, np.searchsorted(np.unique(found[found > 0]), found) + 1, 0)
 
 
@@ -127,30 +137,76 @@ def components(mask: DataFrame, by: list[str] = IMAGE, axes: tuple[str, ...] = P
 # ---- distances ---------------------------------------------------------------------
 
 
+def _envelope(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The least of (x[i] - x[j])**2 + g[j] over j, for each i of each line (a row), by the
+    lower envelope of the parabolas: linear in the line. Infinite g is no parabola."""
+    lines, width = g.shape
+    every = np.arange(lines)
+    kept, begin, top = np.zeros((lines, width), np.int64), np.full((lines, width + 1), np.inf), np.full(lines, -1)
+    for q in range(width):
+        new = every[np.isfinite(g[:, q])]
+        cross, open_ = np.full(lines, -np.inf), new
+        while len(open_ := open_[top[open_] >= 0]):
+            j = kept[open_, top[open_]]
+            at = ((g[open_, q] + x[open_, q] ** 2) - (g[open_, j] + x[open_, j] ** 2)) / (2 * (x[open_, q] - x[open_, j]))
+            hidden = at <= begin[open_, top[open_]]
+            cross[open_[~hidden]] = at[~hidden]
+            open_ = open_[hidden]
+            top[open_] -= 1
+        top[new] += 1
+        kept[new, top[new]], begin[new, top[new]] = q, cross[new]
+    begin[np.arange(width + 1)[None, :] > top[:, None]] = np.inf
+    out, now = np.full((lines, width), np.inf), np.zeros(lines, np.int64)
+    for q in range(width):
+        while (on := begin[every, np.minimum(now + 1, width)] < x[:, q]).any():
+            now[on] += 1
+        j = kept[every, now]
+        out[:, q] = np.where(top >= 0, (x[:, q] - x[every, j]) ** 2 + g[every, j], np.inf)
+    return out
+
+
+def _along_lines(px: DataFrame, line: list[str], axis: str, spacing: float) -> DataFrame:
+    """line, axis and the squared distance _g after one more axis. A line is a row; lines of
+    one length in an Arrow batch go through the envelope together."""
+    held = px.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).cast("int").alias("x"), F.coalesce("_g", F.lit(float("inf"))).alias("g")))).alias("_l"))
+    held = held.select(*line, F.col("_l.x").alias("_x"), F.col("_l.g").alias("_h"))
+
+    def run(batches):
+        for b in batches:
+            x, g = (b.column(b.schema.get_field_index(c)) for c in ("_x", "_h"))
+            ends = np.r_[0, np.cumsum(pc.list_value_length(x).to_numpy())]
+            flat = x.flatten().to_numpy() * float(spacing), g.flatten().to_numpy()
+            out = np.empty(len(flat[0]))
+            for size in np.unique(np.diff(ends)).tolist():
+                mine = ends[:-1][np.diff(ends) == size][:, None] + np.arange(size)
+                out[mine] = _envelope(flat[0][mine], flat[1][mine])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in line], x, pa.ListArray.from_arrays(ends.astype(np.int32), out)], names=[*line, "_x", "_h"])
+
+    done = held.mapInArrow(run, held.schema)
+    each = done.select(*line, F.explode(F.arrays_zip("_x", "_h")).alias("_e"))
+    return each.select(*line, F.col("_e._x").alias(axis), F.when(F.col("_e._h") < float("inf"), F.col("_e._h")).alias("_g"))
+
+
 def distance(mask: DataFrame, spacing: tuple[float, ...] | None = None, by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE) -> DataFrame:
     """`mask` with dist: the Euclidean distance of a foreground pixel to the nearest
     background, null where the image has none, 0 on the background. `spacing` is the size
     of a pixel on each axis.
 
     Separable: windows give the nearest background on each line of the first axis; then,
-    axis by axis, the least of (x - x')**2 + the squared distance so far on the line. Such a
-    join makes a line's length times as many rows as there are pixels, not pixels squared.
+    axis by axis, the least of (x - x')**2 + the squared distance so far on the line. The
+    work is linear in the pixels, and no group is larger than a line.
     """
     spacing = spacing or (1.0,) * len(axes)
-    keys = [*by, *axes]
     lines = along(axes[0], by, axes)
     zero = F.when(F.col("label") == 0, F.col(axes[0]))
     before = F.last(zero, ignorenulls=True).over(lines.rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(zero, ignorenulls=True).over(lines.rowsBetween(0, Window.unboundedFollowing))
     far = F.least(F.col(axes[0]) - before, after - F.col(axes[0]))
-    out = mask.withColumn("_g", F.pow(far * F.lit(spacing[0]), 2))
+    keys = [*by, *axes]
+    found = mask.select(*keys, F.pow(far * F.lit(spacing[0]), 2).alias("_g"))
     for axis, size in zip(axes[1:], spacing[1:], strict=True):
-        line = [*by, *[a for a in axes if a != axis]]
-        other = out.where("_g is not null").select(*line, F.col(axis).alias("_x"), F.col("_g").alias("_h"))
-        met = mask.where("label <> 0").select(*keys).join(other, line)
-        best = met.groupBy(*keys).agg(F.min(F.pow((F.col(axis) - F.col("_x")) * F.lit(size), 2) + F.col("_h")).alias("_g"))
-        out = mask.join(best, keys, "left").withColumn("_g", F.when(F.col("label") == 0, 0.0).otherwise(F.col("_g")))
-    return out.withColumn("dist", F.sqrt("_g")).drop("_g")
+        found = _along_lines(found, [*by, *[a for a in axes if a != axis]], axis, size)
+    return mask.join(found, keys, "left").withColumn("dist", F.sqrt("_g")).drop("_g")
 
 
 def outer_distance(mask: DataFrame, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None) -> DataFrame:

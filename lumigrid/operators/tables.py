@@ -2,11 +2,25 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.operators.pixel import IMAGE
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the checkpoint folder, which executors share. Only where none is
+    set and the master is local, as in tests, a temporary folder takes its place."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lumigrid-"))
+    return df.checkpoint()
+
+
 # ---- draws -------------------------------------------------------------------------
 
 
@@ -26,12 +40,14 @@ def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
 def number(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """`df` with its position from 0 in a total order, without one task that holds all:
     rows are dealt by ranges, numbered within them, and moved by the sizes of the ranges
-    before. The sizes are one row for each range."""
-    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)).cast("long"))
-    sizes = dealt.groupBy("_p").agg(F.max("_n").alias("_size"))
+    before. The sizes are one row for each range. The dealt rows are checkpointed, as rows
+    dealt anew for the sizes could fall into other ranges."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    # the id has the partition in its high bits and the row's place in it in the low 33
+    dealt = checkpointed(dealt.withColumn("_p", F.shiftright("_m", 33)).withColumn("_n", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_m"))
+    sizes = dealt.groupBy("_p").agg((F.max("_n") + 1).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
-    return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before") - 1).drop("_p", "_n", "_before")
+    return dealt.join(F.broadcast(before), "_p").withColumn(name, F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
 
 
 def split(df: DataFrame, order: list[str], val: int = 20, test: int = 5) -> DataFrame:
