@@ -42,8 +42,9 @@ SPACE = "▁"
 LONGEST = 256
 #: A unit in one of SHARE blocks or more is read by all tasks.
 SHARE = 3
-#: Units of blocks, of which many are alike, in a task of the lattice.
-UNITS = 30_000
+#: Units of blocks, of which many are alike, in a task of the lattice, and tasks at most;
+#: beyond that tasks are larger and spill.
+UNITS, TASKS = 10_000, 20_000
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 20
 UNIGRAM, BPE = 1, 2
@@ -314,7 +315,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     n_units, n_blocks = units.agg(F.count("*"), F.count_distinct("block")).first()
     spread = max(2, -(-n_blocks // SHARE))
     # few units a task, as each of them has many edges there
-    dealt = units.select("unit").repartition(n_units // UNITS + 1, "unit")
+    dealt = units.select("unit").repartition(min(n_units // UNITS + 1, TASKS), "unit")
     coded = table(encode_units(dealt.groupBy("unit").agg(F.count("*").alias("n")), pieces), "coded")
     common = shared_dir(docs.sparkSession, "common")
     coded.where(F.col("n") >= spread).select("unit", "ids").write.parquet(common)
