@@ -97,17 +97,21 @@ def zca(blocks: DataFrame, epsilon: float = 1e-6, column: str = "px") -> DataFra
 def siamese_pairs(cells: DataFrame, lineage: DataFrame, seed: int) -> DataFrame:
     """For each track a pair to compare, its kind drawn among same, different and division:
     kind, movie, track, t, other, other_t. A kind that a track cannot give falls back to
-    different, then to same."""
+    different, then to same. The tracks of a frame are numbered and the drawn number is
+    joined, so no frame is gathered. Draws depend on the track and the first letter of its
+    movie."""
     track = cells.groupBy("movie", "track").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    k = F.xxhash64("movie", "track") % 1_000_003
-    drawn = track.withColumn("_k", F.abs(k)).withColumn("_d", draw(F.col("_k"), seed) % 3)
+    drawn = track.withColumn("_k", F.col("track").cast("long") * 1009 + F.ascii("movie")).withColumn("_d", draw(F.col("_k"), seed) % 3)
     kids = lineage.where("daughters is not null").select("movie", "track", F.get("daughters", F.lit(0)).alias("daughter"))
     born = track.select("movie", F.col("track").alias("daughter"), F.col("first").alias("born"))
-    drawn = drawn.join(kids.join(born, ["movie", "daughter"]), ["movie", "track"], "left")
-    near = cells.groupBy("movie", "t").agg(F.sort_array(F.collect_set("track")).alias("_all"))
-    drawn = drawn.withColumn("t", F.col("last")).join(near, ["movie", "t"]).withColumn("_others", F.array_except("_all", F.array("track")))
-    other = F.get("_others", (draw(F.col("_k"), seed + 1) % F.greatest(F.size("_others"), F.lit(1))).cast("int"))
-    kind = F.when((F.col("_d") == 2) & F.col("daughter").isNotNull(), "division").when((F.col("_d") != 0) & (F.size("_others") > 0), "different").otherwise("same")
-    out = drawn.withColumn("kind", kind)
+    drawn = drawn.join(kids.join(born, ["movie", "daughter"]), ["movie", "track"], "left").withColumn("t", F.col("last"))
+    frame = Window.partitionBy("movie", "t")
+    placed = cells.select("movie", "t", "track").distinct()
+    placed = placed.withColumns({"_place": F.row_number().over(frame.orderBy("track")) - 1, "_n": F.count("*").over(frame) - 1})
+    drawn = drawn.join(placed, ["movie", "t", "track"]).withColumn("_to", draw(F.col("_k"), seed + 1) % F.greatest("_n", F.lit(1)))
+    drawn = drawn.withColumn("_to", F.col("_to") + F.when(F.col("_to") >= F.col("_place"), 1).otherwise(0))  # past the track itself
+    other = placed.select("movie", "t", F.col("_place").cast("long").alias("_to"), F.col("track").alias("_other"))
+    kind = F.when((F.col("_d") == 2) & F.col("daughter").isNotNull(), "division").when((F.col("_d") != 0) & F.col("_other").isNotNull(), "different").otherwise("same")
+    out = drawn.join(other, ["movie", "t", "_to"], "left").withColumn("kind", kind)
     pick = lambda a, b, c: F.when(F.col("kind") == "division", a).when(F.col("kind") == "different", b).otherwise(c)
-    return out.select("kind", "movie", "track", "t", pick(F.col("daughter"), other, F.col("track")).alias("other"), pick(F.col("born"), F.col("t"), F.col("first")).alias("other_t"))
+    return out.select("kind", "movie", "track", "t", pick(F.col("daughter"), F.col("_other"), F.col("track")).alias("other"), pick(F.col("born"), F.col("t"), F.col("first")).alias("other_t"))

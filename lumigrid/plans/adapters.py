@@ -58,16 +58,6 @@ def cell_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def family_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells of tracks that live for ten days each, those of doubled numbers later, so that
-    tracks have daughters."""
-    c = cell_table(spark, sf_dir)
-    k = F.col("track")
-    third = F.when(k < 8, 0).when(k < 16, 1).when(k < 32, 2).when(k < 64, 0).when(k < 128, 1).otherwise(2)
-    begin = c.agg(F.min("t").alias("_t0"))  # one row
-    return c.join(F.broadcast(begin)).where(F.floor((F.col("t") - F.col("_t0")) / 10) == third).drop("_t0")
-
-
 def generation_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All cells: thirty days of an event type are a movie, and a user is another track in
     each ten days of it. Users 2p and 2p+1 of the next ten days are daughters of user p."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,19 +276,15 @@ def weighted_centroid(spark, d):
 
 # ---- stacks ------------------------------------------------------------------------
 
-#: The first twelve images of a class as a stack, distances with pixels of unequal sides.
-STACK = f"""{MASK}, place AS (SELECT vec_id AS image_id, label AS stack, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z FROM embeddings),
-voxel AS (SELECT stack, CAST(z AS INTEGER) AS z, r, c, mask.label FROM mask JOIN place USING (image_id) WHERE z < 12),
+#: All images of a class in order as stacks of twelve; pixels have unequal sides.
+STACK = f"""{MASK}, place AS (SELECT image_id, concat(class, '/', t // 12) AS stack, t % 12 AS z
+    FROM (SELECT vec_id AS image_id, label AS class, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings)),
+voxel AS (SELECT stack, CAST(z AS INTEGER) AS z, r, c, mask.label FROM mask JOIN place USING (image_id)),
 d AS (SELECT a.stack, a.z, a.r, a.c, a.label, CASE WHEN a.label = 0 THEN 0.0 ELSE min(sqrt(pow((a.z - b.z) * 0.5::DOUBLE, 2) + pow((a.r - b.r) * 0.217::DOUBLE, 2) + pow((a.c - b.c) * 0.217::DOUBLE, 2))) END AS dist
     FROM voxel a JOIN voxel b ON a.stack = b.stack AND b.label = 0 GROUP BY a.stack, a.z, a.r, a.c, a.label)"""
 AXES, SPACING = ("z", "r", "c"), (0.5, 0.217, 0.217)
 
 
-def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = A.movie_table(spark, sf_dir).where("t < 12").select(F.col("movie").alias("stack"), F.col("t").alias("z"), "image_id")
-    return mask(spark, sf_dir).join(place, "image_id").select("stack", "z", "r", "c", "label")
-
-
 def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All images of a class in order as stacks of twelve, the last as far as they go."""
     number = F.concat_ws("/", "movie", F.floor(F.col("t") / 12)).alias("stack")
@@ -299,33 +293,24 @@ def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {STACK} SELECT stack, z, r, c, round(CASE WHEN label = 0 THEN 0 ELSE dist / nullif(max(dist) OVER (PARTITION BY stack, label), 0) END, 6) AS dist FROM d")
-def outer_distance_3d(spark, d, frames=stack):
-    e = masks.outer_distance(frames(spark, d), per="label", by=["stack"], axes=AXES, spacing=SPACING)
+def outer_distance_3d(spark, d):
+    e = masks.outer_distance(stacks(spark, d), per="label", by=["stack"], axes=AXES, spacing=SPACING)
     return rounded(e.select("stack", "z", "r", "c", "dist"), "dist")
 
 
 @query(f"""WITH {STACK}, k AS (SELECT stack, label, sum(z * dist) / sum(dist) AS cz, sum(r * dist) / sum(dist) AS cr, sum(c * dist) / sum(dist) AS cc, count(*) AS area FROM d WHERE label <> 0 GROUP BY 1, 2)
 SELECT d.stack, z, r, c, round(CASE WHEN d.label = 0 THEN 0 ELSE 1 / (1 + 1 / cbrt(CAST(area AS DOUBLE)) * (pow((z - cz) * 0.5::DOUBLE, 2) + pow((r - cr) * 0.217::DOUBLE, 2) + pow((c - cc) * 0.217::DOUBLE, 2))) END, 6) AS inner_
 FROM d LEFT JOIN k ON d.stack = k.stack AND d.label = k.label""")
-def inner_distance_3d(spark, d, frames=stack):
-    e = masks.inner_distance(frames(spark, d), "auto", per="label", by=["stack"], axes=AXES, spacing=SPACING)
+def inner_distance_3d(spark, d):
+    e = masks.inner_distance(stacks(spark, d), "auto", per="label", by=["stack"], axes=AXES, spacing=SPACING)
     return rounded(e.select("stack", "z", "r", "c", F.col("inner").alias("inner_")), "inner_")
 
 
 @query(f"""WITH {STACK}, e AS (SELECT a.stack, a.z, a.r, a.c, a.label, CAST(a.label > 0 AND bool_or(b.label <> a.label) AS INTEGER) AS edge FROM voxel a JOIN voxel b ON a.stack = b.stack AND abs(a.z - b.z) + abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY a.stack, a.z, a.r, a.c, a.label)
 SELECT stack, z, r, c, CASE WHEN edge = 1 THEN 0 ELSE label END AS label FROM e""")
-def erode_edges_3d(spark, d, frames=stack):
-    return masks.erode_edges(frames(spark, d), 1, ["stack"], AXES)
-
-
-#: The queries on stacks say in their SQL that they take twelve images of a class; these take all.
-STACKS = STACK.replace(
-    "SELECT vec_id AS image_id, label AS stack, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z FROM embeddings",
-    "SELECT image_id, concat(class, '/', t // 12) AS stack, t % 12 AS z FROM (SELECT vec_id AS image_id, label AS class, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS t FROM embeddings)",
-).replace(" WHERE z < 12", "")
-for name in ("outer_distance_3d", "inner_distance_3d", "erode_edges_3d"):
-    Q[f"{name}_all"] = partial(Q[name], frames=stacks)
-    SQL[f"{name}_all"] = SQL[name].replace(STACK, STACKS)
+def erode_edges_3d(spark, d):
+    return masks.erode_edges(stacks(spark, d), 1, ["stack"], AXES)
+
 
 
 # ---- filters and overlays ----------------------------------------------------------

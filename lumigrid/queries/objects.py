@@ -28,8 +28,10 @@ def query(sql: str | None = None):
 
 CELL = """cell AS (SELECT event_type AS movie, user_id AS track, date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS t,
     avg(value) AS x, avg(CAST(hour(ts) AS DOUBLE)) AS y, count(*) AS area FROM events GROUP BY 1, 2, 3)"""
+#: Thirty days of an event type are a movie, and a user is another track in each ten days.
 FAMILY = f"""{CELL.replace('cell AS', 'every AS')},
-cell AS (SELECT * FROM every WHERE (t - (SELECT min(t) FROM every)) // 10 = CASE WHEN track < 8 THEN 0 WHEN track < 16 THEN 1 WHEN track < 32 THEN 2 WHEN track < 64 THEN 0 WHEN track < 128 THEN 1 ELSE 2 END)"""
+span AS (SELECT min(t) AS t0, max(track) + 1 AS w FROM every),
+cell AS (SELECT concat(movie, '/', (t - t0) // 30) AS movie, track + w * CASE (t - t0) // 10 % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS track, t, x, y, area FROM every, span)"""
 LINEAGE = f"""{FAMILY},
 track AS (SELECT movie, track, min(t) AS first, max(t) AS last FROM cell GROUP BY 1, 2),
 kin AS (SELECT a.movie, a.track, list_sort(list(b.track)) AS daughters FROM track a JOIN track b ON a.movie = b.movie AND b.track // 2 = a.track AND b.first > a.last GROUP BY 1, 2 HAVING count(*) = 2),
@@ -48,7 +50,7 @@ def cells(spark, d):
 
 
 def family(spark, d):
-    return A.family_table(spark, d)
+    return A.generation_table(spark, d)
 
 
 def photos(spark, d):
@@ -131,21 +133,21 @@ def short_track_filter(spark, d):
 @query(f"""WITH {LINEAGE}, n AS (SELECT movie, track, count(DISTINCT t) AS n FROM cell GROUP BY 1, 2), each AS (SELECT movie, track, unnest(daughters) AS k FROM lineage),
 w AS (SELECT each.movie, each.track, bool_and(n.n > 3) AS w FROM each JOIN n ON n.movie = each.movie AND n.track = each.k GROUP BY 1, 2)
 SELECT movie, track, first, last, CASE WHEN w THEN daughters END AS daughters FROM lineage LEFT JOIN w USING (movie, track)""")
-def daughters_all_present(spark, d, cells=family):
-    c = cells(spark, d)
+def daughters_all_present(spark, d):
+    c = family(spark, d)
     return tables.whole_families(A.lineage_table(c), c)
 
 
 @query(f"WITH {LINEAGE} SELECT movie, track, first, last, daughters FROM lineage")
-def lineages(spark, d, cells=family):
-    return A.lineage_table(cells(spark, d))
+def lineages(spark, d):
+    return A.lineage_table(family(spark, d))
 
 
-@query(f"""WITH {LINEAGE}, late AS (SELECT movie, track, first, last + CASE WHEN track % 7 = 0 THEN 12 ELSE 0 END AS last, daughters FROM lineage WHERE movie <> 'view')
+@query(f"""WITH {LINEAGE}, late AS (SELECT movie, track, first, last + CASE WHEN track % 7 = 0 THEN 12 ELSE 0 END AS last, daughters FROM lineage)
 SELECT DISTINCT movie FROM (SELECT movie, last, unnest(daughters) AS k FROM late) e JOIN track t USING (movie) WHERE t.track = k AND t.first <= e.last""")
-def invalid_lineages(spark, d, cells=family, but="view"):
-    c = cells(spark, d)
-    late = A.lineage_table(c).where(F.col("movie") != but).withColumn("last", F.col("last") + F.when(F.col("track") % 7 == 0, 12).otherwise(0))
+def invalid_lineages(spark, d):
+    c = family(spark, d)
+    late = A.lineage_table(c).withColumn("last", F.col("last") + F.when(F.col("track") % 7 == 0, 12).otherwise(0))
     return tables.invalid_lineages(late, c)
 
 
@@ -157,8 +159,8 @@ def random_split(spark, d):
 @query(f"""WITH {LINEAGE}, n AS (SELECT movie, track, row_number() OVER (PARTITION BY movie ORDER BY track) AS k FROM lineage),
 x AS (SELECT e.movie, e.track, list_sort(list(n.k)) AS daughters FROM (SELECT movie, track, unnest(daughters) AS c FROM lineage) e JOIN n ON n.movie = e.movie AND n.track = e.c GROUP BY 1, 2)
 SELECT lineage.movie, k AS track, first, last, x.daughters FROM lineage JOIN n USING (movie, track) LEFT JOIN x USING (movie, track)""")
-def sequential_lineage(spark, d, cells=family):
-    c = cells(spark, d)
+def sequential_lineage(spark, d):
+    c = family(spark, d)
     return tables.sequential_tracks(c, A.lineage_table(c))[1]
 
 
@@ -173,8 +175,8 @@ def cell_extents(spark, d):
 
 @query(f"""WITH {LINEAGE}, s AS (SELECT movie, count(DISTINCT t) AS frames, count(*) AS cells FROM cell GROUP BY 1), k AS (SELECT movie, count(*) AS tracks, count(daughters) AS divisions FROM lineage GROUP BY 1)
 SELECT movie, frames, cells, tracks, divisions, round(cells / tracks, 6) AS mean_frames FROM s JOIN k USING (movie)""")
-def track_stats(spark, d, cells=family):
-    c = cells(spark, d)
+def track_stats(spark, d):
+    c = family(spark, d)
     return rounded(tables.track_stats(c, A.lineage_table(c)), "mean_frames")
 
 
@@ -268,14 +270,14 @@ DAUGHTER = f"""{LINEAGE}, birth AS (SELECT movie, last AS t, track, daughter FRO
 
 
 @query(f"WITH {DAUGHTER} SELECT movie, t, track, daughter FROM birth")
-def temporal_daughter(spark, d, cells=family):
-    return graph.daughter_edges(A.lineage_table(cells(spark, d)))
+def temporal_daughter(spark, d):
+    return graph.daughter_edges(A.lineage_table(family(spark, d)))
 
 
 @query(f"""WITH {DAUGHTER} SELECT a.movie, a.t, count(*) FILTER (a.track <> b.track AND k.track IS NULL) AS different FROM cell a JOIN cell b ON a.movie = b.movie AND b.t = a.t + 1
 LEFT JOIN birth k ON k.movie = a.movie AND k.t = a.t AND k.track = a.track AND k.daughter = b.track GROUP BY 1, 2""")
-def temporal_different(spark, d, cells=family):
-    c = cells(spark, d)
+def temporal_different(spark, d):
+    c = family(spark, d)
     return graph.different_counts(c, A.lineage_table(c))
 
 
@@ -291,8 +293,8 @@ def next_frame_asof(spark, d):
 
 
 @query(f"WITH {LINEAGE} SELECT e.movie, e.track, e.daughter, t.first AS born FROM (SELECT movie, track, unnest(daughters) AS daughter FROM lineage) e JOIN track t ON t.movie = e.movie AND t.track = e.daughter")
-def daughter_first_frame(spark, d, cells=family):
-    return graph.daughter_first_frames(A.lineage_table(cells(spark, d)))
+def daughter_first_frame(spark, d):
+    return graph.daughter_first_frames(A.lineage_table(family(spark, d)))
 
 
 @query(f"WITH {CELL} SELECT movie, track, t, round(coalesce(x - lag(x) OVER w, 0), 6) + 0.0 AS dx, round(coalesce(y - lag(y) OVER w, 0), 6) + 0.0 AS dy FROM cell WINDOW w AS (PARTITION BY movie, track ORDER BY t)")
@@ -326,17 +328,6 @@ def concat_tracks(spark, d):
     return graph.concat_tracks(c.where("track % 2 = 0"), c.where("track % 2 = 1"))
 
 
-#: The queries on lineages say in their SQL that they take ten days of a user; these take all.
-GENERATIONS = f"""{CELL.replace('cell AS', 'every AS')},
-span AS (SELECT min(t) AS t0, max(track) + 1 AS w FROM every),
-cell AS (SELECT concat(movie, '/', (t - t0) // 30) AS movie, track + w * CASE (t - t0) // 10 % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 4 END AS track, t, x, y, area FROM every, span)"""
-for name in ("lineages", "daughters_all_present", "sequential_lineage", "track_stats", "temporal_daughter", "temporal_different", "daughter_first_frame"):
-    Q[f"{name}_all"] = partial(Q[name], cells=A.generation_table)
-    SQL[f"{name}_all"] = SQL[name].replace(FAMILY, GENERATIONS)
-Q["invalid_lineages_all"] = partial(invalid_lineages, cells=A.generation_table, but="")
-SQL["invalid_lineages_all"] = SQL["invalid_lineages"].replace(FAMILY, GENERATIONS).replace(" WHERE movie <> 'view'", "")
-
-
 # ---- losses ------------------------------------------------------------------------
 
 TRUTH = f"""{SCORE}, y AS (SELECT s.image_id, s.class, s.c, s.p, CAST(s.class = e.label % 8 AS DOUBLE) AS y FROM score s JOIN embeddings e ON e.vec_id = s.image_id)"""
