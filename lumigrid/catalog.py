@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lumigrid.queries import apps, images, objects
+from lumigrid.queries import apps, features, images, objects
 
-QUERIES: dict = {**images.Q, **objects.Q, **apps.Q}
-SQL: dict[str, str] = {**images.SQL, **objects.SQL, **apps.SQL}
+QUERIES: dict = {**images.Q, **objects.Q, **apps.Q, **features.Q}
+SQL: dict[str, str] = {**images.SQL, **objects.SQL, **apps.SQL, **features.SQL}
 
 #: Queries that SQL cannot express; their operators are tested against plain versions.
 ROWS_ONLY: set[str] = {"segment_app", "watershed", "local_contrast", "tracker_stateful", "zca_whiten"}

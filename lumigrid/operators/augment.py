@@ -17,6 +17,11 @@ def uniform(key: Column, seed: int, low: float, high: float) -> Column:
     return F.lit(low) + (high - low) * draw(key, seed) / 2147483647
 
 
+def drawn_zoom(key: Column, seed: int, zoom: float) -> Column:
+    """The scale that random_affine() draws: what a model of scales learns."""
+    return uniform(key, seed + 3, 1 - zoom, 1 + zoom)
+
+
 def random_affine(px: DataFrame, seed: int, rotation: float = 0.0, shift: float = 0.0, zoom: float = 0.0, flip: bool = False, key: str = "image_id", values: tuple[str, ...] = ("v",)) -> DataFrame:
     """Each image turned, moved, scaled and perhaps flipped by its own draws, the nearest
     pixel for each place; places that show nothing become 0. Masks that go through with
@@ -25,7 +30,7 @@ def random_affine(px: DataFrame, seed: int, rotation: float = 0.0, shift: float
     e = extent(px, [key])
     size = e.groupBy(key).agg(F.max("h").alias("h"), F.max("w").alias("w"))
     angle, a, b = uniform(k, seed, -rotation, rotation) * (math.pi / 180), uniform(k, seed + 1, -shift, shift), uniform(k, seed + 2, -shift, shift)
-    scale, mirror = uniform(k, seed + 3, 1 - zoom, 1 + zoom), (draw(k, seed + 4) % 2 == 1) & F.lit(flip)
+    scale, mirror = drawn_zoom(k, seed, zoom), (draw(k, seed + 4) % 2 == 1) & F.lit(flip)
     places = size.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("h") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("w") - 1)))
     y, x = F.col("r") - (F.col("h") - 1) / 2 - a, F.col("c") - (F.col("w") - 1) / 2 - b
     sr = (F.cos(angle) * y + F.sin(angle) * x) * scale + (F.col("h") - 1) / 2

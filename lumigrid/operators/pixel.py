@@ -63,21 +63,32 @@ def extent(px: DataFrame, by: list[str] = IMAGE) -> DataFrame:
     return px.withColumns({"h": F.max("r").over(own) + 1, "w": F.max("c").over(own) + 1})
 
 
-def _mirrored(at: Column, n: Column, pad: int) -> Column:
+def _mirrored(at: Column, n: Column, before: Column | int, after: Column | int) -> Column:
     """All places of a padded line that show pixel `at` of a line of n: itself and its
     reflections at both ends, the edge pixel not repeated."""
-    shows = F.array(at, F.when((at > 0) & (at <= pad), -at), F.when((at < n - 1) & (2 * (n - 1) - at <= n - 1 + pad), 2 * (n - 1) - at))
+    shows = F.array(at, F.when((at > 0) & (at <= before), -at), F.when((at < n - 1) & (2 * (n - 1) - at <= n - 1 + after), 2 * (n - 1) - at))
     return F.filter(shows, lambda x: x.isNotNull())
 
 
 def reflect_pad(px: DataFrame, pad: int, by: list[str] = IMAGE) -> DataFrame:
     """Images grown by `pad` on each side, reflected: each pixel is sent to the places that
     show it, so nothing is joined. pad must be less than the image's sides."""
-    e = extent(px, by).withColumn("r", F.explode(_mirrored(F.col("r"), F.col("h"), pad)))
-    e = e.withColumn("c", F.explode(_mirrored(F.col("c"), F.col("w"), pad)))
+    e = extent(px, by).withColumn("r", F.explode(_mirrored(F.col("r"), F.col("h"), pad, pad)))
+    e = e.withColumn("c", F.explode(_mirrored(F.col("c"), F.col("w"), pad, pad)))
     return e.withColumns({"r": F.col("r") + pad, "c": F.col("c") + pad}).drop("h", "w")
 
 
+def pad_to(px: DataFrame, height: int, width: int, by: list[str] = IMAGE) -> DataFrame:
+    """Images reflected on both ends up to the sides of a model's input, an odd pixel at the
+    far end; sides that are as long stay. The input is less than twice an image."""
+    e = extent(px, by)
+    for k, n, size in (("r", "h", height), ("c", "w", width)):
+        lack = F.greatest(F.lit(size) - F.col(n), F.lit(0))
+        e = e.withColumns({"_b": F.floor(lack / 2).cast("int"), "_a": F.ceil(lack / 2).cast("int")})
+        e = e.withColumn(k, F.explode(_mirrored(F.col(k), F.col(n), F.col("_b"), F.col("_a")))).withColumn(k, F.col(k) + F.col("_b"))
+    return e.drop("h", "w", "_a", "_b")
+
+
 def max_pool(px: DataFrame, size: int, by: list[str] = IMAGE) -> DataFrame:
     """The maximum of each size x size square, squares side by side; a rest is left out."""
     e = extent(px, by).where((F.col("r") < F.col("h") - F.col("h") % size) & (F.col("c") < F.col("w") - F.col("w") % size))
@@ -102,22 +113,30 @@ def location(px: DataFrame, by: list[str] = IMAGE) -> DataFrame:
     return e.withColumns({"loc_r": share("r", "h"), "loc_c": share("c", "w")}).drop("h", "w")
 
 
-def resize_nearest(px: DataFrame, height: int, width: int, by: list[str] = IMAGE) -> DataFrame:
-    """Images of height x width; each pixel goes to the places whose nearest source it is."""
+def resize_nearest(px: DataFrame, height: int | Column, width: int | Column, by: list[str] = IMAGE) -> DataFrame:
+    """Images of height x width (numbers, or columns of h and w); each pixel goes to the
+    places whose nearest source it is, from the first to the last."""
     e = extent(px, by)
-    places = lambda k, n, size: F.filter(F.sequence(F.lit(0), F.lit(size - 1)), lambda x: F.floor(x * F.col(n) / size) == F.col(k))
-    grown = e.withColumn("to", F.explode(places("r", "h", height))).withColumn("r", F.col("to"))
-    grown = grown.withColumn("to", F.explode(places("c", "w", width))).withColumn("c", F.col("to"))
-    return grown.drop("h", "w", "to")
+    for k, n, size in (("r", "h", height), ("c", "w", width)):
+        size = size if isinstance(size, Column) else F.lit(size)
+        at = lambda i, n=n, size=size: F.floor((i * size + F.col(n) - 1) / F.col(n)).cast("int")
+        low, high = at(F.col(k)), at(F.col(k) + 1) - 1
+        e = e.where(high >= low).withColumn(k, F.explode(F.sequence(low, high)))
+    return e.drop("h", "w")
 
 
-def resize_bilinear(px: DataFrame, height: int, width: int, by: list[str] = IMAGE) -> DataFrame:
-    """Images of height x width by the weights of the four nearest pixel centres: each
-    pixel is sent to where it weighs, and weights are summed."""
+def resize_bilinear(px: DataFrame, height: int | Column, width: int | Column, by: list[str] = IMAGE) -> DataFrame:
+    """Images of height x width (numbers, or columns of h and w) by the weights of the four
+    nearest pixel centres: each pixel is sent to where it weighs, and weights are summed."""
 
     def spread(frame, k, n, size):
+        size = size if isinstance(size, Column) else F.lit(size)
+        at, last = F.col(k), F.col(n) - 1
+        place = lambda x: (x + 0.5) * size / F.col(n) - 0.5  # noqa: E731  (of a source's centre)
+        low = F.when(at == 0, 0).otherwise(F.greatest(F.floor(place(at - 1)), F.lit(0))).cast("int")
+        high = F.when(at == last, size - 1).otherwise(F.least(F.ceil(place(at + 1)), size - 1)).cast("int")
         centre = lambda x: F.greatest(F.lit(0.0), F.least(F.col(n) - 1.0, (x + 0.5) * F.col(n) / size - 0.5))
-        reach = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda x: F.struct(x.alias("to"), (1 - F.abs(centre(x) - F.col(k))).alias("weight")))
+        reach = F.transform(F.sequence(low, high), lambda x: F.struct(x.alias("to"), (1 - F.abs(centre(x) - at)).alias("weight")))
         out = frame.withColumn("_s", F.explode(F.filter(reach, lambda s: s["weight"] > 0)))
         return out.withColumns({k: F.col("_s.to"), "v": F.col("v") * F.col("_s.weight")}).drop("_s")
 
@@ -125,6 +144,38 @@ def resize_bilinear(px: DataFrame, height: int, width: int, by: list[str] = IMAG
     return e.groupBy(*by, "r", "c").agg(F.sum("v").alias("v"))
 
 
+def to_resolution(px: DataFrame, mpp: float | None, model_mpp: float, by: list[str] = IMAGE) -> DataFrame:
+    """Images of `mpp` microns a pixel at the resolution of a model: sides times mpp /
+    model_mpp, cut to whole pixels; as they are where mpp is not known or equal."""
+    if mpp is None or mpp == model_mpp:
+        return px
+    scale = mpp / model_mpp
+    return resize_bilinear(px, F.floor(F.col("h") * scale).cast("int"), F.floor(F.col("w") * scale).cast("int"), by)
+
+
+def windows(px: DataFrame, places: DataFrame, half: int, by: list[str] = IMAGE) -> DataFrame:
+    """The pixels within `half` of each place (by, r, c) on both axes: dr and dc tell where
+    from it. A place is sent to its window, which is joined by pixel."""
+    each = F.sequence(F.lit(-half), F.lit(half))
+    sent = places.select(*by, F.col("r").alias("at_r"), F.col("c").alias("at_c")).withColumn("dr", F.explode(each)).withColumn("dc", F.explode(each))
+    sent = sent.withColumns({"r": F.col("at_r") + F.col("dr"), "c": F.col("at_c") + F.col("dc")})
+    return sent.join(px.select(*by, "r", "c", "v"), [*by, "r", "c"]).select(*by, F.col("at_r").alias("r"), F.col("at_c").alias("c"), "dr", "dc", "v")
+
+
+def crop_shape(images: DataFrame, crops: int = 4, field: int = 61) -> DataFrame:
+    """`images` (h, w) with crop_h and crop_w, the sides of a crop when an image is read in
+    `crops` parts on each axis by a model that sees `field` pixels."""
+    return images.withColumns({f"crop_{n}": (F.floor(F.col(n) / crops) + (field - 1)).cast("int") for n in ("h", "w")})
+
+
+def coordinate_text(places: DataFrame) -> DataFrame:
+    """`places` (x, y and h, w, v of what is shown there, v null outside) with shown: the
+    coordinates, and the value where they are inside."""
+    inside = (F.floor(F.col("x") + 0.5) >= 0) & (F.floor(F.col("x") + 0.5) < F.col("w")) & (F.floor(F.col("y") + 0.5) >= 0) & (F.floor(F.col("y") + 0.5) < F.col("h"))
+    at = F.format_string("x=%.4f, y=%.4f", "x", "y")
+    return places.withColumn("shown", F.when(inside, F.concat(at, F.format_string(", z=%.4f", "v"))).otherwise(at))
+
+
 def trim(px: DataFrame, rows: int, cols: int, by: list[str] = IMAGE) -> DataFrame:
     """Images without a border of `rows` and `cols` pixels, counted from 0 again."""
     e = extent(px, by).where((F.col("r") >= rows) & (F.col("r") < F.col("h") - rows) & (F.col("c") >= cols) & (F.col("c") < F.col("w") - cols))

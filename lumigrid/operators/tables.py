@@ -105,6 +105,31 @@ def temporal_slice(frames: DataFrame, length: int, seed: int, movie: str = "movi
     return cut.withColumn("t", F.col("t") - F.col("_s")).drop("_s", "_last")
 
 
+def placed(cells: DataFrame) -> DataFrame:
+    """`cells` with place, their number in their frame from 1 by track."""
+    return cells.withColumn("place", F.row_number().over(Window.partitionBy("movie", "t").orderBy("track")))
+
+
+def sample_volumes(mask: DataFrame, half: int, half_t: int, movie: str = "movie") -> DataFrame:
+    """Places of set pixels of movies (v = 1): movie, t, r, c, whose window of 2 * half + 1
+    pixels and 2 * half_t + 1 frames lies strictly inside."""
+    own = Window.partitionBy(movie)
+    e = mask.withColumns({f"_{a}": F.max(a).over(own) + 1 for a in ("t", "r", "c")}).where("v = 1")
+    for a, n in (("t", half_t), ("r", half), ("c", half)):
+        e = e.where((F.col(a) - n > 0) & (F.col(a) + n < F.col(f"_{a}")))
+    return e.select(movie, "t", "r", "c")
+
+
+def random_frames(tracks: DataFrame, k: int, seed: int, frames: str = "frames") -> DataFrame:
+    """k drawn frames of each track but its last, in order; shorter tracks are filled from
+    the left with their oldest. Draws depend on the track and the frame."""
+    f = F.col(frames)
+    rest = F.when(F.size(f) > 1, F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f)
+    drawn = F.array_sort(F.transform(rest, lambda t: F.struct(draw(F.col("track").cast("long") * 1_000_003 + t, seed).alias("d"), t.alias("t"))))
+    some = F.array_sort(F.transform(F.slice(drawn, 1, k), lambda x: x["t"]))
+    return tracks.withColumn(frames, F.concat(F.array_repeat(F.get(f, F.lit(0)), F.greatest(F.lit(k) - F.size(some), F.lit(0))), some))
+
+
 def fetch_frames(tracks: DataFrame, k: int, frames: str = "frames") -> DataFrame:
     """The last k frames of each track; shorter ones are filled from the left with their
     oldest."""
@@ -169,7 +194,11 @@ def sequential_tracks(cells: DataFrame, lineage: DataFrame) -> tuple[DataFrame,
 def extents(mask: DataFrame, axes: tuple[str, ...], by: list[str] = IMAGE) -> DataFrame:
     """Mean and median side of the instances' bounding boxes on each axis, rounded."""
     box = mask.where("label <> 0").groupBy(*by, "label").agg(*[(F.max(a) - F.min(a) + 1).alias(a) for a in axes])
-    return box.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("mean", lambda a: F.round(F.avg(a))), ("median", lambda a: F.round(F.median(a))))])
+    # sides are small numbers: medians come from how often each occurs
+    kinds = box.groupBy(*axes).agg(F.count("*").alias("_k"))
+    mean = lambda a: F.round(F.sum(F.col(a) * F.col("_k")) / F.sum("_k"))
+    median = lambda a: F.round(F.percentile(F.col(a), F.lit(0.5), F.col("_k")))
+    return kinds.agg(*[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("mean", mean), ("median", median))])
 
 
 def track_stats(cells: DataFrame, lineage: DataFrame) -> DataFrame:
