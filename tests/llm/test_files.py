@@ -67,6 +67,24 @@ def test_warc_empty_and_damaged(spark, tmp_path):
         assert warc.read(spark, [(path, size)]).count() == 5
 
 
+def test_urls_come_back_as_they_were(spark, tmp_path):
+    urls = ["http://a/b c", " lead", "trail\u00a0", "tab\there", "é", None, "", "line\nend\r\n", "%20", "x"]
+    df = spark.createDataFrame([(i, u, f"page {i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r.url for r in warc.read(spark, warc.write(warc.records(df), str(tmp_path / "u"))).collect()}
+    assert got == dict(enumerate(urls))
+
+
+def test_ranges_smaller_than_records(spark, tmp_path):
+    """Every record is read once, however ranges cut the archive."""
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, "u", "".join(map(chr, rng.choices(range(32, 500), k=rng.choice([0, 10, 5000, 90_000]))))) for i in range(60)], "page_id long, url string, html string")
+    archives = warc.write(warc.records(df).coalesce(2), str(tmp_path / "r"))
+    for split in (700, 5_000, 1 << 30):
+        got = warc.read(spark, archives, split=split, payload=False) if split > 700 else warc.read(spark, archives[:1], split=split)
+        want = df.count() if split > 700 else warc.read(spark, archives[:1]).count()
+        assert got.count() == got.select("page_id").distinct().count() == want
+
+
 # ---- token records -----------------------------------------------------------------
 
 

@@ -81,6 +81,39 @@ def test_perplexity_equals_plain_python(spark, tmp_path):
     assert quality.keep(frame.limit(0), marks).count() == 0
 
 
+def test_decisions_equal_plain_python(spark, tmp_path):
+    """Thresholds by hand: the quantile of held-out trusted documents of the language, of
+    all where there are few, and nats of room over the whole text."""
+    import zlib
+
+    rng = random.Random(7)
+    words = ["the", "of", "some", "strange", "an", "x", "y!", "été"]
+    lang = lambda i: "en" if i % 4 else rng.choice(["fr", None])
+    docs = [(i, " ".join(rng.choice(words + ["".join(rng.choices("qzjk", k=3))] * (i % 3)) for _ in range(rng.randrange(1, 40))), lang(i)) for i in range(400)] + [(900, "", "en"), (901, None, "fr")]
+    labels = [(i, int(i % 5 != 4), 0) for i in range(0, 300)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "d"))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    trusted = {i for i, q, _ in labels if q == 1}
+    held = {i for i in trusted if zlib.crc32(str(i).encode()) % 5 == 0}
+    p = kneser_ney([t or "" for i, t, _ in docs if i in trusted - held], 2)
+    loss, size = {}, {}
+    for i, t, _ in docs:
+        b = b"\0" + (t or "").encode()
+        loss[i], size[i] = -sum(math.log(p(b[k : k + 2])) for k in range(len(b) - 1)), len(b) - 1
+    of = {i: g for i, _, g in docs}
+    share, margin, room = 0.8, 1.5, 1.05
+
+    def line(some):
+        perplexities = sorted(math.exp(loss[i] / size[i]) for i in some if size[i])
+        return perplexities[math.ceil(share * len(perplexities)) - 1]
+
+    lines = {g: line(m) for g in set(of.values()) if len(m := [i for i in held if of[i] == g and size[i]]) >= quality.LEAST}
+    assert "en" in lines and len(lines) < 3  # both kinds of languages occur
+    want = {i: not size[i] or loss[i] <= size[i] * math.log(lines.get(of[i], line(held)) * room) + margin for i in of}
+    got = quality.score(spark.read.parquet(str(tmp_path / "d")), marks, order=2, quantile=share, room=room, margin=margin).collect()
+    assert {r.doc_id: r.keep for r in got} == want and 0 < sum(want.values()) < len(want)
+
+
 def test_probabilities_sum_to_one(spark):
     train = Counter("abracadabra abc"[i : i + 2] for i in range(14))
     rows = [(ord(g[0]) << 8 | ord(g[1]), n) for g, n in train.items()] + [(ord("a") << 8 | k, 0) for k in range(256) if chr(k) not in {g[1] for g in train if g[0] == "a"}]

@@ -133,3 +133,40 @@ def test_template_regions(spark):
     got = licenses.scan(df, phrases=(), templates=(("x", template),)).orderBy("doc_id").collect()
     assert [r.labels == "x" for r in got] == list(texts.values())
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def filled(template):
+    """A text that a template accepts: optional regions kept, replaceable ones filled."""
+    text = re.sub(r"<<(?:begin|end)Optional>>", " ", template)
+    return re.sub(r"<<var;name=(\w+);words=(\d+)-\d+>>", lambda m: " ".join([m[1]] * int(m[2])), text).split()
+
+
+def test_whole_licenses_want_every_word():
+    for label, template in licenses.TEMPLATES:
+        automaton = licenses.compile_template(label, template)
+        accepts = lambda w, a=automaton: a.accepts(licenses.word_hashes(" ".join(w)))
+        whole = filled(template)
+        # words outside all marks, by their place in the filled text
+        marked = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", lambda m: f" {' '.join('?' * len(filled(m[0])))} ", template)
+        while "<<beginOptional>>" in marked:
+            marked = re.sub(r"<<beginOptional>>(?:(?!<<beginOptional>>).)*?<<endOptional>>", lambda m: f" {' '.join('?' * len(filled(m[0])))} ", marked)
+        marked = re.sub(r"<<var;name=\w+;words=(\d+)-\d+>>", lambda m: f" {' '.join('?' * int(m[1]))} ", marked).split()
+        assert len(marked) == len(whole)
+        first = next(k for k, w in enumerate(marked) if w != "?")
+        assert accepts(whole[first:]), label
+        for k, w in enumerate(marked):
+            if w != "?" and k > first:
+                assert not accepts([*whole[first:k], "zzz", *whole[k + 1 :]]), (label, k, w)
+
+
+def test_license_edges(spark):
+    """Repeated rows, nulls, very long texts, and columns named as the results."""
+    mit = " ".join(filled(licenses.TEMPLATES[0][1]))
+    long = "word " * 200_000 + mit + " tail" * 100_000
+    rows = [(1, mit, "own", 9.0), (1, mit, "own", 9.0), (None, mit.upper(), "x", None), (2, long, "x", 1.0), (3, None, "x", 1.0), (4, "", "x", 1.0), (5, mit.replace("merchantability", "value"), "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, LABELS string, score double")
+    got = licenses.scan(df)
+    assert got.columns == ["doc_id", "text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    found = sorted((str(r.doc_id), r.labels, r.score, r.n_words) for r in got.collect())
+    n = len(mit.split())
+    assert found == sorted([("1", "mit", 1.0, n), ("1", "mit", 1.0, n), ("None", "mit", 1.0, n), ("2", "mit", 1.0, n + 300_000), ("3", "", 0.0, 0), ("4", "", 0.0, 0), ("5", "", 0.0, n)])

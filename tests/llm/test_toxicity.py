@@ -1,8 +1,10 @@
 """Toxicity scores: held-out accuracy, and edges."""
 
+import random
 import zlib
 
 import numpy as np
+import zstandard
 
 from lumigrid.llm import queries, toxicity
 
@@ -35,3 +37,28 @@ def test_edges(spark):
     assert got[1] > 0.5 > max(got[2], got[3])
     assert len({r.score for r in toxicity.score(docs, model).where("doc_id = 1").collect()}) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_features_equal_a_plain_loop(spark):
+    """Gains of windows, each compressed anew with both dictionaries."""
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["vile", "plain", "good", "day", "night", "uncommon", "VILEST", "é"]) for _ in range(30)) for _ in range(20)] + ["", None]
+    docs = spark.createDataFrame([(i, f"plain day {i} {'vile thing ' * (i % 4 == 0)} {i * 7}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    for size in (1, 3):
+        model = toxicity.fit(docs, labels, window=size)
+        how = zstandard.ZstdCompressionParameters(window_log=16, chain_log=14, hash_log=14, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+        def length(window, content, how=how):
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            return len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(b" " + window + b" " + bytes(12)))
+
+        measure = model.scorer()
+        for t in texts:
+            w = toxicity.tokens(t)
+            windows = [b" ".join(w[k : k + size]) for k in range(0, len(w), size)]
+            gains = [min(max(length(x, model.ordinary) - length(x, model.toxic), 0), toxicity.STEPS) for x in windows]
+            least = [sum(g >= k for g in gains) for k in range(1, toxicity.STEPS + 1)]
+            want = [*np.log1p(least), *[x / max(len(windows), 1) * 10 for x in least], sum(x > 0 for x in least) / toxicity.STEPS, 1.0]
+            assert np.allclose(measure.features(t), want)
+            assert abs(measure(t) - 1 / (1 + np.exp(-np.dot(want, model.weights)))) < 1e-9
