@@ -5,12 +5,34 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder that scratch() has opened in a session.
+SCRATCH = "lumigrid.scratch"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """All tables that operators write within go to one folder, which is deleted at the end.
+    Results are lazy: write them to their own place before that."""
+    folder = shared_dir(spark, "scratch")
+    before = spark.conf.get(SCRATCH, None)
+    spark.conf.set(SCRATCH, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(SCRATCH) if before is None else spark.conf.set(SCRATCH, before)
+        store, path = at(folder)
+        if store.get_file_info(path).type.name == "Directory":
+            store.delete_dir(path)
+
+
 @cache
 def _local() -> str:
     return "file://" + tempfile.mkdtemp(prefix="lumigrid-")
@@ -24,6 +46,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _local()
+    base = spark.conf.get(SCRATCH, None) or base
     return posixpath.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
 
 

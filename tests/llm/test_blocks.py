@@ -1,11 +1,13 @@
 """Blocks are the same however a job splits its input, and one that is not known is an error."""
 
+import os
 import random
 
 import pytest
 
 from lumigrid.llm import quality
 from lumigrid.llm.blocks import blocked, write_beside, without
+from lumigrid.llm.shared import scratch
 
 SPLITS = [
     {"spark.sql.leafNodeDefaultParallelism": "4", "spark.sql.files.maxPartitionBytes": "128m"},
@@ -68,3 +70,11 @@ def test_rows_of_no_file_and_clashing_names(spark, docs):
         kept = quality.keep(df, labels, order=2)
         assert kept.columns == df.columns and kept.where("block <> 7").count() == 0
         assert kept.count() >= 0.9 * df.count()
+
+
+def test_scratch_leaves_nothing(spark, docs, tmp_path):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 4000, 3)], "doc_id long, quality int, toxic int")
+    with scratch(spark) as folder:
+        quality.keep(docs, labels, order=2).write.parquet(str(tmp_path / "kept"))
+        assert os.path.isdir(folder.removeprefix("file://"))
+    assert not os.path.exists(folder.removeprefix("file://")) and spark.read.parquet(str(tmp_path / "kept")).count() >= 3600
