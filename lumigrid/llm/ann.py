@@ -32,7 +32,7 @@ PART, BLOCK = 2048, 4096
 MOST_PARTS = 256
 NEIGHBOURS = 10
 #: The share of sample neighbours that must be within reach.
-REACH = 0.97
+REACH = 0.94
 
 
 def parts_of(n: int, part: int) -> int:
