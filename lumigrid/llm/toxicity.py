@@ -63,11 +63,11 @@ def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least:
     copies of one document count once: by e**odds as often, after `least` words or more."""
 
     number: dict[bytes, int] = {b"": 0}
-    names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in t), np.int64, len(t))
+    names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in t), np.int32, len(t))
     groups = [[names(t) for t in texts] for texts in (toxic, ordinary)]
 
     def after(texts):
-        pairs = [np.r_[0, t[:-1]] * len(number) + t for t in texts if len(t)]
+        pairs = [np.unique(np.r_[0, t[:-1]].astype(np.int64) * len(number) + t) for t in texts if len(t)]
         different = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         return np.bincount(different % len(number), minlength=len(number)), max(len(different), 1)
 
@@ -158,9 +158,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not bad or not good or len({y for y, _ in check}) < 2:
         return None
     telling = telling_words(bad, good)
+    whole = [b" ".join(t) for t in bad]
     around = [b" " + w + b" " for t in bad for w in windows(t, window) if telling.intersection(w.split(b" "))]
-    plain = [b" ".join(t[k : k + 4]) for t in good for k in range(0, len(t), 4)]
-    toxic = around * 4 or [b" ".join(t) for t in bad]
+    plain = [b" ".join(t) for t in good]
+    del one, bad, good
+    toxic = around * 4 or whole
     model = Model(train_dictionary(plain, size), train_dictionary(toxic, size), np.zeros(2 * STEPS + 2), window)
     measure = model.scorer().features
     model.weights = fit_curve(np.array([measure(t) for _, t in check]), np.array([float(y) for y, _ in check]))
