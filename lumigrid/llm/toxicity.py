@@ -58,22 +58,18 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
     return b"\0" * 8 + b"".join(more[::-1]) + content
 
 
-def telling_words(toxic: list[list[bytes]], ordinary: list[list[bytes]], least: int = 3, odds: float = 3.5) -> set[bytes]:
-    """Words that follow more different words in toxic than in ordinary text, so that
-    copies of one document count once: by e**odds as often, after `least` words or more."""
-
-    number: dict[bytes, int] = {b"": 0}
-    names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in t), np.int32, len(t))
-    groups = [[names(t) for t in texts] for texts in (toxic, ordinary)]
+def telling_words(toxic: list[np.ndarray], ordinary: list[np.ndarray], n_words: int, least: int = 3, odds: float = 3.5) -> np.ndarray:
+    """Whether each word, by its number from 1 on, follows more different words in toxic than
+    in ordinary text, so that copies of one document count once: by e**odds as often, after
+    `least` words or more."""
 
     def after(texts):
-        pairs = [np.unique(np.r_[0, t[:-1]].astype(np.int64) * len(number) + t) for t in texts if len(t)]
+        pairs = [np.unique(np.r_[0, t[:-1]].astype(np.int64) * n_words + t) for t in texts if len(t)]
         different = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        return np.bincount(different % len(number), minlength=len(number)), max(len(different), 1)
+        return np.bincount(different % n_words, minlength=n_words), max(len(different), 1)
 
-    (bad, n), (good, m) = map(after, groups)
-    told = np.log((bad + 0.5) / n) - np.log((good + 0.5) / m) >= odds
-    return {w for w, k in number.items() if told[k] and bad[k] >= least}
+    (bad, n), (good, m) = after(toxic), after(ordinary)
+    return (np.log((bad + 0.5) / n) - np.log((good + 0.5) / m) >= odds) & (bad >= least)
 
 
 @dataclass
@@ -152,16 +148,21 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     found = found.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_text").alias("_text"))  # a document of each id
     got = sorted(((r._id, r._y, r._text or "") for r in found.collect()), key=str)
     check = [(y, t) for _, y, t in got[::3]]
-    one: dict[bytes, bytes] = {}  # a word is held once, however often it stands there
-    bad, good = ([[one.setdefault(w, w) for w in tokens(t)] for k, (_, y, t) in enumerate(got) if k % 3 and y == c] for c in (1, 0))
+    number: dict[bytes, int] = {b"": 0}  # texts are held as the numbers of their words
+    names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32)
+    bad, good = ([names(t) for k, (_, y, t) in enumerate(got) if k % 3 and y == c] for c in (1, 0))
     del got
     if not bad or not good or len({y for y, _ in check}) < 2:
         return None
-    telling = telling_words(bad, good)
-    whole = [b" ".join(t) for t in bad]
-    around = [b" " + w + b" " for t in bad for w in windows(t, window) if telling.intersection(w.split(b" "))]
-    plain = [b" ".join(t) for t in good]
-    del one, bad, good
+    known = list(number)
+    told = telling_words(bad, good, len(known))
+    telling = {known[k] for k in np.flatnonzero(told).tolist()}
+    del number
+    spelled = lambda t: [known[k] for k in t.tolist()]
+    whole = [b" ".join(spelled(t)) for t in bad]
+    around = [b" " + w + b" " for t in bad for w in windows(spelled(t), window) if telling.intersection(w.split(b" "))]
+    plain = [b" ".join(spelled(t)) for t in good]
+    del known, bad, good
     toxic = around * 4 or whole
     model = Model(train_dictionary(plain, size), train_dictionary(toxic, size), np.zeros(2 * STEPS + 2), window)
     measure = model.scorer().features
