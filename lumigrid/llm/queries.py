@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumigrid.llm import ann, chat, decontaminate, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, warc
-from lumigrid.llm.shared import shared_dir
+from lumigrid.llm import ann, byte_bpe, chat, decontaminate, fim, licenses, neardup, quality, sentencepiece_lattice, token_records, toxicity, trie, warc
+from lumigrid.llm.shared import shared_dir, table
 
 #: Tokenizer files by name; on a cluster, every executor has the package that holds them.
 TOKENIZER = public_tokenizers.path
@@ -70,6 +71,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(trie.marked(trie.numbered(_table(spark, sf_dir, "conversations"))), "turns")
+    c = F.col("conv_id")
+    heads = turns.select("conv_id").distinct().select("conv_id", (c - c % 5).alias("base"), (F.crc32(c.cast("string").cast("binary")) % 9).alias("h"))
+    built = trie.build(trie.spliced(turns, heads), heads.select("conv_id"))
+    nothing = F.lit(hashlib.sha256(b"").hexdigest())
+    shown = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return built.nodes.join(trie.digests(built.ends), trie.KEY, "left").select(*shown, F.coalesce("ends_sha256", nothing).alias("ends_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = [F.sha2(x, 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (fim.restore(), "restored_sha256"))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = TOKENIZER("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    back = byte_bpe.decode(coded, ranks)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_warc": op2_warc,
@@ -81,6 +106,9 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chat": op9_chat,
     "op10_licenses": op10_licenses,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fim": op12_fim,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 SQL: dict[str, str] = {
@@ -165,3 +193,51 @@ SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_wor
     array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || more)), ',') AS labels,
     CASE WHEN len(more) > 0 THEN 1.0::DOUBLE WHEN len(places) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
 FROM l"""
+
+
+#: The checksum as its definition: eight shifts for each byte, on the polynomial's bits.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(conv_id AS VARCHAR)) + 1), lambda i: ascii(substr(CAST(conv_id AS VARCHAR), i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda v, k: xor(v >> 1, CASE WHEN v % 2 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+#: Prefixes compared as the turns themselves; a subtree is the nodes with a prefix that
+#: their representative's path has.
+SQL["op11_prefix_trie"] = f"""
+WITH t AS (
+    SELECT conv_id, strlen(coalesce(text, '')) AS bytes, length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, '') AS said,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+whole AS (
+    SELECT ids.conv_id, 0 AS own, k, said, bytes FROM ids JOIN t ON t.conv_id = base AND k <= h
+    UNION ALL SELECT ids.conv_id, 1, k, said, bytes FROM ids JOIN t ON t.conv_id = ids.conv_id AND k > h),
+step AS (SELECT conv_id, said, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY own, k) AS depth FROM whole),
+way AS (
+    SELECT conv_id, depth, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING) AS prefix FROM step
+    UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+path AS (SELECT *, lag(prefix) OVER w AS before, depth = max(depth) OVER (PARTITION BY conv_id) AS last FROM way WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+node AS (
+    SELECT depth, prefix, any_value(before) AS before, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, bool_and(last) AS leaf,
+        coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '') AS ends FROM path GROUP BY depth, prefix),
+under AS (
+    SELECT p.depth, p.prefix, sum(CAST(w.leaf AS BIGINT)) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved_tokens
+    FROM node w JOIN path p ON p.conv_id = w.conv_id AND p.depth <= w.depth GROUP BY p.depth, p.prefix),
+kids AS (SELECT depth - 1 AS depth, before AS prefix, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY ALL)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+    CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM node n JOIN under USING (depth, prefix) LEFT JOIN kids USING (depth, prefix) LEFT JOIN node up ON up.depth = n.depth - 1 AND up.prefix = n.before"""
+
+#: Units as list elements.
+SQL["op12_fim"] = """
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+    FROM documents),
+g AS (SELECT *, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS r FROM d),
+c AS (
+    SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 90 THEN 'plain' WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(text) AS restored_sha256
+FROM p"""
