@@ -3,14 +3,15 @@
 Two facts make BPE a left-to-right job. The ids of a piece are the one sequence of tokens
 in which any two neighbours, taken alone, would be encoded as themselves; and ids up to a
 token's end do not depend on what follows that end. So after each byte a piece so far has
-one last token, found from the last tokens at earlier places; and a token is certain, and
-emitted, when all places where a longer token could still begin agree on it.
-
-A state of the transducer is what that takes: the longest ending that could go on to a
-longer token, the tokens that lead to each place in it, and the token emitted last. States
-and moves are made when a text first needs them and kept in a bounded table. Decoding
-sends the bytes of ids through a UTF-8 machine that keeps an unfinished character between
-ids.
+one last token: of the tokens that end there, the one that can follow the last token of
+the place where it begins. The transducer's output for a byte is that token, and walking
+back from the end by the lengths of tokens gives the ids. A token is certain, and emitted,
+as soon as the walks from all places where a longer token could still begin agree on it.
+
+A state is what the next outputs depend on: the longest ending that could go on to a
+longer token, and the last tokens of the places in it. States and moves are made when a
+text first needs them and kept in a bounded table. Decoding sends the bytes of ids through
+a UTF-8 machine that keeps an unfinished character between ids.
 """
 
 from __future__ import annotations
@@ -27,9 +28,15 @@ from pyspark.sql import functions as F
 from lumigrid.llm.append import append
 from lumigrid.llm.words import small_batches
 
-#: States, tested pairs of neighbours and encoded pieces that a worker keeps; beyond it, a
+#: Moves, tested pairs of neighbours and encoded pieces that a worker keeps; beyond it, a
 #: table is begun anew, which changes no result.
-STATES, PAIRS, PIECES = 1 << 15, 1 << 17, 1 << 16
+MOVES, PAIRS, PIECES = 1 << 19, 1 << 18, 1 << 18
+#: Bytes that are read before certain tokens are looked for.
+WAIT = 64
+#: Beyond every rank.
+NONE = 1 << 40
+#: Characters of a text whose pieces are listed at once.
+LISTED = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -39,112 +46,158 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Ids of pieces of bytes. `feed` gives ids as soon as they are certain, `close` the
-    rest; `encode` takes a whole piece."""
+    """Ids of pieces of bytes. `feed` gives ids when they are certain, `close` the rest;
+    `encode` takes a whole piece."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = STATES):
+    def __init__(self, ranks: dict[bytes, int], moves: int = MOVES):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"every byte needs a rank; {missing[:5]} have none")
-        self.ranks, self.limit = ranks, states
+        self.ranks, self.limit = ranks, moves
         self.token = {rank: token for token, rank in ranks.items()}
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.beginnings = {token[:k] for token in ranks for k in range(1, len(token) + 1)}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.longest = 0  # bytes from the last certain token's end to the place of reading
+        self.edges: dict[int, tuple | None] = {}
+        self.endings: dict[bytes, tuple] = {}
+        self.longest = 0  # bytes held at most while nothing more was certain
         self._begin()
 
     def _begin(self) -> None:
-        self.number: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.start = self._state((b"", ((),), None))
-        self.now = self.start
-
-    def _state(self, key: tuple) -> int:
-        """A state's number. Its key: the open ending; for each place in it, from its
-        beginning to its end, the tokens since the last certain one; and that one."""
-        at = self.number.get(key)
-        if at is None:
-            at = self.number[key] = len(self.keys)
-            self.keys.append(key)
-            self.moves.append({})
-        return at
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """BPE as it is defined: the pair of least rank, the first of equal ones, until none has any."""
-        parts = [data[k : k + 1] for k in range(len(data))]
+        self.number = {(b"", None): 0}
+        self.keys: list[tuple] = [(b"", None)]
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.state, self.lasts = 0, []
+
+    def merges(self, data: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """BPE as it is defined: the pair of least rank is merged, the first of equal ones,
+        until none has any. The parts, and each merge's rank with the first and last part
+        after it."""
+        parts, steps = [data[k : k + 1] for k in range(len(data))], []
         while len(parts) > 1:
-            rank, at = min((self.ranks.get(a + b, len(self.ranks)), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == len(self.ranks):
+            rank, at = min((self.ranks.get(a + b, NONE), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+            if rank == NONE:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _stands(self, left: int | None, right: int) -> bool:
-        """Whether a token can follow another (None: the beginning), by merging the two alone."""
-        token = self.token[right]
-        if right not in self.whole:
-            self.whole[right] = self.merged(token) == [token]
-        if left is None or not self.whole[right]:
-            return self.whole[right]
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            before = self.token[left]
-            found = before + token not in self.ranks and self.merged(before + token) == [before, token]
-            self.pairs[left, right] = found
+            steps.append((rank, parts[0], parts[-1]))
+        return parts, steps
+
+    def _edges(self, rank: int) -> tuple | None:
+        """The merges that make a token, as ranks, first parts and last parts, with those
+        before the first merge; None if merging its bytes gives another thing."""
+        if rank not in self.edges:
+            token = self.token[rank]
+            parts, steps = self.merges(token)
+            begun = [(NONE, token[:1], token[-1:]), *steps]
+            self.edges[rank] = ([r for r, _, _ in steps] + [NONE], [f for _, f, _ in begun], [e for _, _, e in begun]) if parts == [token] else None
+        return self.edges[rank]
+
+    def _stands(self, left: int, right: int) -> bool:
+        """Whether a token can follow another: the merges of the two are played in turn,
+        and none of what then lies at their border may be merged before."""
+        one, two = self._edges(left), self._edges(right)
+        (ranks, _, ends), (others, firsts, _) = one, two
+        i = j = 0
+        while True:
+            r, o = ranks[i], others[j]
+            across = self.ranks.get(ends[i] + firsts[j], NONE)
+            if across < r and across <= o and across != NONE:  # what is further left comes first
+                return False
+            if r == o == NONE:
+                return True
+            if r <= o:
+                i += 1
+            else:
+                j += 1
+
+    def _ending(self, ending: bytes) -> tuple:
+        """For an ending: what of it can go on to a longer token, and the tokens that it
+        ends with, longest first, as length and rank."""
+        cut = next((k for k in range(len(ending)) if ending[k:] in self.beginnings), len(ending))
+        tokens = [(len(ending) - k, self.ranks[ending[k:]]) for k in range(len(ending)) if ending[k:] in self.ranks]
+        found = cut, ending[cut:], [(n, r) for n, r in tokens if self._edges(r)]
+        if len(self.endings) < PAIRS:
+            self.endings[ending] = found
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes the move from a state by a byte."""
-        ending, paths, last = self.keys[state]
-        ending += bytes([byte])
-        for k in range(len(ending)):  # a longer token first; exactly one can be the last
-            rank = self.ranks.get(ending[k:])
-            if rank is not None and self._stands(paths[k][-1] if paths[k] else last, rank):
-                paths = (*paths, (*paths[k], rank))
+    def _move(self, state: int, byte: int) -> tuple[int, int]:
+        """Makes the move from a state by a byte: the next state and the last token."""
+        key = self.keys[state]
+        ending = key[0] + bytes((byte,))
+        cut, kept, tokens = self.endings.get(ending) or self._ending(ending)
+        pairs, n = self.pairs, len(key)
+        for size, right in tokens:  # exactly one can be the last
+            left = key[n - size]
+            if left is None:
+                break
+            stands = pairs.get((left, right))
+            if stands is None:
+                if len(pairs) >= PAIRS:
+                    pairs.clear()
+                stands = pairs[left, right] = self._stands(left, right)
+            if stands:
                 break
         else:
             raise AssertionError(f"no token ends at {ending!r}")
-        drop = 0
-        while drop < len(ending) and ending[drop:] not in self.beginnings:
-            drop += 1
-        ending, paths = ending[drop:], paths[drop:]
-        sure = 0
-        while all(len(p) > sure and p[sure] == paths[0][sure] for p in paths):
-            sure += 1
-        done = paths[0][:sure]
-        paths = tuple(p[sure:] for p in paths)
-        self.longest = max(self.longest, sum(len(self.token[r]) for r in paths[-1]))
-        key = (ending, paths, done[-1] if done else last)
-        if len(self.keys) >= self.limit:
-            self._begin()
-            return self._state(key), done
-        move = self._state(key), done
-        self.moves[state][byte] = move
+        key = (kept, *key[cut + 1 :], right)
+        to = self.number.setdefault(key, len(self.keys))
+        if to == len(self.keys):
+            self.keys.append(key)
+        move = self.moves[state << 8 | byte] = to, right
         return move
 
+    def _read(self, data: bytes) -> None:
+        """Goes over bytes and adds the last token at each to `lasts`."""
+        if len(self.moves) > self.limit:
+            key, lasts = self.keys[self.state], self.lasts
+            self._begin()
+            self.lasts = lasts
+            if key != self.keys[0]:
+                self.number[key] = self.state = 1
+                self.keys.append(key)
+        state, moves, add = self.state, self.moves, self.lasts.append
+        for byte in data:
+            state, last = moves.get(state << 8 | byte) or self._move(state, byte)
+            add(last)
+        self.state = state
+
+    def _walk(self, at: int) -> list[int]:
+        """The tokens of the first `at` bytes in `lasts`."""
+        out = []
+        while at > 0:
+            out.append(self.lasts[at - 1])
+            at -= self.size[out[-1]]
+        return out[::-1]
+
     def feed(self, data: bytes) -> list[int]:
+        """Ids that are certain, of a piece that goes on."""
         out: list[int] = []
-        state = self.now
-        for byte in data:
-            state, done = self.moves[state].get(byte) or self._move(state, byte)
-            if done:
-                out += done
-        self.now = state
+        for k in range(0, len(data), WAIT):
+            self._read(data[k : k + WAIT])
+            n = len(self.lasts)
+            if n < WAIT:
+                continue
+            walks = [self._walk(n - back) for back in range(len(self.keys[self.state][0]) + 1)]
+            sure = next((k for k, same in enumerate(zip(*walks)) if len(set(same)) > 1), min(map(len, walks)))
+            out += walks[0][:sure]
+            del self.lasts[: sum(self.size[r] for r in walks[0][:sure])]
+            self.longest = max(self.longest, len(self.lasts))
         return out
 
     def close(self) -> list[int]:
         """What is left of a piece; the next bytes begin another."""
-        rest = self.keys[self.now][1][-1]
-        self.now = self.start
-        return list(rest)
+        rest = self._walk(len(self.lasts))
+        self.state, self.lasts = 0, []
+        return rest
 
     def encode(self, piece: bytes) -> list[int]:
         rank = self.ranks.get(piece)  # a piece that is a token is that token
-        return [rank] if rank is not None else self.feed(piece) + self.close()
+        if rank is not None:
+            return [rank]
+        if len(piece) > WAIT:
+            return self.feed(piece) + self.close()
+        self._read(piece)
+        return self.close()
 
 
 class Encoder:
@@ -152,22 +205,22 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.transducer = Transducer(load_ranks(path))
-        self.split = regex.compile(pattern).finditer
+        self.split = regex.compile(pattern)
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _new(self, piece: str) -> tuple[int, ...]:
         ids = tuple(self.transducer.encode(piece.encode()))
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
-        if len(piece) <= 64:  # a long one hardly comes again
+        if len(piece) <= WAIT:  # a long one hardly comes again
             self.pieces[piece] = ids
         return ids
 
     def __call__(self, text: str) -> list[int]:
         out: list[int] = []
         known, new = self.pieces.get, self._new
-        for found in self.split(text):
-            piece = found.group()
+        found = self.split.findall(text) if len(text) < LISTED else (m.group() for m in self.split.finditer(text))
+        for piece in found:
             out += known(piece) or new(piece)
         return out
 
