@@ -32,6 +32,13 @@ def pixels(images: DataFrame) -> DataFrame:
     return p.select("image_id", F.floor(F.col("i") / F.col("w")).cast("int").alias("r"), (F.col("i") % F.col("w")).cast("int").alias("c"), "v")
 
 
+def blocks_of(px: DataFrame, by: list[str], value: str = "v") -> DataFrame:
+    """Block images of whole pixel tables: by, h, w, px. An image is a row of the result."""
+    held = F.array_sort(F.collect_list(F.struct("r", "c", F.col(value).alias("v"))))
+    e = px.groupBy(*by).agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"), held.alias("_p"))
+    return e.select(*by, "h", "w", F.col("_p.v").alias("px"))
+
+
 def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pixels(blocks(spark, sf_dir))
 
