@@ -12,20 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumigrid.operators.tables import draw
+from lumigrid.operators.tables import draw, key_of
+
+__all__ = ["FILLS", "MAP", "apply", "channel_shift", "drawn", "key_of", "uniform", "warp"]
 
 #: How an image goes on beyond its border: abcd is followed by ...
 FILLS = ("constant", "nearest", "reflect", "wrap")  # kkkk, dddd, dcba, abcd
 MAP = ("m_rr", "m_rc", "m_cr", "m_cc", "m_r", "m_c")
 
 
-def key_of(*columns: Column) -> Column:
-    """A number for one or more keys of any type, by 28 bits of the digest of their text;
-    names that differ anywhere draw differently. A null key is the empty text."""
-    text = F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
-
-
 def uniform(key: Column, seed: int, low: float, high: float) -> Column:
     return F.lit(float(low)) + F.lit(float(high) - float(low)) * draw(key, seed) / 2147483647
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumigrid.operators.pixel import EPSILON, IMAGE, extent
-from lumigrid.operators.tables import draw
+from lumigrid.operators.tables import draw, key_of
 
 
 def uniform(key: Column, seed: int, low: float, high: float) -> Column:
@@ -103,10 +103,9 @@ def siamese_pairs(cells: DataFrame, lineage: DataFrame, seed: int) -> DataFrame:
     """For each track a pair to compare, its kind drawn among same, different and division:
     kind, movie, track, t, other, other_t. A kind that a track cannot give falls back to
     different, then to same. The tracks of a frame are numbered and the drawn number is
-    joined, so no frame is gathered. Draws depend on the track and the first letter of its
-    movie."""
+    joined, so no frame is gathered. Draws depend on the names of movie and track."""
     track = cells.groupBy("movie", "track").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    drawn = track.withColumn("_k", F.col("track").cast("long") * 1009 + F.ascii("movie")).withColumn("_d", draw(F.col("_k"), seed) % 3)
+    drawn = track.withColumn("_k", key_of(F.col("movie"), F.col("track"))).withColumn("_d", draw(F.col("_k"), seed) % 3)
     kids = lineage.where("daughters is not null").select("movie", "track", F.get("daughters", F.lit(0)).alias("daughter"))
     born = track.select("movie", F.col("track").alias("daughter"), F.col("first").alias("born"))
     drawn = drawn.join(kids.join(born, ["movie", "daughter"]), ["movie", "track"], "left").withColumn("t", F.col("last"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Short names of features that a sink uses, and which of them are targets.
-NAMES = {"app": "appearances", "cent": "centroids", "morph": "morphologies", "adj": "adj_matrix", "temp_adj": "temporal_adj_matrix", "lineage": "lineage_id"}
-TARGETS = ("temporal_adj_matrix", "lineage_id")
+#: Short names of features that a sink uses, and which of them are inputs; fixed values.
+NAMES = {"app": "appearances", "cent": "centroids", "morph": "morphologies", "adj": "adj_matrices", "temp_adj": "temporal_adj_matrices"}
+INPUTS = ("app", "cent", "morph", "adj")
 
 
 def known(edges: DataFrame, lineage: DataFrame, columns: tuple[str, ...] = ("track",)) -> DataFrame:
@@ -45,11 +45,18 @@ def batch_of(sparse_rows: DataFrame, batch: str, which: int) -> DataFrame:
     return sparse_rows.where(F.col(batch) == which).drop(batch)
 
 
-def routed(df: DataFrame, names: dict[str, str] = NAMES, targets: tuple[str, ...] = TARGETS) -> DataFrame:
-    """Columns by their full names in two structs: x of the inputs and y of the targets."""
-    full = {c: names.get(c, c) for c in df.columns}
-    pick = lambda wanted: [F.col(c).alias(n) for c, n in full.items() if (n in targets) == wanted]
-    return df.select(F.struct(*pick(False)).alias("x"), F.struct(*pick(True)).alias("y"))
+def routed(df: DataFrame, keys: tuple[str, ...] = (), names: dict[str, str] = NAMES, inputs: tuple[str, ...] = INPUTS) -> DataFrame:
+    """The keys, and features by their full names in two structs: x of the inputs and y of
+    the targets. A column that is neither a key nor a known short name is an error; so is
+    a table without an input or a target."""
+    short = [c for c in df.columns if c not in keys]
+    unknown = [c for c in short if c not in names]
+    if unknown:
+        raise ValueError(f"no feature has the short name {', '.join(unknown)}; there are {', '.join(names)}")
+    pick = lambda wanted: [F.col(c).alias(names[c]) for c in short if (c in inputs) == wanted]
+    if not pick(True) or not pick(False):
+        raise ValueError("there must be an input and a target")
+    return df.select(*keys, F.struct(*pick(True)).alias("x"), F.struct(*pick(False)).alias("y"))
 
 
 def largest_shape(cells: DataFrame) -> DataFrame:

@@ -209,9 +209,15 @@ def distance(mask: DataFrame, spacing: tuple[float, ...] | None = None, by: list
     return mask.join(found, keys, "left").withColumn("dist", F.sqrt("_g")).drop("_g")
 
 
-def outer_distance(mask: DataFrame, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None) -> DataFrame:
+def outer_distance(
+    mask: DataFrame, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None, erosion: int = 0, normalize: bool = True
+) -> DataFrame:
     """Distances to the background as shares of the largest in their component (or label:
-    per="label", which is what stacks take)."""
+    per="label", which is what stacks take), or as they are without `normalize`. Instances
+    first lose `erosion` pixels of their edges."""
+    mask = erode_edges(mask, erosion, by, axes)
+    if not normalize:
+        return distance(mask, spacing, by, axes)
     e = distance(components(mask, by, axes) if per == "component" else mask, spacing, by, axes)
     top = F.max("dist").over(Window.partitionBy(*by, per))
     return e.withColumn("dist", F.when(F.col("label") == 0, 0.0).otherwise(F.col("dist") / F.nullif(top, F.lit(0.0))))
@@ -224,10 +230,11 @@ def weighted_centroids(mask: DataFrame, per: str = "label", by: list[str] = IMAG
     return mask.where("label <> 0").groupBy(*by, per).agg(*[(F.sum(F.col(a) * F.col("dist")) / total).alias(f"c{a}") for a in axes], F.count("*").alias("area"))
 
 
-def inner_distance(mask: DataFrame, alpha: float | str = 0.1, beta: float = 1.0, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None) -> DataFrame:
+def inner_distance(mask: DataFrame, alpha: float | str = 0.1, beta: float = 1.0, per: str = "component", by: list[str] = IMAGE, axes: tuple[str, ...] = PLANE, spacing: tuple[float, ...] | None = None, erosion: int = 0) -> DataFrame:
     """`mask` with inner: 1 / (1 + beta * alpha * d2), d2 the squared distance to the
     instance's weighted centre; alpha "auto" is 1 / sqrt(area), in a stack the inverse cube
-    root. 0 on the background."""
+    root. 0 on the background. Instances first lose `erosion` pixels of their edges."""
+    mask = erode_edges(mask, erosion, by, axes)
     if isinstance(alpha, str) and alpha != "auto":
         raise ValueError('alpha is a number or "auto"')
     e = distance(components(mask, by, axes) if per == "component" else mask, spacing, by, axes)

@@ -168,10 +168,17 @@ def crop_shape(images: DataFrame, crops: int = 4, field: int = 61) -> DataFrame:
     return images.withColumns({f"crop_{n}": (F.floor(F.col(n) / crops) + (field - 1)).cast("int") for n in ("h", "w")})
 
 
+def at_pixel(x: Column) -> Column:
+    """The pixel that a coordinate is taken for: half a pixel on, cut to a whole number, so
+    the first pixel is also shown from -1.5 on."""
+    return (x + 0.5).cast("int")
+
+
 def coordinate_text(places: DataFrame) -> DataFrame:
     """`places` (x, y and h, w, v of what is shown there, v null outside) with shown: the
-    coordinates, and the value where they are inside."""
-    inside = (F.floor(F.col("x") + 0.5) >= 0) & (F.floor(F.col("x") + 0.5) < F.col("w")) & (F.floor(F.col("y") + 0.5) >= 0) & (F.floor(F.col("y") + 0.5) < F.col("h"))
+    coordinates, and the value where they are inside. The pixel is at_pixel() of each."""
+    col, row = at_pixel(F.col("x")), at_pixel(F.col("y"))
+    inside = (col >= 0) & (col < F.col("w")) & (row >= 0) & (row < F.col("h"))
     at = F.format_string("x=%.4f, y=%.4f", "x", "y")
     return places.withColumn("shown", F.when(inside, F.concat(at, F.format_string(", z=%.4f", "v"))).otherwise(at))
 

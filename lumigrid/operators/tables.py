@@ -96,11 +96,18 @@ def sample_windows(mask: DataFrame, half: int, padding: str = "valid", most: int
     return e.orderBy(draw(key, seed), *by, "r", "c").limit(most)
 
 
+def key_of(*columns: Column) -> Column:
+    """A number for one or more keys of any type, by 28 bits of the digest of their text;
+    names that differ anywhere draw differently. A null key is the empty text."""
+    text = F.concat_ws("/", *[F.coalesce(c.cast("string"), F.lit("")) for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
 def temporal_slice(frames: DataFrame, length: int, seed: int, movie: str = "movie") -> DataFrame:
-    """A run of `length` frames of each movie, its start drawn; whole if shorter. t begins
-    at 0 again."""
+    """A run of `length` frames of each movie (a key of any type), its start drawn; whole if
+    shorter. t begins at 0 again."""
     ends = frames.groupBy(movie).agg(F.max("t").alias("_last"))
-    start = ends.withColumn("_s", draw(F.col(movie).cast("long"), seed) % F.greatest(F.col("_last") + 2 - length, F.lit(1)))
+    start = ends.withColumn("_s", draw(key_of(F.col(movie)), seed) % F.greatest(F.col("_last") + 2 - length, F.lit(1)))
     cut = frames.join(start, movie).where((F.col("t") >= F.col("_s")) & (F.col("t") < F.col("_s") + length))
     return cut.withColumn("t", F.col("t") - F.col("_s")).drop("_s", "_last")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lumigrid.operators import augment, features, graph, masks, pixel, tables
 from lumigrid.plans import adapters as A
 from lumigrid.plans import targets
-from lumigrid.queries.images import EDGE, MASK, PIXEL, mask, px, rounded
+from lumigrid.queries.images import MASK, OUTER, PIXEL, mask, px, rounded
 from lumigrid.queries.objects import CELL, LINEAGE, MOVIE, SAME, cells, draw, family
 
 Q: dict = {}
@@ -63,10 +63,11 @@ def batch_slice(spark, d):
     return features.batch_of(placed(spark, d).where("track <> 0").select("movie", "t", "place", "track"), "movie", "click")
 
 
-@query(f"WITH {CELL} SELECT movie, track, t, round(area * 1.0, 6) AS morphologies, track % 5 AS lineage_id FROM cell")
+@query(f"WITH {CELL} SELECT movie, track, t, area AS morphologies, round(x, 6) AS centroids, area % 3 AS adj_matrices, track % 5 AS temporal_adj_matrices FROM cell")
 def routed_features(spark, d):
-    named = cells(spark, d).select("movie", "track", "t", F.round(F.col("area") * 1.0, 6).alias("morph"), (F.col("track") % 5).alias("lineage"))
-    return features.routed(named).select("x.movie", "x.track", "x.t", F.col("x.morphologies").cast("double").alias("morphologies"), "y.lineage_id")
+    cent, adj, temp_adj = F.round("x", 6).alias("cent"), (F.col("area") % 3).alias("adj"), (F.col("track") % 5).alias("temp_adj")
+    named = cells(spark, d).select("movie", "track", "t", F.col("area").alias("morph"), cent, adj, temp_adj)
+    return features.routed(named, ("movie", "track", "t")).select("movie", "track", "t", "x.*", "y.*")
 
 
 @query(f"WITH {CELL}, n AS (SELECT movie, t, count(*) AS n FROM cell GROUP BY 1, 2), m AS (SELECT movie, count(*) AS t, max(n) AS n FROM n GROUP BY 1) SELECT count(*) AS movies, max(t) AS frames, max(n) AS cells FROM m")
@@ -141,13 +142,12 @@ def crop_shape(spark, d):
 
 
 @query("""WITH e AS (SELECT vec_id AS image_id, vec_id % 23 / 2.0::DOUBLE - 1 AS x, vec_id % 19 / 2.0::DOUBLE - 1 AS y, embedding FROM embeddings),
-k AS (SELECT *, CAST(floor(x + 0.5) AS INTEGER) AS c, CAST(floor(y + 0.5) AS INTEGER) AS r FROM e)
+k AS (SELECT *, CAST(trunc(x + 0.5) AS INTEGER) AS c, CAST(trunc(y + 0.5) AS INTEGER) AS r FROM e)
 SELECT image_id, printf('x=%.4f, y=%.4f', x, y) || CASE WHEN c BETWEEN 0 AND 7 AND r BETWEEN 0 AND 7 THEN printf(', z=%.2f', CAST(round(embedding[r * 8 + c + 1] * 100) / 100 AS DOUBLE) + 0.0) || '00' ELSE '' END AS shown FROM k""")
 def coordinate_text(spark, d):
     e = A.blocks(spark, d).withColumns({"x": F.col("image_id") % 23 / 2.0 - 1, "y": F.col("image_id") % 19 / 2.0 - 1})
-    at = F.floor(F.col("y") + 0.5) * 8 + F.floor(F.col("x") + 0.5)
-    inside = F.floor(F.col("x") + 0.5).between(0, 7) & F.floor(F.col("y") + 0.5).between(0, 7)
-    e = e.withColumn("v", F.when(inside, F.round(F.get("px", at.cast("int")) * 100) / 100))
+    row, col = pixel.at_pixel(F.col("y")), pixel.at_pixel(F.col("x"))
+    e = e.withColumn("v", F.when(row.between(0, 7) & col.between(0, 7), F.round(F.get("px", row * 8 + col) * 100) / 100))
     return pixel.coordinate_text(e).select("image_id", "shown")
 
 
@@ -157,16 +157,31 @@ def scale_targets(spark, d):
     return A.blocks(spark, d).select("image_id", F.round(augment.drawn_zoom(k, 3, 0.1), 6).alias("zoom"))
 
 
-@query(f"""WITH {EDGE}, low AS (SELECT image_id, 0 AS channel, r, c, label FROM mask), high AS (SELECT image_id, 1 AS channel, r, c, CASE WHEN v > 0.1 THEN label ELSE 0 END AS label FROM mask JOIN pixel USING (image_id, r, c)),
-both_ AS (SELECT * FROM low UNION ALL SELECT * FROM high),
-e AS (SELECT a.image_id, a.channel, a.r, a.c, a.label, CAST(a.label > 0 AND bool_or(b.label <> a.label) AS INTEGER) AS edge FROM both_ a JOIN both_ b ON a.image_id = b.image_id AND a.channel = b.channel AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY a.image_id, a.channel, a.r, a.c, a.label)
-SELECT image_id, channel, r, c, unnest(['fgbg', 'fgbg', 'pixelwise', 'pixelwise', 'pixelwise']) AS target, unnest(['fg', 'bg', 'edge', 'interior', 'background']) AS plane,
-    unnest([CAST(label > 0 AS INTEGER), CAST(label = 0 AS INTEGER), edge, CAST(label > 0 AND edge = 0 AS INTEGER), CAST(label = 0 AS INTEGER)]) AS value FROM e""")
+#: Two channels of labels as images 2 i and 2 i + 1.
+BOTH = f"""{MASK.replace('mask AS (', 'low AS (')},
+mask AS (SELECT image_id * 2 AS image_id, r, c, label FROM low UNION ALL SELECT image_id * 2 + 1, r, c, CASE WHEN v > 0.1 THEN label ELSE 0 END FROM low JOIN pixel USING (image_id, r, c))"""
+
+
+@query(f"""WITH RECURSIVE {OUTER.replace(MASK, BOTH)},
+near AS (SELECT a.image_id, a.r, a.c, any_value(a.label) AS label, bool_or(b.label <> a.label) AS other FROM mask a JOIN mask b ON a.image_id = b.image_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY 1, 2, 3),
+e AS (SELECT edt.*, component FROM edt LEFT JOIN comp USING (image_id, r, c)),
+mid AS (SELECT image_id, component, sum(r * dist) / sum(dist) AS cr, sum(c * dist) / sum(dist) AS cc FROM e WHERE label <> 0 GROUP BY 1, 2),
+inn AS (SELECT e.image_id, e.r, e.c, CASE WHEN label = 0 THEN 0 ELSE 1 / (1 + 0.1::DOUBLE * ((e.r - cr) * (e.r - cr) + (e.c - cc) * (e.c - cc))) END AS inner_ FROM e LEFT JOIN mid ON e.image_id = mid.image_id AND e.component = mid.component),
+span AS (SELECT *, min(dist) OVER w - 1e-7 AS lo, max(dist) OVER w + 1e-7 AS hi FROM outer_ WINDOW w AS (PARTITION BY image_id)),
+bins AS (SELECT *, CAST(ceil((dist - lo) / ((hi - lo) / 4)) - 1 AS INTEGER) AS bin FROM span),
+plane AS (
+    SELECT image_id, r, c, 'fgbg' AS target, unnest(['fg', 'bg']) AS plane, unnest([(label > 0)::DOUBLE, (label = 0)::DOUBLE]) AS value FROM mask
+    UNION ALL SELECT image_id, r, c, 'pixelwise', unnest(['edge', 'interior', 'background']), unnest([(label > 0 AND other)::DOUBLE, (label > 0 AND NOT other)::DOUBLE, (label = 0)::DOUBLE]) FROM near
+    UNION ALL SELECT image_id, r, c, 'outer-distance', 'dist', dist FROM outer_
+    UNION ALL SELECT image_id, r, c, 'inner-distance', 'inner', inner_ FROM inn
+    UNION ALL SELECT image_id, r, c, 'watershed', 'bin' || k, (bin = k)::DOUBLE FROM bins, range(4) x(k)
+    UNION ALL SELECT image_id, r, c, 'disc', 'class' || k, (label = k)::DOUBLE FROM (SELECT *, max(label) OVER (PARTITION BY image_id) AS top FROM mask), range(5) x(k) WHERE k <= top)
+SELECT image_id // 2 AS image_id, CAST(image_id % 2 AS INTEGER) AS channel, r, c, target, plane, round(value, 6) + 0.0 AS value FROM plane""")
 def label_targets(spark, d):
     low = mask(spark, d).withColumn("channel", F.lit(0))
     high = mask(spark, d).join(px(spark, d), ["image_id", "r", "c"])
     high = high.select("image_id", "r", "c", F.when(F.col("v") > 0.1, F.col("label")).otherwise(0).alias("label"), F.lit(1).alias("channel"))
-    return targets.label_targets(low.unionByName(high), ("fgbg", "pixelwise"))
+    return rounded(targets.label_targets(low.unionByName(high), ("fgbg", "pixelwise", "outer-distance", "inner-distance", "watershed", "disc")), "value")
 
 
 @query(f"""WITH {MASK}, rich AS (SELECT image_id FROM mask GROUP BY 1 HAVING count(DISTINCT label) - 1 >= 3), k AS (SELECT *, {draw('image_id', 9)} % 3 AS r0, {draw('image_id', 10)} % 3 AS c0 FROM mask JOIN pixel USING (image_id, r, c) WHERE image_id IN (SELECT image_id FROM rich)),

@@ -253,12 +253,34 @@ def outer_distance_by_label(spark, d):
     return rounded(masks.outer_distance(mask(spark, d), per="label").select("image_id", "r", "c", "dist"), "dist")
 
 
+#: The mask without the outermost pixels of its instances.
+ERODED = f"""{MASK.replace('mask AS (', 'whole AS (')},
+rim AS (SELECT a.image_id, a.r, a.c, any_value(a.label) AS label, bool_or(b.label <> a.label) AS edge FROM whole a JOIN whole b ON a.image_id = b.image_id AND abs(a.r - b.r) + abs(a.c - b.c) = 1 GROUP BY 1, 2, 3),
+mask AS (SELECT image_id, r, c, CASE WHEN edge THEN 0 ELSE label END AS label FROM rim)"""
+
+
+@query(f"WITH RECURSIVE {OUTER.replace(MASK, ERODED)} SELECT image_id, r, c, round(dist, 6) AS dist FROM outer_")
+def outer_distance_eroded(spark, d):
+    return rounded(masks.outer_distance(mask(spark, d), erosion=1).select("image_id", "r", "c", "dist"), "dist")
+
+
+@query(f"WITH {EDT.replace(MASK, ERODED)} SELECT image_id, r, c, round(dist, 6) AS dist FROM edt")
+def outer_distance_raw_eroded(spark, d):
+    return rounded(masks.outer_distance(mask(spark, d), erosion=1, normalize=False).select("image_id", "r", "c", "dist"), "dist")
+
+
 INNER = """WITH RECURSIVE {edt}, {reach},
 e AS (SELECT edt.*, component FROM edt LEFT JOIN comp USING (image_id, r, c)),
 k AS (SELECT image_id, component, sum(r * dist) / sum(dist) AS cr, sum(c * dist) / sum(dist) AS cc, count(*) AS area FROM e WHERE label <> 0 GROUP BY 1, 2)
 SELECT e.image_id, e.r, e.c, round(CASE WHEN label = 0 THEN 0 ELSE 1 / (1 + {alpha} * ((e.r - cr) * (e.r - cr) + (e.c - cc) * (e.c - cc))) END, 6) AS inner_ FROM e LEFT JOIN k ON e.image_id = k.image_id AND e.component = k.component"""
 
 
+@query(INNER.format(edt=EDT.replace(MASK, ERODED), reach=REACH, alpha="0.1::DOUBLE"))
+def inner_distance_eroded(spark, d):
+    e = masks.inner_distance(mask(spark, d), erosion=1)
+    return rounded(e.select("image_id", "r", "c", F.col("inner").alias("inner_")), "inner_")
+
+
 @query(INNER.format(edt=EDT, reach=REACH, alpha="0.1::DOUBLE"))
 def inner_distance(spark, d):
     return rounded(masks.inner_distance(mask(spark, d)).select("image_id", "r", "c", F.col("inner").alias("inner_")), "inner_")

@@ -40,6 +40,10 @@ MOVIE = "movie AS (SELECT label AS movie, row_number() OVER (PARTITION BY label
 SAME = "same AS (SELECT movie, t, track FROM (SELECT *, lead(t) OVER (PARTITION BY movie, track ORDER BY t) AS n FROM cell) WHERE n = t + 1)"
 
 
+#: As tables.key_of(): 28 bits of the digest of the keys' text.
+KEY = "('0x' || substr(md5({0}), 1, 7))::BIGINT"
+
+
 def draw(key: str, seed: int) -> str:
     x = f"(({key} * 2654435761 + {seed * 40503 + 1}) % 4294967296)"
     return f"((({x} % 2147483647) * ({x} % 2147483629)) % 2147483647)"
@@ -112,7 +116,7 @@ def max_sample_counts(spark, d):
     return pixel.trim(A.pixel_table(spark, d), 1, 1).groupBy("image_id").agg(F.count_if(F.col("v") > 0.1).alias("n"))
 
 
-@query(f"""WITH {MOVIE}, s AS (SELECT movie, {draw('movie', 11)} % greatest(max(t) + 2 - 8, 1) AS s FROM movie GROUP BY 1)
+@query(f"""WITH {MOVIE}, s AS (SELECT movie, {draw(KEY.format('CAST(movie AS VARCHAR)'), 11)} % greatest(max(t) + 2 - 8, 1) AS s FROM movie GROUP BY 1)
 SELECT movie, t - s AS t, image_id FROM movie JOIN s USING (movie) WHERE t >= s AND t < s + 8""")
 def temporal_slice(spark, d):
     return tables.temporal_slice(A.movie_table(spark, d), 8, 11)

@@ -11,7 +11,7 @@ from lumigrid.operators import affine, appearance, augment, crops, masks, tables
 from lumigrid.plans import adapters as A
 from lumigrid.plans.targets import label_targets
 from lumigrid.queries.images import MASK, PIXEL, mask, px, rounded
-from lumigrid.queries.objects import MOVIE, draw
+from lumigrid.queries.objects import KEY, MOVIE, draw
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -108,8 +108,6 @@ warped AS (SELECT {keys}, r, c, {value} AS v FROM seen)"""
 
 
 BLOCK = "block AS (SELECT vec_id AS image_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS px FROM embeddings)"
-#: As affine.key_of(): 28 bits of the digest of the keys' text.
-KEY = "('0x' || substr(md5({0}), 1, 7))::BIGINT"
 
 
 def each_pixel(blocks, *keys, value="px"):
