@@ -7,10 +7,10 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumigrid.operators import affine, appearance, augment, crops, masks, tables
+from lumigrid.operators import affine, appearance, augment, crops, tables, volumes
 from lumigrid.plans import adapters as A
 from lumigrid.plans.targets import label_targets
-from lumigrid.queries.images import MASK, PIXEL, mask, px, rounded
+from lumigrid.queries.images import MASK, PIXEL, STACK, mask, px, rounded
 from lumigrid.queries.objects import KEY, MOVIE, draw
 
 Q: dict = {}
@@ -183,6 +183,74 @@ def training_chain(spark, d):
     return rounded(ready.unionByName(seen[1]), "v", digits=4).select("image_id", "plane", "r", "c", "v")
 
 
+# ---- volumes ------------------------------------------------------------------------
+
+#: Intensities of the stacks of twelve images.
+VOLUME = f"""{STACK}, volume AS (SELECT stack, CAST(z AS INTEGER) AS z, r, c, v FROM pixel JOIN place USING (image_id))"""
+
+
+def volume(spark, d):
+    name = F.concat_ws("/", "movie", F.floor(F.col("t") / 12)).alias("stack")
+    return A.movie_table(spark, d).join(px(spark, d), "image_id").select(name, (F.col("t") % 12).cast("int").alias("z"), "r", "c", "v")
+
+
+def watershed_3d(spark, d):
+    heads = volume(spark, d).select("stack", "z", "r", "c", F.col("v").alias("maxima"), F.col("v").alias("interior"))
+    return volumes.watershed(heads, ["stack"], distance=2, peak=0.1, inside=0.0, block=(4, 4, 4))
+
+
+Q["watershed_3d"] = watershed_3d  # iterative; its operator is tested against plain loops
+
+
+@query(f"WITH {VOLUME} SELECT stack, z, r, c, round(v, 6) + 0.0 AS v FROM volume")
+def tile_untile_3d(spark, d):
+    """Boxes that overlap, and the mean of them."""
+    boxes = volumes.tiles(volume(spark, d), (4, 6, 6), (3, 4, 4), ["stack"])
+    return rounded(volumes.untile(boxes, ["stack"]), "v")
+
+
+@query(f"""WITH {VOLUME}, deep AS (SELECT stack, max(z) + 1 AS n FROM volume GROUP BY 1), goal AS (SELECT stack, n, CAST(round_even(n * 1.5::DOUBLE, 0) AS INTEGER) AS m FROM deep),
+place_ AS (SELECT stack, n, CAST(k AS INTEGER) AS k, (k + 0.5::DOUBLE) * n / m - 0.5::DOUBLE AS p FROM goal, range(18) x(k) WHERE k < m),
+two AS (SELECT stack, n, k, unnest([floor(p), floor(p) + 1]) AS q, unnest([1 - (p - floor(p)), p - floor(p)]) AS w FROM place_),
+from_ AS (SELECT stack, k, CAST(CASE WHEN n = 1 THEN 0 WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END AS INTEGER) AS z, w FROM two)
+SELECT stack, f.k AS z, r, c, round(sum(v * w), 5) + 0.0 AS v FROM from_ f JOIN volume USING (stack, z) GROUP BY ALL""")
+def z_rescale(spark, d):
+    return rounded(volumes.resize_axis(volume(spark, d), "z", ["stack"], scale=1.5), "v", digits=5)
+
+
+@query(f"""WITH {VOLUME}, goal AS (SELECT stack, max(z) + 1 AS n FROM volume GROUP BY 1),
+place_ AS (SELECT stack, n, CAST(k AS INTEGER) AS k, floor((k + 0.5::DOUBLE) * n / 5 - 0.5::DOUBLE + 0.5::DOUBLE) AS q FROM goal, range(5) x(k)),
+from_ AS (SELECT stack, k, CAST(CASE WHEN n = 1 THEN 0 WHEN q < 0 THEN -q WHEN q >= n THEN 2 * (n - 1) - q ELSE q END AS INTEGER) AS z FROM place_)
+SELECT stack, f.k AS z, r, c, label FROM from_ f JOIN voxel USING (stack, z)""")
+def z_resize_labels(spark, d):
+    name = F.concat_ws("/", "movie", F.floor(F.col("t") / 12)).alias("stack")
+    labels = A.movie_table(spark, d).join(mask(spark, d), "image_id").select(name, (F.col("t") % 12).cast("int").alias("z"), "r", "c", F.col("label").alias("v"))
+    small = volumes.resize_axis(labels, "z", ["stack"], size=5, order=0)
+    return small.select("stack", "z", "r", "c", F.col("v").cast("int").alias("label"))
+
+
+def turned_sql(across: str, other: str) -> str:
+    """Planes of depth and `other`, by the angle of their stack."""
+    at = lambda a, b: f"px[CAST(greatest(0, least(h - 1, {a})) * 8 + greatest(0, least(7, {b})) + 1 AS BIGINT)]"
+    a, b, u, v = "CAST(floor(sr) AS BIGINT)", "CAST(floor(sc) AS BIGINT)", "(sr - floor(sr))", "(sc - floor(sc))"
+    value = f"({at(a, b)} * (1 - {v}) + {at(a, f'{b} + 1')} * {v}) * (1 - {u}) + ({at(f'{a} + 1', b)} * (1 - {v}) + {at(f'{a} + 1', f'{b} + 1')} * {v}) * {u}"
+    return f"""WITH {VOLUME}, plane AS (SELECT stack, {across}, max(z) + 1 AS h, list(v ORDER BY z, {other}) AS px FROM volume GROUP BY 1, 2),
+drawn AS (SELECT *, {map_sql(KEY.format('stack'), 31, rotation=25)} FROM plane),
+spot AS (SELECT *, CAST(i AS INTEGER) AS z, CAST(j AS INTEGER) AS {other} FROM drawn, range(12) a(i), range(8) b(j) WHERE i < h),
+seen AS (SELECT *, m0 * (z - (h - 1) / 2.0::DOUBLE) + m1 * ({other} - 3.5::DOUBLE) + m4 + (h - 1) / 2.0::DOUBLE AS sr, m2 * (z - (h - 1) / 2.0::DOUBLE) + m3 * ({other} - 3.5::DOUBLE) + m5 + 3.5::DOUBLE AS sc FROM spot)
+SELECT stack, z, r, c, round({value}, 5) + 0.0 AS v FROM seen"""
+
+
+@query(turned_sql("r", "c"))
+def turn_rows_3d(spark, d):
+    return rounded(volumes.turn_slices(volume(spark, d), "r", affine.key_of(F.col("stack")), 31, 25, ["stack"]), "v", digits=5)
+
+
+@query(turned_sql("c", "r"))
+def turn_columns_3d(spark, d):
+    return rounded(volumes.turn_slices(volume(spark, d), "c", affine.key_of(F.col("stack")), 31, 25, ["stack"]), "v", digits=5)
+
+
 # ---- pictures of cells ---------------------------------------------------------------
 
 BOX = f"""{MASK}, box AS (SELECT image_id, label, min(r) AS r0, min(c) AS c0, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w, avg(r) AS cr, avg(c) AS cc, count(*) AS area FROM mask WHERE label > 0 GROUP BY 1, 2)"""
