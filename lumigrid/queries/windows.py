@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from lumigrid.operators import affine, appearance, augment, crops, tables, volumes
+from lumigrid.operators import affine, appearance, augment, cluster, crops, tables, volumes
 from lumigrid.plans import adapters as A
 from lumigrid.plans.targets import label_targets
 from lumigrid.queries.images import MASK, PIXEL, STACK, mask, px, rounded
@@ -251,6 +251,34 @@ def turn_columns_3d(spark, d):
     return rounded(volumes.turn_slices(volume(spark, d), "c", affine.key_of(F.col("stack")), 31, 25, ["stack"]), "v", digits=5)
 
 
+# ---- clusters -----------------------------------------------------------------------
+
+
+def spots(spark, d):
+    """The pixels of an image as points: where they are, and how bright."""
+    p = px(spark, d)
+    return p.select("image_id", (F.col("r") * 8 + F.col("c")).cast("long").alias("id"), (F.col("r") * 0.1).alias("x"), (F.col("c") * 0.1).alias("y"), F.col("v").alias("z"))
+
+
+@query(f"""WITH RECURSIVE {PIXEL}, spot AS (SELECT image_id, CAST(r * 8 + c AS BIGINT) AS id, r * 0.1::DOUBLE AS x, c * 0.1::DOUBLE AS y, v AS z FROM pixel),
+near AS (SELECT a.image_id, a.id, b.id AS other FROM spot a JOIN spot b ON a.image_id = b.image_id AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2) <= 0.15::DOUBLE * 0.15::DOUBLE),
+core AS (SELECT image_id, id FROM near GROUP BY 1, 2 HAVING count(*) >= 4),
+link AS (SELECT n.* FROM near n JOIN core a ON a.image_id = n.image_id AND a.id = n.id JOIN core b ON b.image_id = n.image_id AND b.id = n.other),
+way(image_id, id, root) AS (SELECT image_id, id, id FROM core UNION SELECT l.image_id, l.other, w.root FROM way w JOIN link l ON l.image_id = w.image_id AND l.id = w.id AND w.root < l.other),
+named AS (SELECT image_id, id, min(root) AS cluster FROM way GROUP BY 1, 2),
+edge AS (SELECT n.image_id, n.id, min(cluster) AS cluster FROM near n JOIN named k ON k.image_id = n.image_id AND k.id = n.other GROUP BY 1, 2)
+SELECT s.image_id, s.id, k.id IS NOT NULL AS core, coalesce(k.cluster, e.cluster) AS cluster FROM spot s LEFT JOIN named k USING (image_id, id) LEFT JOIN edge e USING (image_id, id)""")
+def cluster_density(spark, d):
+    return cluster.dbscan(spots(spark, d), 0.15, 4, ["image_id"], ("x", "y", "z")).select("image_id", "id", "core", "cluster")
+
+
+def cluster_modes(spark, d):
+    return cluster.mean_shift(spots(spark, d), 0.3, ["image_id"], ("x", "y", "z"))[1].select("image_id", "id", "cluster")
+
+
+Q["cluster_modes"] = cluster_modes  # iterative; its operator is tested against plain loops
+
+
 # ---- pictures of cells ---------------------------------------------------------------
 
 BOX = f"""{MASK}, box AS (SELECT image_id, label, min(r) AS r0, min(c) AS c0, max(r) - min(r) + 1 AS h, max(c) - min(c) + 1 AS w, avg(r) AS cr, avg(c) AS cc, count(*) AS area FROM mask WHERE label > 0 GROUP BY 1, 2)"""
