@@ -289,9 +289,13 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n_words:
 
 
 def deduplicate(df: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One document of each class, that of the least doc_id, with df's own columns; of
-    repeated rows of it one. Rows with a null doc_id stay."""
+    """One document of each class, that of the least doc_id, with df's own columns. Of
+    several rows of it the one whose text has the least hash stays, of equal texts the one
+    with the least hash of all columns (but maps), so a retry keeps the same. Rows with a
+    null doc_id stay."""
     kept = classes(df, doc_id, text, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    mine = [F.first(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("_row")]
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.xxhash64(F.col(f"`{text}`").cast("string")), F.xxhash64(*hashed))
+    mine = [F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")]
     one = df.where(F.col(doc_id).isNotNull()).join(kept, F.col(doc_id) == F.col("_kept"), "left_semi").groupBy(doc_id).agg(*mine).select("_row.*")
     return one.unionByName(df.where(F.col(doc_id).isNull()))

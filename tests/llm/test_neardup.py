@@ -129,3 +129,14 @@ def test_components_of_vertices_with_many_edges(spark):
 def test_shingles_of_short_texts():
     key, text = shingles(words(pa.array(["a b c d e f", "a b", None, "A, b"])), 5)
     assert text.tolist() == [0, 0, 1, 3] and key[2] == key[3]
+
+
+def test_one_text_of_an_id_whatever_the_order(spark):
+    """Rows of one id with several texts, and repeated rows that differ elsewhere."""
+    words = ["one two three four five six", "seven eight nine ten eleven twelve", "red green blue black white grey"]
+    rows = [(1, words[0], "a"), (1, words[1], "b"), (2, words[2], "c"), (1, words[0], "d"), (2, words[2], "c"), (None, words[2], "e"), (1, None, "f")]
+    kept = []
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").coalesce(1)
+        kept.append(sorted(map(tuple, neardup.deduplicate(df).collect()), key=str))
+    assert kept[0] == kept[1] == kept[2] and [r[0] for r in kept[0]] == [1, 2, None]
