@@ -14,11 +14,13 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumigrid.llm.append import append
+from lumigrid.llm.words import small_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Labelled rows of each class that the dictionaries and the curve are fitted to, at most.
@@ -134,10 +136,11 @@ def held_out(doc_id: str):
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: dict[int, int] = SAMPLE, size: int = DICTIONARY, window: int = WINDOW) -> Model | None:
     """A model from labelled rows that are not held out; None unless both classes occur.
 
-    At most sample[c] rows of class c are fetched, those of least hash of the id; so many
-    label rows are also the bound of what is broadcast. Of the fetched rows two thirds
-    train the dictionaries, the others the curve. Labels are the only thing learnt from
-    them; language, source and id are not inputs.
+    At most sample[c] rows of class c are taken, those of least hash of the id; so many
+    label rows are also the bound of what is broadcast. One task trains on them, so that
+    texts never come to the driver, and the model does. Of the rows two thirds train the
+    dictionaries, the others the curve. Labels are the only thing learnt from them;
+    language, source and id are not inputs.
     """
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & ~held_out("_id")).distinct()
     drawn = None
@@ -146,7 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         drawn = part if drawn is None else drawn.unionByName(part)
     found = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("_text")).join(F.broadcast(drawn), F.col("_doc") == F.col("_id"))
     found = found.groupBy("_id").agg(F.min("_y").alias("_y"), F.min("_text").alias("_text"))  # a document of each id
-    got = sorted(((r._id, r._y, r._text or "") for r in found.collect()), key=str)
+
+    def run(batches):
+        got = [(r["_id"], r["_y"], r["_text"] or "") for b in batches for r in b.to_pylist()]
+        model = train(got, size, window)
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([{"ordinary": model.ordinary, "toxic": model.toxic, "weights": model.weights.tolist()}], schema=TRAINED)
+
+    small_batches(docs)
+    made = found.repartition(1).mapInArrow(run, "ordinary binary, toxic binary, weights array<double>").collect()
+    return Model(bytes(made[0].ordinary), bytes(made[0].toxic), np.array(made[0].weights), window) if made else None
+
+
+#: A model as a row.
+TRAINED = pa.schema([("ordinary", pa.binary()), ("toxic", pa.binary()), ("weights", pa.list_(pa.float64()))])
+
+
+def train(got: list[tuple], size: int = DICTIONARY, window: int = WINDOW) -> Model | None:
+    """A model from rows of id, label and text; None unless both classes occur."""
+    got.sort(key=str)
     check = [(y, t) for _, y, t in got[::3]]
     number: dict[bytes, int] = {b"": 0}  # texts are held as the numbers of their words
     names = lambda t: np.fromiter((number.setdefault(w, len(number)) for w in tokens(t)), np.int32)
