@@ -117,14 +117,22 @@ def placed(cells: DataFrame) -> DataFrame:
     return cells.withColumn("place", F.row_number().over(Window.partitionBy("movie", "t").orderBy("track")))
 
 
-def sample_volumes(mask: DataFrame, half: int, half_t: int, movie: str = "movie") -> DataFrame:
-    """Places of set pixels of movies (v = 1): movie, t, r, c, whose window of 2 * half + 1
-    pixels and 2 * half_t + 1 frames lies strictly inside."""
-    own = Window.partitionBy(movie)
-    e = mask.withColumns({f"_{a}": F.max(a).over(own) + 1 for a in ("t", "r", "c")}).where("v = 1")
-    for a, n in (("t", half_t), ("r", half), ("c", half)):
-        e = e.where((F.col(a) - n > 0) & (F.col(a) + n < F.col(f"_{a}")))
-    return e.select(movie, "t", "r", "c")
+def sample_volumes(mask: DataFrame, half: int, half_t: int, movie: str = "movie", padding: str = "valid", most: int | None = None, seed: int = 0) -> DataFrame:
+    """Places of set pixels of movies (v = 1): movie, t, r, c. "valid" wants the window of
+    2 * half + 1 pixels and 2 * half_t + 1 frames strictly inside, "same" takes all. At most
+    `most` are drawn."""
+    if padding not in ("valid", "same"):
+        raise ValueError("padding is 'valid' or 'same'")
+    e = mask.where("v = 1")
+    if padding == "valid":
+        ends = mask.groupBy(movie).agg(*[(F.max(a) + 1).alias(f"_{a}") for a in ("t", "r", "c")])
+        e = e.join(ends, movie)
+        for a, n in (("t", half_t), ("r", half), ("c", half)):
+            e = e.where((F.col(a) - n > 0) & (F.col(a) + n < F.col(f"_{a}")))
+    e = e.select(movie, "t", "r", "c")
+    if most is None:
+        return e
+    return e.orderBy(draw(key_of(F.col(movie), F.col("t"), F.col("r"), F.col("c")), seed), movie, "t", "r", "c").limit(most)
 
 
 def random_frames(tracks: DataFrame, k: int, seed: int, frames: str = "frames") -> DataFrame:

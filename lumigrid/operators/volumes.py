@@ -334,3 +334,28 @@ def tiles(voxels: DataFrame, size: tuple[int, int, int], stride: tuple[int, int,
 def untile(tiled: DataFrame, by: list[str]) -> DataFrame:
     """Volumes from tiles() rows; where tiles overlap, their mean."""
     return tiled.groupBy(*by, *[(F.col(f"at_{a}") + F.col(a)).alias(a) for a in AXES]).agg(F.avg("v").alias("v"))
+
+
+# ---- samples of movies ---------------------------------------------------------------
+
+
+def movie_windows(frames: DataFrame, places: DataFrame, half: int, half_t: int, movie: str = "movie", outside: float = 0.0) -> DataFrame:
+    """The block of 2 * half_t + 1 frames and 2 * half + 1 pixels on both axes round each
+    place (movie, t, r, c): the place and px, a flat array by frame, row and column. Frames
+    are block rows (movie, t, h, w, px). Pixels and frames that a movie does not have are
+    `outside`; a place that is given more than once has one row.
+
+    A place asks each of its frames once, and the frame's task cuts the pixels out, so what
+    is shuffled is one row a frame and place, and no pixel but those of samples."""
+    side = 2 * half + 1
+    asks = places.select(movie, F.col("t").alias("at"), "r", "c").distinct().withColumn("dt", F.explode(F.sequence(F.lit(-half_t), F.lit(half_t))))
+    held = asks.withColumn("t", (F.col("at") + F.col("dt")).cast(frames.schema["t"].dataType)).join(frames.select(movie, "t", "h", "w", "px"), [movie, "t"], "left")
+
+    def pixel(k):
+        r, c = F.col("r") - half + F.floor(k / side), F.col("c") - half + k % side
+        there = (r >= 0) & (r < F.col("h")) & (c >= 0) & (c < F.col("w"))
+        return F.when(there, F.get("px", (r * F.col("w") + c).cast("int"))).otherwise(F.lit(outside))
+
+    cut = held.select(movie, F.col("at").alias("t"), "r", "c", "dt", F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), pixel).alias("_v"))
+    whole = F.array_sort(F.collect_list(F.struct("dt", "_v")))
+    return cut.groupBy(movie, "t", "r", "c").agg(whole.alias("_f")).select(movie, "t", "r", "c", F.flatten("_f._v").alias("px"))
