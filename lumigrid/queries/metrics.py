@@ -8,6 +8,7 @@ from lumigrid.operators import tables, trackmetrics, volumes
 from lumigrid.plans import adapters as A
 from lumigrid.queries.images import PIXEL, px, rounded
 from lumigrid.queries.objects import LINEAGE, MOVIE, family
+from lumigrid.sources import pictures
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -118,3 +119,16 @@ def movie_windows(spark, d):
     e = volumes.movie_windows(frames, tables.sample_volumes(marks, 1, 2), 1, 2)
     load = F.aggregate(F.transform("px", lambda v, i: v * i), F.lit(0.0), lambda s, v: s + v)
     return rounded(e.select("movie", "t", "r", "c", F.size("px").cast("long").alias("n"), load.alias("load")), "load", digits=5)
+
+
+# ---- pictures ----------------------------------------------------------------------
+
+
+@query(f"""WITH {PIXEL}, e AS (SELECT image_id, 2 * r + c // 4 AS k, c % 4 AS ch, v FROM pixel), g AS (SELECT image_id, k, arg_max(ch, v) AS best FROM e GROUP BY 1, 2),
+s AS (SELECT image_id, k, best, min(best) OVER (PARTITION BY image_id) AS low, max(best) OVER (PARTITION BY image_id) AS high FROM g)
+SELECT image_id, k // 4 AS r, k % 4 AS c, CAST(best AS INTEGER) AS channel, CAST(CASE WHEN high = low THEN 0 ELSE floor((best - low)::DOUBLE / (high - low) * 255) END AS INTEGER) AS grey FROM s""")
+def channel_pictures(spark, d):
+    """Images as four by four pixels of four channels: the greatest channel and its grey."""
+    e = A.blocks(spark, d).withColumn("best", pictures.greatest_channel(F.col("px"), F.lit(4)))
+    e = e.select("image_id", F.posexplode(F.arrays_zip("best", pictures.grey(F.col("best")).alias("grey"))).alias("k", "p"))
+    return e.select("image_id", F.floor(F.col("k") / 4).cast("int").alias("r"), (F.col("k") % 4).cast("int").alias("c"), F.col("p.best").cast("int").alias("channel"), "p.grey")
