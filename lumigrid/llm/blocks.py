@@ -4,8 +4,7 @@ A block is a fixed range of rows of one file, so a row's block is the same howev
 splits its input. What an earlier job has found out for a block is written by Spark as one
 partition of a table in the shared folder, and a task that reads rows of the block again
 opens that partition beside them. So only the narrow side of such a join is shuffled.
-Where nothing at all would be taken for "nothing found", every block gets a partition, and
-a block without one is an error.
+Every block gets a partition, so a block without one is an error and not "nothing found".
 """
 
 from __future__ import annotations
@@ -47,13 +46,11 @@ def write_beside(rows: DataFrame, name: str, order: str, every: DataFrame | None
     return folder
 
 
-def read_beside(folder: str, block: int, order: str, must: bool = True) -> pa.Table | None:
-    """What was written for a block. Where nothing was, an error, or None if it need not be."""
+def read_beside(folder: str, block: int, order: str) -> pa.Table:
+    """What was written for a block; an error where nothing was."""
     store, path = at(f"{folder}/block={block}")
     if store.get_file_info(path).type.name != "Directory":
-        if must:
-            raise ValueError(f"nothing was written for block {block}: the input has changed between two reads")
-        return None
+        raise ValueError(f"nothing was written for block {block}: the input has changed between two reads")
     found = pq.read_table(path, filesystem=store, partitioning=None)
     return found.filter(pc.is_valid(found[order])).combine_chunks()
 

@@ -219,9 +219,8 @@ def _never_merged(last, edge, crossing):
         left, right = at_(last["right"], edge["start"] - c["start"]), at_(edge["left"], c["end"] - edge["start"])
         return (c["rank"] < taken(left)) & (c["rank"] <= taken(right)) & (made(right) < taken(left)) & (made(left) <= taken(right)) & (left >= 0) & (right >= 0)
 
-    # edges inside the two pieces that reach over the place between them
-    between = lambda c: (c["end"] > edge["start"]) & (c["start"] >= last["start"]) & (c["start"] < edge["start"]) & (c["end"] <= edge["end"])
-    return ~F.exists(crossing, lambda c: between(c) & merges(c))
+    inside = lambda c: (c["start"] >= last["start"]) & (c["end"] <= edge["end"])
+    return ~F.exists(F.get(crossing, edge["start"]), lambda c: inside(c) & merges(c))
 
 
 def viterbi(edges, crossing, kind: int):
@@ -256,7 +255,9 @@ def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     # used, inside the fold, and be found anew for each edge
     bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
     if pieces.kind == BPE:
-        ids = bind(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda crossing: viterbi(F.col("edges"), crossing, BPE))
+        # for each place, the edges that reach over it: so a step looks at those of one place
+        over = F.transform(F.sequence(F.lit(0), F.length("unit")), lambda at_: F.filter("edges", lambda e: (e["start"] < at_) & (e["end"] > at_)))
+        ids = bind(over, lambda crossing: viterbi(F.col("edges"), crossing, BPE))
     else:
         ids = viterbi(F.col("edges"), None, UNIGRAM)
     return lattice(units, pieces).select("unit", ids.alias("ids"), *[c for c in units.columns if c != "unit"])
@@ -288,8 +289,8 @@ def block_units(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select("block", "text").mapInArrow(run, "block long, unit string")
 
 
-def _learn(memo: Memo, found: pa.Table | None) -> None:
-    if found is None or not found.num_rows:
+def _learn(memo: Memo, found: pa.Table) -> None:
+    if not found.num_rows:
         return
     unit, ids = (pa.concat_arrays(found[c].chunks) for c in ("unit", "ids"))
     data, ends = utf8(pc.replace_substring(unit, SPACE, " "))
@@ -320,7 +321,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     common = shared_dir(docs.sparkSession, "common")
     coded.where(F.col("n") >= spread).select("unit", "ids").write.parquet(common)
     rare = coded.where(F.col("n") < spread).select("unit", "ids")
-    own = write_beside(units.join(rare.hint("shuffle_hash"), "unit").select("block", "unit", "ids"), "own", "unit")
+    own = write_beside(units.join(rare.hint("shuffle_hash"), "unit").select("block", "unit", "ids"), "own", "unit", rows.select("block").distinct())
     spelled = pieces.spelled()
 
     def run(batches):
@@ -342,9 +343,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
             if block != now:
                 now = block
                 memo.clear()
-                own_ = read_beside(own, block, "unit", must=False)
-                _learn(memo, pa.concat_tables([everywhere, own_.select(["unit", "ids"]).cast(everywhere.schema)]) if own_ is not None else everywhere)
-                del own_
+                _learn(memo, pa.concat_tables([everywhere, read_beside(own, block, "unit").select(["unit", "ids"]).cast(everywhere.schema)]))
             for piece in slices([whole], "text", SLICE):
                 column = piece.column(piece.schema.get_field_index("text"))
                 units = pieces.units(column)
