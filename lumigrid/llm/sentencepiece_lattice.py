@@ -206,7 +206,7 @@ def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
     return grouped.drop("nth")
 
 
-def _never_merged(last, edge, crossing):
+def _never_merged(last, edge, wide):
     """Whether BPE leaves the pieces `last` and `edge` side by side: no piece that crosses
     the place between them could be merged while both its halves stand there. A half stands
     from its own merge to the next one at its side; of merges of one rank the leftmost goes
@@ -217,13 +217,14 @@ def _never_merged(last, edge, crossing):
     def merges(c):
         at_ = lambda times, size: F.coalesce(F.get(times, size - 1), F.lit(NEVER).cast("long"))
         left, right = at_(last["right"], edge["start"] - c["start"]), at_(edge["left"], c["end"] - edge["start"])
-        return (c["rank"] < taken(left)) & (c["rank"] <= taken(right)) & (made(right) < taken(left)) & (made(left) <= taken(right)) & (left >= 0) & (right >= 0)
+        # most pieces fail at the first two: their halves never stand there
+        return (left >= 0) & (right >= 0) & (c["rank"] < taken(left)) & (c["rank"] <= taken(right)) & (made(right) < taken(left)) & (made(left) <= taken(right))
 
-    inside = lambda c: (c["start"] >= last["start"]) & (c["end"] <= edge["end"])
-    return ~F.exists(F.get(crossing, edge["start"]), lambda c: inside(c) & merges(c))
+    inside = lambda c: (c["start"] < edge["start"]) & (c["end"] > edge["start"]) & (c["start"] >= last["start"]) & (c["end"] <= edge["end"])
+    return ~F.exists(wide, lambda c: inside(c) & merges(c))
 
 
-def viterbi(edges, crossing, kind: int):
+def viterbi(edges, wide, kind: int):
     """The ids of the best path through a unit. Edges come by their end, then start; the
     state has for each position the last edge of the best path to it, the path's ids and,
     for unigram models, its cost. Of equal costs that path stays whose last piece begins
@@ -234,11 +235,12 @@ def viterbi(edges, crossing, kind: int):
 
     def step(best, e):
         before = F.get(best, e["start"])
-        ids = F.concat(before["ids"], F.coalesce(e["bare"], F.array(e["id"])))
+        ids = F.when(e["bare"].isNull(), F.array_append(before["ids"], e["id"])).otherwise(F.concat(before["ids"], e["bare"]))
         if kind == BPE:
-            # an array of one binds a name to what would be found anew at each use
-            fits = (e["start"] == 0) | F.exists(F.array(before), lambda last: _never_merged(last, e, crossing))
-            return F.when((F.size(best) == e["end"]) & fits, F.concat(best, state(e["start"], ids, e["right"]))).otherwise(best)
+            # one edge to each end fits, and those of one character come last: when no other
+            # did, they do. An array of one binds a name to what would be found anew at each use
+            fits = (e["start"] == 0) | (e["end"] - e["start"] == 1) | F.exists(F.array(before), lambda last: _never_merged(last, e, wide))
+            return F.when((F.size(best) == e["end"]) & fits, F.array_append(best, F.get(state(e["start"], ids, e["right"]), 0))).otherwise(best)
         cost = before["cost"] + e["cost"]
         return (
             F.when(F.size(best) == e["end"], F.concat(best, state(e["start"], ids, cost)))
@@ -251,13 +253,14 @@ def viterbi(edges, crossing, kind: int):
 
 def encode_units(units: DataFrame, pieces: Pieces) -> DataFrame:
     """`units` with `ids`. `unit` is distinct, with spaces as the model's mark."""
-    # an array of one binds a name to a value; a column used once would be put where it is
-    # used, inside the fold, and be found anew for each edge
-    bind = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    # a fold over an array of one binds a name to a value; a column used once would be put
+    # where it is used, inside the fold, and be found anew for each edge
+    bind = lambda value, then: F.aggregate(F.array(value), F.lit(None).cast("array<int>"), lambda _, x: then(x))
     if pieces.kind == BPE:
-        # for each place, the edges that reach over it: so a step looks at those of one place
-        over = F.transform(F.sequence(F.lit(0), F.length("unit")), lambda at_: F.filter("edges", lambda e: (e["start"] < at_) & (e["end"] > at_)))
-        ids = bind(over, lambda crossing: viterbi(F.col("edges"), crossing, BPE))
+        # what a step looks at of the edges that can reach over a place: of those of more than
+        # one character three numbers, as lists for each place would be copied whole
+        wide = F.transform(F.filter("edges", lambda e: e["end"] - e["start"] > 1), lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["rank"].alias("rank")))
+        ids = bind(wide, lambda wide: viterbi(F.col("edges"), wide, BPE))
     else:
         ids = viterbi(F.col("edges"), None, UNIGRAM)
     return lattice(units, pieces).select("unit", ids.alias("ids"), *[c for c in units.columns if c != "unit"])

@@ -157,3 +157,13 @@ def test_viterbi_equals_all_segmentations(spark):
         names = {k: p for p, k, _, _ in rows}
         assert sum(scores[names[i]] if i else lowest for i in r.ids) == pytest.approx(best)
         assert sum(len(names[i]) if i else 1 for i in r.ids) == len(r.unit)
+
+
+def test_lattice_looks_only_at_pieces_that_can_cross(spark):
+    """They are bound as numbers and once for a unit, without a copy for each place."""
+    pieces = lattice.Pieces.load(MODEL)
+    coded = lattice.encode_units(spark.createDataFrame([("▁the",), ("▁a",), ("▁xqzÿ",)], "unit string"), pieces)
+    plan = coded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(array(") == 1
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    assert {r.unit: r.ids for r in coded.collect()} == {u: pieces.long_unit(library, u.replace("▁", " ")) for u in ("▁the", "▁a", "▁xqzÿ")}
