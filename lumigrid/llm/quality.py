@@ -122,13 +122,15 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 def probabilities(corpus: DataFrame, n: int) -> DataFrame:
     """gram and p for each n-gram of `corpus` (gram, n): p of its last unit after the
-    others. n is the count in trusted text, 0 for n-grams that only others have."""
+    others. n is the count in trusted text, 0 for n-grams that only others have. What one
+    order leaves for the next is written, so that no plan holds more than one order: the
+    driver plans a deep one anew after each of its stages."""
     mask = lambda c, k: F.col(c).bitwiseAND(F.lit((1 << 8 * k) - 1))
     counts = {n: corpus.where("n > 0").select("gram", "n")}
     wanted = {n: corpus.select("gram")}
     for k in range(n - 1, 0, -1):  # below the highest order, n is of how many units precede
-        counts[k] = counts[k + 1].groupBy(mask("gram", k).alias("gram")).agg(F.count("*").alias("n"))
-        wanted[k] = wanted[k + 1].select(mask("gram", k).alias("gram")).distinct()
+        counts[k] = table(counts[k + 1].groupBy(mask("gram", k).alias("gram")).agg(F.count("*").alias("n")), "counts")
+        wanted[k] = table(wanted[k + 1].select(mask("gram", k).alias("gram")).distinct(), "wanted")
     lower = None
     for k in range(1, n + 1):
         d = discounts(counts[k])
@@ -143,6 +145,7 @@ def probabilities(corpus: DataFrame, n: int) -> DataFrame:
             t = t.withColumn("suffix", mask("gram", k - 1)).join(lower.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
         p = F.when(F.col("total").isNull(), F.col("below")).otherwise((F.coalesce("left", F.lit(0.0)) + F.col("freed") * F.col("below")) / F.col("total"))
         lower = t.select("gram", p.alias("p"))
+        lower = table(lower, "below") if k < n else lower
     return lower
 
 

@@ -159,6 +159,13 @@ def test_viterbi_equals_all_segmentations(spark):
         assert sum(len(names[i]) if i else 1 for i in r.ids) == len(r.unit)
 
 
+def test_plans_hold_one_order(spark):
+    """However many orders: what the driver plans again after each stage is the last one."""
+    rows = [(k * 7919 % (1 << 40), k % 4) for k in range(3000)]
+    p = quality.probabilities(spark.createDataFrame(rows, "gram long, n long"), 5)
+    assert p._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 3
+
+
 def test_lattice_looks_only_at_pieces_that_can_cross(spark):
     """They are bound as numbers and once for a unit, without a copy for each place."""
     pieces = lattice.Pieces.load(MODEL)
