@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 4
 #: Texts of a bucket's block, on average.
 BLOCK = 512
+#: Bytes of text that are signed at once: a word of it takes some hundred bytes meanwhile.
+SLICE = 1 << 19
 
 _FINEST = 14  # ranks below 2**-14 are one cell; each further cell doubles the rank
 _U = np.uint64
@@ -142,7 +144,7 @@ def sign(df: DataFrame, text: str, n_words: int, bands: int, rows: int) -> DataF
 
         return compute
 
-    return append(df, text, "keys array<long>", make, limit=2 << 20)
+    return append(df, text, "keys array<long>", make, limit=SLICE)
 
 
 def similar_pairs(column: pa.Array, ids: np.ndarray, n_words: int, least: float) -> list[tuple[int, int]]:

@@ -30,19 +30,21 @@ MARGIN = 6.0
 #: A language with fewer trusted documents to calibrate on takes the quantile of all.
 LEAST = 20
 ALPHABET = 256
+#: Bytes of text whose n-grams a task holds at once, at some forty bytes each.
+SLICE = 1 << 18
 
 
 def grams(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """The n-gram that ends at each byte of the texts data[at[i]:at[i+1]], as one number."""
-    size = np.diff(at)
-    padded = np.zeros(len(data) + (n - 1) * len(size), np.uint64)
-    owner = np.repeat(np.arange(len(size)), size)
-    where = np.arange(len(data)) + (owner + 1) * (n - 1)
-    padded[where] = data
-    out = np.zeros(len(data), np.uint64)
-    for k in range(n):
-        out |= padded[where - k] << np.uint64(8 * k)
-    return out.astype(np.int64)
+    out = data.astype(np.uint64)
+    for k in range(1, n):
+        before = data[:-k].astype(np.uint64)  # by one number for each byte at a time: memory is what a worker has little of
+        before <<= np.uint64(8 * k)
+        out[k:] |= before
+    for k in range(n - 1):  # what stands before a text are zeros
+        first = at[:-1][at[1:] - at[:-1] > k] + k
+        out[first] &= np.uint64((1 << 8 * (k + 1)) - 1)
+    return out.view(np.int64)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
@@ -79,32 +81,41 @@ def _ids(piece: pa.RecordBatch) -> np.ndarray:
     return piece.column(piece.schema.get_field_index("doc")).fill_null(np.iinfo(np.int64).min).to_numpy()
 
 
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of all parts, sorted, and the sums of their counts; a part is
+    sorted numbers and their counts."""
+    seen, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(seen, kind="stable")  # merges what is sorted
+    seen = seen[order]
+    first = np.flatnonzero(np.diff(seen, prepend=seen[:1] - 1))
+    return seen[first], np.add.reduceat(counts[order], first) if len(first) else counts
+
+
 def block_grams(rows: DataFrame, trusted: str, n: int) -> DataFrame:
     """Each n-gram of each block once: block, gram, and n, how often trusted documents that
     train have it there."""
 
     def run(batches):
-        now, seen, counts = None, None, None
+        now, parts = None, []
 
         def close():
+            seen, counts = merged(parts)
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), now)), pa.array(seen), pa.array(counts)], names=["block", "gram", "n"])
 
         for block, whole in by_block(batches):
             if block != now:
                 if now is not None:
                     yield close()
-                now, seen, counts = block, np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for piece in slices([whole], "text", 2 << 20):
+                now, parts = block, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for piece in slices([whole], "text", SLICE):
                 data, at = utf8(piece.column(piece.schema.get_field_index("text")))
                 found = grams(data, at, n)
                 good, calibrates = _flags(trusted, block, _ids(piece))
-                mine = np.repeat(good & ~calibrates, np.diff(at))
-                some, k = np.unique(found[mine], return_counts=True)
-                new = np.unique(np.concatenate([seen, np.unique(found)]))
-                total = np.zeros(len(new), np.int64)
-                total[np.searchsorted(new, seen)] += counts
-                total[np.searchsorted(new, some)] += k
-                seen, counts = new, total
+                parts.append(np.unique(found[np.repeat(good & ~calibrates, np.diff(at))], return_counts=True))
+                every = np.unique(found)
+                parts.append((every, np.zeros(len(every), np.int64)))
+                if sum(len(seen) for seen, _ in parts[1:]) > max(len(parts[0][0]), SLICE):
+                    parts = [merged(parts)]
         if now is not None:
             yield close()
 
@@ -159,7 +170,7 @@ def block_scores(rows: DataFrame, trusted: str, model: str, n: int) -> DataFrame
                 found = read_beside(model, block, "gram")
                 known, cost = found["gram"].to_numpy(), found["cost"].to_numpy()
                 now = block
-            for piece in slices([whole], "text", 1 << 20):
+            for piece in slices([whole], "text", SLICE):
                 column = lambda c, piece=piece: piece.column(piece.schema.get_field_index(c))
                 data, at = utf8(column("text"))
                 wanted = grams(data, at, n)
