@@ -24,6 +24,8 @@ WINDOW = 10
 _MULTIPLIER = np.uint64(0xD1342543DE82EF95)
 #: Bytes of benchmark text broadcast at once; a larger benchmark takes several passes.
 BLOCK_BYTES = 32 << 20
+#: Bytes of text whose suffixes a task sorts at once.
+SLICE = 1 << 20
 
 
 def suffix_order(found: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +259,7 @@ def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str =
 
             return compute
 
-        out = append(out, text, f"_n{k} long, _hit{k} array<array<int>>, _items{k} array<string>, _best{k} struct<words: long, before: long, item: string>", make)
+        out = append(out, text, f"_n{k} long, _hit{k} array<array<int>>, _items{k} array<string>, _best{k} struct<words: long, before: long, item: string>", make, limit=SLICE)
         done.append(str(k))
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"_items{k}") for k in done])))
     # words in any run: with one block the runs are disjoint, with more they are merged

@@ -13,6 +13,8 @@ and is kept out of the counts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +34,8 @@ LEAST = 20
 ALPHABET = 256
 #: Bytes of text whose n-grams a task holds at once, at some forty bytes each.
 SLICE = 1 << 18
+#: N-grams of a block that go back to Spark at once.
+SENT = 1 << 16
 
 
 def grams(data: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -91,6 +95,14 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return seen[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
+def sent(block: int, seen: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The n-grams of a block, SENT at once: as one batch they would be tens of megabytes in
+    the worker and again in the JVM that takes them."""
+    for k in range(0, len(seen), SENT):
+        some = seen[k : k + SENT]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.array(some), pa.array(counts[k : k + SENT])], names=["block", "gram", "n"])
+
+
 def block_grams(rows: DataFrame, trusted: str, n: int) -> DataFrame:
     """Each n-gram of each block once: block, gram, and n, how often trusted documents that
     train have it there."""
@@ -98,14 +110,10 @@ def block_grams(rows: DataFrame, trusted: str, n: int) -> DataFrame:
     def run(batches):
         now, parts = None, []
 
-        def close():
-            seen, counts = merged(parts)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), now)), pa.array(seen), pa.array(counts)], names=["block", "gram", "n"])
-
         for block, whole in by_block(batches):
             if block != now:
                 if now is not None:
-                    yield close()
+                    yield from sent(now, *merged(parts))
                 now, parts = block, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
             for piece in slices([whole], "text", SLICE):
                 data, at = utf8(piece.column(piece.schema.get_field_index("text")))
@@ -117,7 +125,7 @@ def block_grams(rows: DataFrame, trusted: str, n: int) -> DataFrame:
                 if sum(len(seen) for seen, _ in parts[1:]) > max(len(parts[0][0]), SLICE):
                     parts = [merged(parts)]
         if now is not None:
-            yield close()
+            yield from sent(now, *merged(parts))
 
     return rows.select("block", "doc", "text").mapInArrow(run, "block long, gram long, n long")
 

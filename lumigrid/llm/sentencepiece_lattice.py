@@ -45,8 +45,8 @@ SHARE = 3
 #: Units of blocks, of which many are alike, in a task of the lattice, and tasks at most;
 #: beyond that tasks are larger and spill.
 UNITS, TASKS = 10_000, 20_000
-#: Bytes of text that are encoded at once.
-SLICE = 1 << 20
+#: Bytes of text that are cut into units at once, and that are encoded at once.
+SLICE, CODED = 1 << 20, 1 << 18
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, BYTE = 1, 2, 4, 6
 #: Bits of a rank in a number that holds two, and the rank of what never happens.
@@ -347,7 +347,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
                 now = block
                 memo.clear()
                 _learn(memo, pa.concat_tables([everywhere, read_beside(own, block, "unit").select(["unit", "ids"]).cast(everywhere.schema)]))
-            for piece in slices([whole], "text", SLICE):
+            for piece in slices([whole], "text", CODED):
                 column = piece.column(piece.schema.get_field_index("text"))
                 units = pieces.units(column)
                 new = memo.missing(units.key)  # too long for the lattice, or of another's key

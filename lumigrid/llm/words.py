@@ -159,12 +159,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 #: Rows that go to Python at once, where rows hold whole texts.
 BATCH_ROWS = 1000
+#: Rows that are read from Parquet at once there.
+READ_ROWS = 512
 
 
 def small_batches(df) -> None:
-    """Lets Spark send at most BATCH_ROWS rows at once to Python in df's session, unless
-    the session says how many: its own 10,000 can be hundreds of megabytes of long texts,
-    in the JVM and in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if key not in df.sparkSession.conf.getAll:
-        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    """Lets Spark send at most BATCH_ROWS rows at once to Python in df's session, and read
+    READ_ROWS at once, unless the session says how many: its own 10,000 can be hundreds of
+    megabytes of long texts, in the JVM and in Python, and its own 4,096 are arrays of many
+    megabytes, doubled as they fill, for which an executor's heap grows and stays large."""
+    held = df.sparkSession.conf.getAll
+    for key, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if key not in held:
+            df.sparkSession.conf.set(key, str(rows))
