@@ -24,10 +24,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 # ---- draws -------------------------------------------------------------------------
 
 
-def draw(key: Column, seed: int) -> Column:
+def draw(key: Column | tuple[tuple[Column, int], ...], seed: int) -> Column:
     """A number that depends on key and seed alone, in any engine with 64-bit integers;
-    the product makes draws of different seeds independent."""
-    x = (key * F.lit(2654435761) + F.lit(seed * 40503 + 1)) % F.lit(4294967296)
+    the product makes draws of different seeds independent. A key can also be a sum, as
+    columns with their factors. The product with 2654435761 is taken by halves of that
+    number, as 64 bits may not hold it; keys below zero or beyond 64 bits take decimals."""
+    terms = key if isinstance(key, tuple) else ((key, 1),)
+    small, large = F.lit(0).cast("long"), F.lit(0).cast("decimal(20,0)")
+    for column, factor in terms:
+        small = F.try_add(small, F.try_multiply(column.cast("long"), F.lit(factor)))
+        large = (large + column.cast("decimal(20,0)") * F.lit(factor)).cast("decimal(28,0)")
+    at, rest = F.lit(seed * 40503 + 1), small % F.lit(4294967296)
+    halves = (rest * F.lit(2654435761 >> 16) % F.lit(65536) * F.lit(65536) + rest * F.lit(2654435761 & 65535) + at) % F.lit(4294967296)
+    x = F.when(small >= 0, halves).otherwise(((large * F.lit(2654435761) + at) % F.lit(4294967296)).cast("long"))
     return (x % F.lit(2147483647)) * (x % F.lit(2147483629)) % F.lit(2147483647)
 
 
@@ -140,7 +149,7 @@ def random_frames(tracks: DataFrame, k: int, seed: int, frames: str = "frames")
     the left with their oldest. Draws depend on the track and the frame."""
     f = F.col(frames)
     rest = F.when(F.size(f) > 1, F.slice(f, F.lit(1), F.size(f) - 1)).otherwise(f)
-    drawn = F.array_sort(F.transform(rest, lambda t: F.struct(draw(F.col("track").cast("long") * 1_000_003 + t, seed).alias("d"), t.alias("t"))))
+    drawn = F.array_sort(F.transform(rest, lambda t: F.struct(draw(((F.col("track"), 1_000_003), (t, 1)), seed).alias("d"), t.alias("t"))))
     some = F.array_sort(F.transform(F.slice(drawn, 1, k), lambda x: x["t"]))
     return tracks.withColumn(frames, F.concat(F.array_repeat(F.get(f, F.lit(0)), F.greatest(F.lit(k) - F.size(some), F.lit(0))), some))
 
