@@ -101,7 +101,7 @@ def sample_windows(mask: DataFrame, half: int, padding: str = "valid", most: int
     e = e.drop("_h", "_w")
     if most is None:
         return e
-    key = F.col(by[0]) * 1_000_003 + F.col("r") * 1009 + F.col("c")
+    key = ((F.col(by[0]), 1_000_003), (F.col("r"), 1009), (F.col("c"), 1))
     return e.orderBy(draw(key, seed), *by, "r", "c").limit(most)
 
 

@@ -26,3 +26,10 @@ def test_random_frames_of_large_tracks(spark):
     df = spark.createDataFrame([(k, list(range(19_700, 19_710))) for k in tracks], "track long, frames array<int>")
     for r in tables.random_frames(df, 4, 8).collect():
         assert r.frames == sorted(sorted(range(19_700, 19_709), key=lambda t: drawn(r.track * 1_000_003 + t, 8))[:4])
+
+
+def test_windows_of_large_image_ids(spark):
+    places = [(i, r, c) for i in (7, 10_255, 10**13) for r in range(4) for c in range(4)]
+    mask = spark.createDataFrame([(*p, 1) for p in places], "image_id long, r int, c int, v int")
+    got = [(r.image_id, r.r, r.c) for r in tables.sample_windows(mask, 1, "same", 9, 5).collect()]
+    assert sorted(got) == sorted(sorted(places, key=lambda p: (drawn(p[0] * 1_000_003 + p[1] * 1009 + p[2], 5), p))[:9])
