@@ -4,8 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumigrid.operators import graph
+from lumigrid.plans import adapters
 
 CELL = "movie string, t int, track long, x double, y double"
 
@@ -40,3 +42,16 @@ def test_edges_are_not_shuffled(spark):
     for made in (graph.adjacency(cells, 4.0), graph.normalized_adjacency(cells, 4.0), graph.neighbour_sums(cells, 4.0, "x")):
         plan = made._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_means_of_cells_are_of_events_in_order(spark, tmp_path):
+    values = [0.1, 0.2, 0.3, 0.7, 0.05, None]
+    rows = [(k, "2024-01-05 07:00:00", 3, "view", v) for k, v in enumerate(values)] + [(9, "2024-01-05 07:00:00", 4, "view", None)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    want = 0.0
+    for v in values[:-1]:
+        want += v
+    for way in (events.orderBy(F.desc("event_id")).coalesce(1), events.repartition(4, "event_id"), events.orderBy(F.col("event_id") % 2, "event_id").coalesce(1)):
+        way.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        got = {r.track: (r.x, r.area) for r in adapters.cell_table(spark, str(tmp_path)).collect()}
+        assert got == {3: (want / 5, 6), 4: (None, 1)}
