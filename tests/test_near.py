@@ -44,6 +44,18 @@ def test_edges_are_not_shuffled(spark):
         assert "MapInArrow" in plan and "Join" not in plan and plan.index("MapInArrow") < plan.index("Exchange")
 
 
+def test_sums_of_neighbours_do_not_depend_on_their_order(spark):
+    """Terms whose sum in doubles differs by order give one result."""
+    places = [0.1, 0.2, 0.3, 0.7, 1e3 + 0.3, 1e3 + 0.1, 0.6, 1.1]
+    values = [0.1, 0.2, 0.3, 1e16, 1.0, -1e16, 2.0, 0.7]
+    seen = set()
+    for k in range(8):
+        rows = [("a", 0, (i * 3 + k) % 8, places[i] % 3, 0.0, values[i]) for i in range(8)]
+        cells = spark.createDataFrame(rows, CELL + ", v double")
+        seen |= {r.v for r in graph.neighbour_sums(cells, 4.0, "v").collect()}
+    assert len(seen) == 1
+
+
 def test_means_of_cells_are_of_events_in_order(spark, tmp_path):
     values = [0.1, 0.2, 0.3, 0.7, 0.05, None]
     rows = [(k, "2024-01-05 07:00:00", 3, "view", v) for k, v in enumerate(values)] + [(9, "2024-01-05 07:00:00", 4, "view", None)]
