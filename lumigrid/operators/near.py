@@ -12,6 +12,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -107,6 +108,16 @@ class Block:
     def numbers(self, name: str) -> np.ndarray:
         return self.table.column(name).combine_chunks().to_numpy(zero_copy_only=False)
 
+    def rows(self, names: list[str], rows: np.ndarray) -> dict[str, pa.Array]:
+        """The columns of rows, by name."""
+        return {n: self.table.column(n).combine_chunks().take(pa.array(rows)) for n in names}
+
+    def ranks(self, name: str) -> np.ndarray:
+        """The place of each row's value in their order."""
+        out = np.empty(self.table.num_rows, np.int64)
+        out[pc.sort_indices(self.table.column(name)).to_numpy()] = np.arange(len(out))
+        return out
+
     def squares(self, at: list[np.ndarray], rows: np.ndarray) -> list[np.ndarray]:
         """The square of places, counted from the home blocks of rows; 0 .. SIDE - 1 is inside."""
         return [np.floor(x / self.side).astype(np.int64) + SIDE // 2 - h[rows] for x, h in zip(at, self.home)]
