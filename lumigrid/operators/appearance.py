@@ -1,7 +1,7 @@
 """What cells look like: patches of an image around each cell, brought to one size.
 
-Cells ask for their places: a box is sent to its pixels, which an equi-join by image, row
-and column brings; places beyond the border have none and are zeros. So a frame is never
+Boxes are sent to the tiles of an image that they lie on, and pixels, each sent once, are
+met in their tile; places beyond the border have none and are zeros. So a frame is never
 compared with all its cells, and a task holds the patches of a few cells."""
 
 from __future__ import annotations
@@ -17,6 +17,12 @@ from pyspark.sql import types as T
 from lumigrid.operators.pixel import IMAGE
 
 
+#: The side of the tiles where boxes meet pixels.
+TILE = 32
+#: Values of pictures that are made at once.
+VALUES = 1 << 18
+
+
 def boxes(cells: DataFrame, by: list[str] = IMAGE) -> DataFrame:
     """The box (r0, c0, h, w), centre (cr, cc) and area of each cell of pixels (r, c, label)."""
     e = cells.where("label <> 0").groupBy(*by, "label")
@@ -37,9 +43,14 @@ def patches(px: DataFrame, found: DataFrame, by: list[str] = IMAGE) -> DataFrame
     if "label" not in px.columns:
         px = px.withColumn("label", F.lit(None).cast("long"))
     asked = found.select(*by, "label", "r0", "c0", "h", "w")
-    asked = asked.withColumn("r", F.explode(F.sequence(F.col("r0"), F.col("r0") + F.col("h") - 1))).withColumn("c", F.explode(F.sequence(F.col("c0"), F.col("c0") + F.col("w") - 1)))
     seen = px.select(*by, "r", "c", F.col("v").cast("double").alias("v"), F.col("label").alias("_l"))
-    got = asked.join(seen, [*by, "r", "c"]).withColumns({"r": (F.col("r") - F.col("r0")).cast("int"), "c": (F.col("c") - F.col("c0")).cast("int"), "own": F.coalesce(F.col("_l") == F.col("label"), F.lit(False))})
+    for k, n in (("r", "h"), ("c", "w")):
+        first, last = F.floor(F.col(f"{k}0") / TILE), F.floor((F.col(f"{k}0") + F.col(n) - 1) / TILE)
+        asked, seen = asked.withColumn(f"_{k}", F.explode(F.sequence(first, last))), seen.withColumn(f"_{k}", F.floor(F.col(k) / TILE))
+    inside = F.col("r").between(F.col("r0"), F.col("r0") + F.col("h") - 1) & F.col("c").between(F.col("c0"), F.col("c0") + F.col("w") - 1)
+    # merged, as tables made by exploding arrays look small enough to be sent through the driver
+    got = asked.hint("merge").join(seen.hint("merge"), [*by, "_r", "_c"]).where(inside)
+    got = got.withColumns({"r": (F.col("r") - F.col("r0")).cast("int"), "c": (F.col("c") - F.col("c0")).cast("int"), "own": F.coalesce(F.col("_l") == F.col("label"), F.lit(False))})
     held = F.collect_list(F.struct("r", "c", "v", "own"))
     each = got.groupBy(*by, "label", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w")).agg(held.alias("_p"))
     return each.select(*by, "label", "h", "w", *[F.col(f"_p.{k}").alias(k) for k in ("r", "c", "v", "own")])
@@ -74,7 +85,8 @@ def resampled(found: DataFrame, size: int, by: list[str] = IMAGE, only_own: bool
     out = T.StructType([*[found.schema[c] for c in (*by, "label")], T.StructField("patch", T.ArrayType(T.DoubleType()))])
 
     def run(batches):
-        for batch in batches:
+        step = max(1, VALUES // (size * size))
+        for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
             names = batch.schema.names
             col = {n: batch.column(names.index(n)) for n in names}
             first = col["r"].offsets.to_numpy()
