@@ -9,9 +9,9 @@ from lumigrid.operators import appearance
 
 def test_patches_by_tiles(spark):
     draw = random.Random(6)
-    pixels = {(i, r, c): draw.random() for i in (1, 2) for r in range(70) for c in range(40)}
+    px = spark.range(2 * 70 * 40).select((F.floor(F.col("id") / 2800) + 1).alias("image_id"), F.floor(F.col("id") / 40 % 70).cast("int").alias("r"), (F.col("id") % 40).cast("int").alias("c"), (F.col("id") * 0.5).alias("v"))
+    pixels = {(i, r, c): ((i - 1) * 2800 + r * 40 + c) * 0.5 for i in (1, 2) for r in range(70) for c in range(40)}
     boxes = [(i, k, draw.randrange(-40, 70), draw.randrange(-40, 40), draw.choice([1, 7, 33, 90]), draw.choice([1, 5, 64])) for i in (1, 2) for k in range(12)]
-    px = spark.createDataFrame([(*k, v) for k, v in pixels.items()], "image_id long, r int, c int, v double")
     got = appearance.patches(px, spark.createDataFrame(boxes, "image_id long, label int, r0 int, c0 int, h int, w int"))
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan  # pixels do not go through the driver
